@@ -1,0 +1 @@
+"""Left empty on purpose: the capability set this package covers is batch only."""
