@@ -12,7 +12,7 @@ from wardline.operators import history as hi
 from wardline.operators import labels as lb
 from wardline.operators import measurements as ms
 from wardline.operators.concepts import ALL_TASKS, ICD_GROUPS, LAB_NAMES, VITAL_NAMES, task_dim, windows_used
-from wardline.plans.build import build_all
+from wardline.plans.build import build_all, store
 from wardline.session import scratch_path
 from wardline.sources import sinks
 from wardline.sources.star import STAR_SCHEMAS, convert_star, read_star
@@ -183,6 +183,10 @@ def built(v: Views) -> dict:
     return build_all(v.star, vital_items=CHART_ITEMS, lab_items=v.lab_items)
 
 
+def stored(v: Views) -> dict:
+    return store(built(v), scratch_path(v.spark, "build"))
+
+
 # ---- sources and sinks ----
 
 
@@ -228,16 +232,12 @@ def src_read_table(v: Views):
 
 @query("sink_events_windowed", "SELECT patient_id, time, code, round(value, 6) AS value, description, obs_window FROM all_events")
 def sink_events_windowed(v: Views):
-    path = scratch_path(v.spark, "events")
-    sinks.write_events(built(v)["events"], path)
-    return v.spark.read.parquet(path)
+    return stored(v)["events"]
 
 
 @query("sink_labels", "SELECT task, patient_id, label_time, round(value, 6) AS value, age, sex FROM all_labels")
 def sink_labels(v: Views):
-    path = scratch_path(v.spark, "labels")
-    sinks.write_labels(built(v)["labels"], path)
-    return v.spark.read.parquet(path).select("task", "patient_id", "label_time", "value", "age", "sex")
+    return stored(v)["labels"].select("task", "patient_id", "label_time", "value", "age", "sex")
 
 
 @query(

@@ -72,18 +72,34 @@ SELECT conv_id AS patient_id,
        CASE WHEN conv_id % 4 = 0 THEN (conv_id + 1) % 101 ELSE conv_id % 101 END AS pct,
        CASE conv_id % 3 WHEN 0 THEN 'lower' WHEN 1 THEN 'moderate' ELSE 'higher' END AS confidence_label
 FROM {conversations} GROUP BY conv_id""",
-    # predictions of every task for every order: what a scored panel looks like
-    "panel_scores": """
-SELECT CAST(o_orderkey AS {STR}) AS patient_id, task, task_group, kind,
-       CASE WHEN kind = 'binary' THEN CAST((o_orderkey * 7919 + k * 104729) % 1009 AS DOUBLE) / 1008 END AS probability,
-       CASE WHEN kind = 'regression' THEN CAST((o_orderkey * 31) % 977 AS DOUBLE) / 37 END AS point_estimate,
-       CAST((o_orderkey * 13 + k * 7) % 100 AS DOUBLE) / 100 AS uncertainty,
-       CAST((o_orderkey * 17 + k * 5) % 100 < 30 AS INT) AS y
-FROM {orders} CROSS JOIN (VALUES (1, 'mortality_1y', 'forward', 'binary'), (2, 'readmission_30d', 'forward', 'binary'),
-     (3, 'prolonged_stay', 'forward', 'binary'), (4, 'los_days', 'forward', 'regression'),
-     (5, 'dx_diabetes', 'chronic', 'binary'), (6, 'dx_hypertension', 'chronic', 'binary')) AS t(k, task, task_group, kind)""",
 }
 
+# predictions of six tasks for every order, and three contributions to each: a scored panel
+PANEL_TASKS = (
+    (1, "mortality_1y", "forward", "binary"), (2, "readmission_30d", "forward", "binary"),
+    (3, "prolonged_stay", "forward", "binary"), (4, "los_days", "forward", "regression"),
+    (5, "dx_diabetes", "chronic", "binary"), (6, "dx_hypertension", "chronic", "binary"),
+)
+PANEL_FEATURES = ("value__LAB/SODIUM", "count__DX/DIABETES", "age")
+VIEWS["panel_scores"] = "\nUNION ALL\n".join(
+    f"""SELECT CAST(o_orderkey AS {{STR}}) AS patient_id, '{task}' AS task, '{group}' AS task_group, '{kind}' AS kind,
+       {f'CAST((o_orderkey * 7919 + {k} * 104729) % 1009 AS DOUBLE) / 1008' if kind == 'binary' else 'CAST(NULL AS DOUBLE)'} AS probability,
+       {f'CAST((o_orderkey * 31) % 977 AS DOUBLE) / 37' if kind == 'regression' else 'CAST(NULL AS DOUBLE)'} AS point_estimate,
+       CAST((o_orderkey * 13 + {k} * 7) % 100 AS DOUBLE) / 100 AS uncertainty,
+       CASE WHEN (o_orderkey * 17 + {k} * 5) % 100 < 30 THEN 1 ELSE 0 END AS y,
+       CAST((o_orderkey * 29) % 1013 AS DOUBLE) / 41 AS days
+FROM {{orders}}"""
+    for k, task, group, kind in PANEL_TASKS
+)
+VIEWS["panel_impacts"] = "\nUNION ALL\n".join(
+    f"""SELECT CAST(o_orderkey AS {{STR}}) AS patient_id, '{task}' AS task, {i} AS pos, '{feature}' AS feature,
+       CAST((o_orderkey + {i}) % 90 AS DOUBLE) AS value,
+       CAST((o_orderkey * {17 + i} + {k}) % 41 - 20 AS DOUBLE) / 20 AS impact
+FROM {{orders}}"""
+    for k, task, _, _ in PANEL_TASKS
+    for i, feature in enumerate(PANEL_FEATURES)
+)
+
 # item ids of the given tables; the library's own dictionaries hold those of the hospital system
 CHART_ITEMS = (
     (220001, "HR", 0), (220002, "RR", 0), (220003, "SPO2", 0), (220004, "TEMP_C", 1),
@@ -171,7 +187,7 @@ def plain(df: DataFrame, digits: int = 6) -> DataFrame:
         if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType)):
             c = c.cast("bigint")
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.round(c.cast("double"), digits)
+            c = F.round(c.cast("double"), digits) + F.lit(0.0)  # no negative zero
         out.append(c.alias(f.name))
     return df.select(*out)
 

@@ -26,7 +26,7 @@ def attribution_approx(
         out = out.join(F.broadcast(direction.select("feature", "direction")), "feature", "left")
         sign = F.coalesce("direction", F.lit(1.0))
     away = fn.null_to_zero(F.col("value")) - fn.null_to_zero(F.col("median"))
-    impact = sign * F.coalesce("importance", F.lit(0.0)) * F.tanh(away)
+    impact = sign * F.coalesce("importance", F.lit(0.0)) * F.tanh(away) + F.lit(0.0)  # no negative zero
     return out.select(*long.columns, impact.alias("impact"))
 
 

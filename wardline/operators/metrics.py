@@ -37,19 +37,19 @@ def ranking_metrics(df: DataFrame, *, by=(), label: str = "y", score: str = "p")
         F.count(F.lit(1)).alias("_n"), F.sum(F.col(label).cast("bigint")).alias("_pos")
     )
     below = running_totals(scores, keys, "_p", {"_n": "_n_below", "_pos": "_pos_below"})
-    whole = scores.groupBy(*keys).agg(F.sum("_n").alias("_N"), F.sum("_pos").alias("_P"))
+    whole = scores.groupBy(*keys).agg(F.sum("_n").alias("_all_n"), F.sum("_pos").alias("_all_pos"))
     # broadcast: one row per group of a bounded dimension
     ranked = below.join(F.broadcast(whole), keys)
     neg, neg_below = F.col("_n") - F.col("_pos"), F.col("_n_below") - F.col("_pos_below")
     wins = F.sum(F.col("_pos") * (neg_below + neg / 2.0))
-    precision = (F.col("_P") - F.col("_pos_below")) / (F.col("_N") - F.col("_n_below"))
+    precision = (F.col("_all_pos") - F.col("_pos_below")) / (F.col("_all_n") - F.col("_n_below"))
     area = F.sum(F.col("_pos") * precision)
-    both = (F.col("_P") > 0) & (F.col("_P") < F.col("_N"))
-    out = ranked.groupBy(*keys, "_P", "_N").agg(wins.alias("_w"), area.alias("_a"))
+    both = (F.col("_all_pos") > 0) & (F.col("_all_pos") < F.col("_all_n"))
+    out = ranked.groupBy(*keys, "_all_pos", "_all_n").agg(wins.alias("_w"), area.alias("_a"))
     return out.select(
         *by,
-        F.when(both, F.col("_w") / (F.col("_P").cast("double") * (F.col("_N") - F.col("_P")))).alias("auroc"),
-        F.when(both, F.col("_a") / F.col("_P")).alias("auprc"),
+        F.when(both, F.col("_w") / (F.col("_all_pos").cast("double") * (F.col("_all_n") - F.col("_all_pos")))).alias("auroc"),
+        F.when(both, F.col("_a") / F.col("_all_pos")).alias("auprc"),
     )
 
 
@@ -130,8 +130,9 @@ def solve_intercept(df: DataFrame, latent: str, rate: float, *, points: int = 64
     while high - low > tolerance:
         step = (high - low) / (points + 1)
         tries = [low + step * (i + 1) for i in range(points)]
-        mean = lambda b: F.sum(F.col("n") / (1.0 + F.exp(-(F.col("x") + F.lit(b))))) / F.sum("n")
-        means = folded.agg(*[mean(b).alias(f"m{i}") for i, b in enumerate(tries)]).first()
+        tried = folded.select("x", "n", F.posexplode(F.lit(tries)).alias("i", "b"))
+        mean = F.sum(F.col("n") / (1.0 + F.exp(-(F.col("x") + F.col("b"))))) / F.sum("n")
+        means = [r["m"] for r in tried.groupBy("i").agg(mean.alias("m")).collect()]
         under = sum(1 for m in means if m < rate)
         new_low = tries[under - 1] if under else low
         new_high = tries[under] if under < points else high

@@ -11,6 +11,7 @@ from wardline.operators import labels as lb
 from wardline.operators import measurements as ms
 from wardline.operators.concepts import ALL_TASKS, LAB_ITEMS, LAB_NAMES, VITAL_ITEMS, VITAL_NAMES, windows_used
 from wardline.session import materialize
+from wardline.sources.sinks import write_events, write_labels
 
 
 def build_all(
@@ -47,3 +48,13 @@ def build_all(
         index, history, groups, tasks=tasks, los_long_days=los_long_days, mortality_days=mortality_days
     )
     return {"cohort": index, "events": events, "labels": labels}
+
+
+def store(parts: dict[str, DataFrame], path: str) -> dict[str, DataFrame]:
+    """Write events and labels and read them back: what trains and scores reads files, partitioned by
+    window and task, and never runs the build again."""
+    spark = parts["events"].sparkSession
+    write_events(parts["events"], f"{path}/events")
+    write_labels(parts["labels"], f"{path}/labels")
+    read = lambda name: spark.read.schema(parts[name].schema).parquet(f"{path}/{name}")
+    return {**parts, "events": read("events"), "labels": read("labels")}
