@@ -1,0 +1,130 @@
+"""Queries that train: boosted trees, calibration, tree contributions, the whole panel.
+
+Boosting runs here with few rounds, given as a parameter of the query; the library default is 300.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from wardline.catalog.hospital import stored
+from wardline.catalog.registry import Views, query
+from wardline.catalog.timeline import vocab, wide
+from wardline.operators import matrix as mx
+from wardline.operators import metrics
+from wardline.operators.models import RiskModel, fit_binary, fit_regression
+from wardline.operators.split import assign_split
+from wardline.operators.tree_paths import tree_contributions
+from wardline.plans.panel import panel_profiles, train_panel, window_matrices
+from wardline.session import materialize, scratch_path
+
+ROUNDS = {"maxIter": 8, "maxDepth": 4}
+RECORD = ["patient_id", "label_time"]
+
+
+def training_rows(v: Views):
+    """Event matrix with label and split, written once."""
+    return materialize(mx.align(wide(v), v.lb, assign_split(v.lb)), "rows")
+
+
+def part(rows, name: str):
+    return rows.filter(F.col("split") == name)
+
+
+def binary_model(v: Views):
+    rows = training_rows(v)
+    names = vocab(v).feature_names
+    # high count of errors: a target the matrix can tell
+    rows = rows.withColumn("label", (mx.quoted("count__ENC/ED") > 9).cast("double"))
+    return fit_binary(part(rows, "train"), part(rows, "val"), names, params=ROUNDS), rows
+
+
+@query("train_binary")
+def train_binary(v: Views):
+    model, rows = binary_model(v)
+    return model.score(rows, RECORD).select("patient_id", "probability", "raw_probability", "uncertainty")
+
+
+@query("train_regression")
+def train_regression(v: Views):
+    rows = training_rows(v)
+    names = [n for n in vocab(v).feature_names if n != "n_events"]
+    rows = rows.withColumn("label", F.col("n_events"))
+    model = fit_regression(part(rows, "train"), names, params=ROUNDS)
+    return model.score(rows, RECORD).select("patient_id", "point_estimate", "uncertainty")
+
+
+@query("calibrate")
+def calibrate(v: Views):
+    """Isotonic and logistic calibration of the given scores, side by side."""
+    from wardline.operators.models import apply_calibrator, fit_calibrator
+
+    scored = v.scored.select("patient_id", F.col("y").cast("double").alias("label"), F.col("p").alias("raw_probability"))
+    isotonic = apply_calibrator(scored, fit_calibrator(scored)).withColumnRenamed("probability", "isotonic")
+    both = apply_calibrator(isotonic, fit_calibrator(scored, "platt")).withColumnRenamed("probability", "platt")
+    return both.select("patient_id", "raw_probability", "isotonic", "platt")
+
+
+@query("feature_importance")
+def feature_importance(v: Views):
+    model, _ = binary_model(v)
+    return model.importance(v.spark)
+
+
+@query("tree_contributions", "SELECT patient_id, true AS adds_up FROM lb")
+def tree_path_contributions(v: Views):
+    """Base plus impacts must give the forest's own margin, for every record."""
+    model, rows = binary_model(v)
+    own = model.booster.transform(model.vectors(rows)).select(
+        "patient_id", vector_to_array("rawPrediction")[1].alias("booster_margin")
+    )
+    explained = tree_contributions(model, rows, RECORD).groupBy("patient_id").agg(
+        (F.first("base") + F.sum("impact")).alias("sum"), F.first("margin").alias("margin")
+    )
+    close = lambda c: F.abs(F.col(c) - F.col("booster_margin")) < 1e-9
+    return explained.join(own, "patient_id").select("patient_id", (close("sum") & close("margin")).alias("adds_up"))
+
+
+@query("model_persistence", "SELECT patient_id, true AS same FROM lb")
+def model_persistence(v: Views):
+    """A model written and read back scores every record as before."""
+    model, rows = binary_model(v)
+    path = scratch_path(v.spark, "model")
+    model.save(path)
+    again = RiskModel.load(v.spark, path).score(rows, RECORD, spread_scope="row").select("patient_id", F.col("probability").alias("p2"))
+    first = model.score(rows, RECORD, spread_scope="row").select("patient_id", "probability")
+    return first.join(again, "patient_id").select("patient_id", (F.abs(F.col("probability") - F.col("p2")) < 1e-12).alias("same"))
+
+
+def trained(v: Views):
+    parts = stored(v)
+    matrices, vocabularies = window_matrices(parts["events"], parts["labels"])
+    models, table, manifest = train_panel(matrices, vocabularies, parts["labels"], params={"maxIter": 3, "maxDepth": 3})
+    return matrices, models, table, manifest
+
+
+@query("train_panel")
+def panel_metrics(v: Views):
+    """Held-out metrics of all ten tasks."""
+    return trained(v)[2]
+
+
+@query("manifest")
+def manifest(v: Views):
+    return trained(v)[3]
+
+
+@query("panel_profile")
+def panel_profile(v: Views):
+    """Nested panel of every patient, shown by its strongest forward and chronic entry."""
+    matrices, models, table, _ = trained(v)
+    nested = panel_profiles(models, matrices, table)
+    return nested.select(
+        "patient_id",
+        F.size("forward").alias("n_forward"),
+        F.size("chronic").alias("n_chronic"),
+        F.col("forward")[0]["name"].alias("top_forward"),
+        F.col("forward")[0]["probability_pct"].alias("top_pct"),
+        F.array_join(F.transform(F.col("chronic")[0]["contributors"], lambda c: c["phrase"]), "|").alias("chronic_factors"),
+    )

@@ -45,19 +45,33 @@ def top_k(contributions: DataFrame, record: list[str], k: int) -> DataFrame:
     return contributions.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def contribution_array(features: list[str], value: dict[str, Column], impact: dict[str, Column]) -> Column:
-    """All contributions of a wide row as an array in the order of `features`."""
-    return F.array(
+def contribution_array(
+    features: list[str], weight: dict[str, float], median: dict[str, float], sign: dict[str, float]
+) -> Column:
+    """Approximate contributions of a wide row as an array in the order of `features`.
+
+    The numbers per column fold into one constant; one lambda runs over it and the row's values, so
+    the plan does not grow with the width of the matrix.
+    """
+    known = F.array(
         *[
             F.struct(
                 F.lit(i).alias("pos"),
                 F.lit(f).alias("feature"),
-                fn.null_to_zero(value[f]).alias("value"),
-                impact[f].alias("impact"),
+                F.lit(float(sign.get(f, 1.0) * weight.get(f, 0.0))).alias("weight"),
+                F.lit(float(median.get(f) or 0.0)).alias("median"),
             )
             for i, f in enumerate(features)
         ]
     )
+    values = F.array(*[F.col("`" + f.replace("`", "``") + "`").cast("double") for f in features])
+
+    def one(value, k):
+        value = fn.null_to_zero(value)
+        impact = k["weight"] * F.tanh(value - k["median"]) + F.lit(0.0)
+        return F.struct(k["pos"].alias("pos"), k["feature"].alias("feature"), value.alias("value"), impact.alias("impact"))
+
+    return F.zip_with(values, known, one)
 
 
 def top_k_array(contributions: Column, k: int) -> Column:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import json
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.functions import clinical as fn
 from wardline.operators import explain, matrix as mx, metrics, profiles
 from wardline.operators.concepts import ALL_TASKS, concept_dim, task_dim, windows_used
 from wardline.operators.models import RiskModel, fit_model
@@ -62,7 +62,8 @@ def train_panel(
         rows = materialize(rows, f"train-{task.name}")
         part = lambda name: rows.filter(F.col("split") == name)
         model = fit_model(part("train"), part("val"), columns, task.kind, params=params, calibration=calibration)
-        test = model.score(part("test"), ["patient_id", "label"], spread_scope="row")
+        # the metrics read the scores several times: keep them, not the forest's work
+        test = materialize(model.score(part("test"), ["patient_id", "label"], spread_scope="row"), f"test-{task.name}")
         if task.kind == "regression":
             row = metrics.regression_metrics(test, label="label", prediction="point_estimate").first()
         else:
@@ -87,19 +88,9 @@ def train_panel(
     return {t.name: m for t, _, m, _ in done}, table, manifest
 
 
-def contributions(model: RiskModel, wide: DataFrame, medians: dict[str, float], signs: dict[str, float]) -> Column:
-    """Approximate contributions of a wide row as an array; all inputs are one number per column."""
-    spark = wide.sparkSession
-    weight = {r["feature"]: r["importance"] for r in model.importance(spark).collect()}
-    value = {f: mx.quoted(f) for f in model.features}
-    away = lambda f: fn.null_to_zero(value[f]) - F.lit(float(medians.get(f) or 0.0))
-    impact = {f: F.lit(signs.get(f, 1.0) * weight[f]) * F.tanh(away(f)) for f in model.features}
-    return explain.contribution_array(model.features, value, impact)
-
-
 def score_panel(
     models: dict[str, RiskModel], wide: dict[int | None, DataFrame], *, tasks=ALL_TASKS, top_k: int = 5, seed: int = 42,
-    use_directions: bool = True,
+    use_directions: bool = True, parallel: int = 3,
 ) -> tuple[DataFrame, DataFrame]:
     """(scores, top contributions) for all patients and tasks, long.
 
@@ -118,17 +109,19 @@ def score_panel(
         table = inline_table(spark, [(n,) for n in names], "feature string")
         rows = explain.directions(table, dim).collect() if use_directions else []
         signs[hours] = {r["feature"]: r["direction"] for r in rows}
-    scores, tops = None, None
-    for task in tasks:
+    def one(task):
         model, df = models[task.name], wide[task.window]
         scored = model.score(df, record).withColumn("task", F.lit(task.name))
-        picked = explain.top_k_array(contributions(model, df, medians[task.window], signs[task.window]), top_k)
-        top = df.select("patient_id", F.lit(task.name).alias("task"), F.posexplode(picked).alias("r", "c")).select(
-            "patient_id", "task", (F.col("r") + 1).alias("rank"), "c.*"
-        )
-        scores = scored if scores is None else scores.unionByName(scored)
-        tops = top if tops is None else tops.unionByName(top)
-    return scores, tops
+        weight = {r["feature"]: r["importance"] for r in model.importance(spark).collect()}  # one row per column
+        every = explain.contribution_array(model.features, weight, medians[task.window], signs[task.window])
+        picked = explain.top_k_array(every, top_k)
+        top = df.select("patient_id", F.lit(task.name).alias("task"), F.posexplode(picked).alias("r", "c"))
+        return scored, top.select("patient_id", "task", (F.col("r") + 1).alias("rank"), "c.*")
+
+    with ThreadPoolExecutor(parallel) as pool:
+        parts = list(pool.map(one, tasks))
+    union = lambda frames: reduce(lambda a, b: a.unionByName(b), frames)
+    return union([s for s, _ in parts]), union([t for _, t in parts])
 
 
 def panel_profiles(
