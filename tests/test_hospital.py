@@ -136,8 +136,8 @@ def test_dictionaries():
     ],
 )
 def test_icd_groups(spark, code, version, groups):
-    df = spark.createDataFrame([(code, version)], "c string, v string")
-    assert df.select(fn.icd_group_array(F.col("c"), F.col("v"))).first()[0] in (groups, None if code is None else groups)
+    df = spark.createDataFrame([(1, code, version)], "hadm_id bigint, icd_code string, icd_version string")
+    assert hi.classified(df).first()["groups"] == groups
 
 
 def test_death_horizon(spark):

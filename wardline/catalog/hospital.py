@@ -378,8 +378,7 @@ def readmission_30d(v: Views):
 
 @query("icd_normalize", "SELECT norm, CAST(version AS BIGINT) AS version, count(*) AS n FROM dx_norm GROUP BY norm, version")
 def icd_normalize(v: Views):
-    norm, version = fn.icd_normalize(F.col("icd_code")), fn.icd_version_number(F.col("icd_version"))
-    return v.dx.groupBy(norm.alias("norm"), version.alias("version")).agg(F.count(F.lit(1)).alias("n"))
+    return hi.classified(v.dx).groupBy("norm", "version").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("icd_classify", "SELECT hadm_id, grp FROM dx_group")
@@ -395,9 +394,8 @@ SELECT d.hadm_id, d.norm FROM dx_norm d JOIN icd_bounds b ON d.version = 9
 )
 def icd_range(v: Views):
     ranged = [g for g in ICD_GROUPS if g.icd9_range]
-    groups = fn.icd_group_array(F.col("icd_code"), F.col("icd_version"), ranged)
-    hit = v.dx.filter((F.size(groups) > 0) & (F.col("icd_version") == 9))
-    return hit.select("hadm_id", fn.icd_normalize(F.col("icd_code")).alias("norm"))
+    hit = hi.classified(v.dx, ranged).filter((F.size("groups") > 0) & (F.col("version") == 9))
+    return hit.select("hadm_id", "norm")
 
 
 @query("dx_history", "SELECT d.hadm_id, 'DX/' || d.grp AS code, 'History of ' || lower(n.description) AS description FROM dx_prior d JOIN icd_name n ON d.grp = n.grp")

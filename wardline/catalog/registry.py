@@ -87,19 +87,11 @@ VIEWS["panel_scores"] = "\nUNION ALL\n".join(
        {f'CAST((o_orderkey * 31) % 977 AS DOUBLE) / 37' if kind == 'regression' else 'CAST(NULL AS DOUBLE)'} AS point_estimate,
        CAST((o_orderkey * 13 + {k} * 7) % 100 AS DOUBLE) / 100 AS uncertainty,
        CASE WHEN (o_orderkey * 17 + {k} * 5) % 100 < 30 THEN 1 ELSE 0 END AS y,
-       CAST((o_orderkey * 29) % 1013 AS DOUBLE) / 41 AS days
+       CAST((o_orderkey * 29) % 1013 AS DOUBLE) / 41 AS days,
+       {', '.join(f'CAST((o_orderkey + {i}) % 90 AS DOUBLE) AS value_{i}, CAST((o_orderkey * {17 + i} + {k}) % 41 - 20 AS DOUBLE) / 20 AS impact_{i}' for i in range(3))}
 FROM {{orders}}"""
     for k, task, group, kind in PANEL_TASKS
 )
-VIEWS["panel_impacts"] = "\nUNION ALL\n".join(
-    f"""SELECT CAST(o_orderkey AS {{STR}}) AS patient_id, '{task}' AS task, {i} AS pos, '{feature}' AS feature,
-       CAST((o_orderkey + {i}) % 90 AS DOUBLE) AS value,
-       CAST((o_orderkey * {17 + i} + {k}) % 41 - 20 AS DOUBLE) / 20 AS impact
-FROM {{orders}}"""
-    for k, task, _, _ in PANEL_TASKS
-    for i, feature in enumerate(PANEL_FEATURES)
-)
-
 # item ids of the given tables; the library's own dictionaries hold those of the hospital system
 CHART_ITEMS = (
     (220001, "HR", 0), (220002, "RR", 0), (220003, "SPO2", 0), (220004, "TEMP_C", 1),

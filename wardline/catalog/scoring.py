@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wardline.catalog.registry import PANEL_TASKS, Views, query, step
+from wardline.catalog.registry import PANEL_FEATURES, PANEL_TASKS, Views, query, step
 from wardline.catalog.timeline import CODES, NUMERIC, vocab, wide
 from wardline.functions import clinical as fn
 from wardline.operators import explain, metrics, profiles
@@ -12,7 +12,7 @@ from wardline.operators import events as ev
 from wardline.operators import matrix as mx
 from wardline.operators.concepts import ALL_TASKS, builtin_concepts, concept_dim, task_dim
 from wardline.operators.models import uncertainty as add_uncertainty
-from wardline.session import inline_table
+from wardline.session import inline_table, materialize
 
 step("panel_binary", "SELECT task, y, probability AS p FROM panel_scores WHERE kind = 'binary'")
 step(
@@ -286,7 +286,7 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY rou
 def impacts(v: Views):
     """Contributions over the whole event matrix; importance is a given number per column."""
     names = sorted(vocab(v).feature_names)
-    table = wide(v)
+    table = materialize(wide(v), "matrix")  # read for the medians and for the impacts
     long = mx.matrix_long(table, names)
     weights = inline_table(v.spark, [(f, 1.0 / (len(f) - 2)) for f in names], "feature string, importance double")
     medians = mx.feature_medians(table, names)
@@ -311,7 +311,7 @@ def attribution_approx(v: Views):
 def attribution_undirected(v: Views):
     """Every column taken as 'higher is worse'."""
     names = sorted(vocab(v).feature_names)
-    table = wide(v)
+    table = materialize(wide(v), "matrix")
     weights = inline_table(v.spark, [(f, 1.0 / (len(f) - 2)) for f in names], "feature string, importance double")
     out = explain.attribution_approx(mx.matrix_long(table, names), weights, mx.feature_medians(table, names))
     return out.select("patient_id", "feature", "impact")
@@ -396,17 +396,31 @@ SELECT patient_id, task, feature, impact, row_number() OVER (PARTITION BY patien
        CASE feature WHEN 'age' THEN 'your age' WHEN 'count__DX/DIABETES' THEN 'a history of diabetes mellitus' ELSE 'your sodium level' END AS phrase
 FROM panel_impacts""",
 )
+step(
+    "panel_impacts",
+    " UNION ALL ".join(
+        f"SELECT patient_id, task, {i} AS pos, '{f}' AS feature, impact_{i} AS impact FROM panel_scores"
+        for i, f in enumerate(PANEL_FEATURES)
+    ),
+)
 
 
 def panels(v: Views):
     tasks = [t for t in ALL_TASKS if t.name in {p[1] for p in PANEL_TASKS}]
-    top = explain.top_k(v.panel_impacts, ["patient_id", "task"], 5)
-    views = explain.contributor_views(top, ["patient_id", "task"], concept_dim(v.spark))
+    cells = [
+        F.struct(
+            F.lit(i).alias("pos"), F.lit(f).alias("feature"), F.col(f"value_{i}").alias("value"), F.col(f"impact_{i}").alias("impact")
+        )
+        for i, f in enumerate(PANEL_FEATURES)
+    ]
+    words = explain.words_of(list(PANEL_FEATURES), concept_dim(v.spark))
+    up, down = explain.views_in_row(explain.top_k_array(F.array(*cells), 5), words)
     ratings = inline_table(v.spark, _RATINGS, "task string, auroc double, r2 double")
     scores = v.panel_scores.select(
-        "patient_id", "task", "probability", F.col("probability").alias("raw_probability"), "point_estimate", "uncertainty"
+        "patient_id", "task", "probability", F.col("probability").alias("raw_probability"), "point_estimate", "uncertainty",
+        up.alias("contributors"), down.alias("protective_factors"),
     )
-    return profiles.panel(scores, explain.nest_views(views, ["patient_id", "task"]), task_dim(v.spark, tasks), ratings)
+    return profiles.panel(scores, task_dim(v.spark, tasks), ratings)
 
 
 @query(

@@ -69,8 +69,11 @@ FROM id_rank""",
 )
 
 
-def vocab(v: Views, numeric="auto") -> mx.Vocabulary:
-    return mx.fit_vocab(v.ev, v.lb, lookback_days=DAYS, max_features=200, numeric=numeric)
+def vocab(v: Views) -> mx.Vocabulary:
+    """Learned once per query."""
+    if "vocabulary" not in v.__dict__:
+        v.vocabulary = mx.fit_vocab(v.ev, v.lb, lookback_days=DAYS, max_features=200, numeric="auto")
+    return v.vocabulary
 
 
 def wide(v: Views):

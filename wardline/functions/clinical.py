@@ -23,30 +23,33 @@ def icd_version_number(version: Column) -> Column:
     return F.coalesce(version.try_cast("int"), F.lit(0))
 
 
-def icd_group_array(code: Column, version: Column, groups=ICD_GROUPS) -> Column:
-    """All groups a diagnosis code belongs to; at most one entry per group.
+def _starts_with(norm: Column, prefixes) -> Column:
+    """One look-up per prefix length instead of one test per prefix."""
+    out = F.lit(False)
+    for size in sorted({len(p) for p in prefixes}):
+        out = out | F.substring(norm, 1, size).isin([p for p in prefixes if len(p) == size])
+    return out
+
+
+def icd_group_array(norm: Column, number: Column, groups=ICD_GROUPS) -> Column:
+    """All groups a normalised diagnosis code of a version belongs to; at most one entry per group.
 
     The code book is a fixed, short list, so the test is one expression per row: no join, no shuffle,
     and a code that fills a third of the table cannot skew anything.
     """
-    norm, number = icd_normalize(code), icd_version_number(version)
     head = F.substring(norm, 1, 3)
-    hits = []
+    ninth, tenth = [], []
     for group in groups:
-        by_prefix9 = F.lit(False)
-        if group.icd9_prefixes:
-            by_prefix9 = norm.rlike("^(" + "|".join(group.icd9_prefixes) + ")")
+        hit = _starts_with(norm, group.icd9_prefixes)
         if group.icd9_range:
             low, high = group.icd9_range
-            # try_cast, because AND gives no order of evaluation and an ANSI cast may raise
-            in_range = norm.rlike("^[0-9]{3}") & head.try_cast("int").between(low, high)
-            by_prefix9 = by_prefix9 | F.coalesce(in_range, F.lit(False))
-        by_prefix10 = F.lit(False)
-        if group.icd10_prefixes:
-            by_prefix10 = norm.rlike("^(" + "|".join(group.icd10_prefixes) + ")")
-        match = ((number == 9) & by_prefix9) | ((number == 10) & by_prefix10)
-        hits.append(F.when(match, F.lit(group.code)))
-    return F.array_compact(F.array(*hits))
+            # three digits compare as text just as they do as numbers
+            hit = hit | (head.between(f"{low:03d}", f"{high:03d}") & head.rlike("^[0-9]{3}$"))
+        ninth.append(F.when(hit, F.lit(group.code)))
+        tenth.append(F.when(_starts_with(norm, group.icd10_prefixes), F.lit(group.code)))
+    none = F.array().cast("array<string>")
+    by_version = F.when(number == 9, F.array(*ninth)).when(number == 10, F.array(*tenth)).otherwise(none)
+    return F.array_compact(by_version)
 
 
 def los_days(admit: Column, discharge: Column) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from wardline.functions import clinical as fn
 from wardline.operators.concepts import resolve_concepts
+from wardline.operators.skew import bounded_broadcast
+from wardline.session import inline_table
 
 
 def attribution_approx(
@@ -18,12 +20,11 @@ def attribution_approx(
     bounds them by the width of the matrix. `direction` is (feature, direction) with +1 or -1; without
     it every feature points up.
     """
-    # broadcast: one row per matrix column
-    out = long.join(F.broadcast(importance.select("feature", "importance")), "feature", "left")
-    out = out.join(F.broadcast(medians.select("feature", "median")), "feature", "left")
+    out = long.join(bounded_broadcast(importance.select("feature", "importance")), "feature", "left")
+    out = out.join(bounded_broadcast(medians.select("feature", "median")), "feature", "left")
     sign = F.lit(1.0)
     if direction is not None:
-        out = out.join(F.broadcast(direction.select("feature", "direction")), "feature", "left")
+        out = out.join(bounded_broadcast(direction.select("feature", "direction")), "feature", "left")
         sign = F.coalesce("direction", F.lit(1.0))
     away = fn.null_to_zero(F.col("value")) - fn.null_to_zero(F.col("median"))
     impact = sign * F.coalesce("importance", F.lit(0.0)) * F.tanh(away) + F.lit(0.0)  # no negative zero
@@ -100,6 +101,38 @@ def contributor_views(top: DataFrame, record: list[str], concepts: DataFrame, *,
     )
 
 
+def views_in_row(top: Column, words: dict[str, tuple[str, str]], *, method: str = "approx") -> tuple[Column, Column]:
+    """(contributors, protective_factors) of a `top_k_array`, made inside the row: nothing is shuffled.
+
+    `words` maps a feature to (concept, phrase), one entry per matrix column; it folds to a constant.
+    """
+    known = F.create_map(*[x for f, (name, phrase) in words.items() for x in (F.lit(f), F.array(F.lit(name), F.lit(phrase)))])
+    strongest = F.array_max(F.transform(top, lambda c: F.abs(c["impact"])))
+
+    def view(c, i):
+        return F.struct(
+            (i + 1).alias("rank"),
+            known[c["feature"]][0].alias("concept"),
+            known[c["feature"]][1].alias("phrase"),
+            F.when(c["impact"] > 0, "increases").otherwise("decreases").alias("direction"),
+            F.bround(F.abs(c["impact"]) / F.coalesce(F.nullif(strongest, F.lit(0.0)), F.lit(1.0)), 3).alias("magnitude"),
+            F.bround(fn.null_to_zero(c["value"]), 3).alias("observed_value"),
+            c["feature"].alias("feature"),
+            F.lit(method).alias("method"),
+            c["impact"].alias("impact"),
+        )
+
+    every = F.transform(top, view)
+    side = lambda keep: F.transform(F.filter(every, lambda x: keep(x["impact"])), lambda x: x.dropFields("impact"))
+    return side(lambda x: x > 0), side(lambda x: x < 0)
+
+
+def words_of(features: list[str], concepts: DataFrame) -> dict[str, tuple[str, str]]:
+    """Concept and phrase per matrix column; one row per column comes to the driver."""
+    table = inline_table(concepts.sparkSession, [(f,) for f in features], "feature string")
+    return {r["feature"]: (r["concept"], r["phrase"]) for r in resolve_concepts(table, concepts).collect()}
+
+
 def nest_views(views: DataFrame, record: list[str]) -> DataFrame:
     """Views per record as two arrays, strongest first: `contributors` (up), `protective_factors` (down)."""
     fields = ["rank", "concept", "phrase", "direction", "magnitude", "observed_value", "feature", "method"]

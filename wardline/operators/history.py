@@ -55,10 +55,19 @@ def utilization_events(history: DataFrame) -> DataFrame:
     )
 
 
+def classified(dx: DataFrame, groups=ICD_GROUPS) -> DataFrame:
+    """(hadm_id, norm, version, groups) per diagnosis row."""
+    cleaned = dx.select(
+        "hadm_id",
+        fn.icd_normalize(F.col("icd_code")).alias("norm"),
+        fn.icd_version_number(F.col("icd_version")).alias("version"),
+    )
+    return cleaned.withColumn("groups", fn.icd_group_array(F.col("norm"), F.col("version"), groups))
+
+
 def icd_groups(dx: DataFrame) -> DataFrame:
     """Distinct (hadm_id, grp): at most one row per stay and group, combined before the shuffle."""
-    groups = fn.icd_group_array(F.col("icd_code"), F.col("icd_version"))
-    return dx.select("hadm_id", F.explode(groups).alias("grp")).distinct()
+    return classified(dx).select("hadm_id", F.explode("groups").alias("grp")).distinct()
 
 
 def dx_by_index(cohort: DataFrame, adm: DataFrame, dx: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions import clinical as fn
 from wardline.operators.concepts import LAB_ITEMS, LAB_NAMES, VITAL_ITEMS, VITAL_NAMES, VITAL_STATS, window_tag
-from wardline.operators.skew import salted_join
+from wardline.operators.skew import hot_keys, salted_join
 from wardline.session import inline_table
 
 FACT_COLUMNS = ["hadm_id", "itemid", "valuenum", "charttime"]
@@ -65,7 +65,7 @@ def _stays(cohort: DataFrame, windows) -> DataFrame:
     return cohort.select("hadm_id", "admittime", *ends)
 
 
-def _joined(coded: DataFrame, stays: DataFrame, windows, hot: DataFrame | None) -> tuple[DataFrame, dict]:
+def _joined(coded: DataFrame, stays: DataFrame, windows, hot: DataFrame) -> tuple[DataFrame, dict]:
     inside = {w: F.col("charttime") <= F.col(f"`end@{window_tag(w)}`") for w in windows}
     return salted_join(coded, stays, "hadm_id", hot=hot), inside
 
@@ -74,6 +74,7 @@ def vital_summary(
     chart: DataFrame, cohort: DataFrame, *, items=VITAL_ITEMS, windows=(None,), hot: DataFrame | None = None
 ) -> DataFrame:
     """mean, min, max, last and sample std per (stay, window, vital) over [admission, cutoff]."""
+    hot = hot_keys(measured(chart, items), "hadm_id") if hot is None else hot
     joined, inside = _joined(coded_vitals(chart, items), _stays(cohort, windows), windows, hot)
     joined = joined.filter(F.col("charttime") >= F.col("admittime"))
     value, time = F.col("value"), F.col("charttime")
@@ -112,6 +113,7 @@ def lab_latest(
     lab: DataFrame, cohort: DataFrame, *, items=LAB_ITEMS, windows=(None,), hot: DataFrame | None = None
 ) -> DataFrame:
     """Latest value per (stay, window, lab) up to the cutoff; no lower bound in time."""
+    hot = hot_keys(measured(lab, items), "hadm_id") if hot is None else hot
     joined, inside = _joined(coded_labs(lab, items), _stays(cohort, windows).drop("admittime"), windows, hot)
     aggs = []
     for w, cond in inside.items():

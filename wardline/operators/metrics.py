@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.operators.ranking import running_totals
+from wardline.operators.skew import bounded_broadcast
 
 # Inner edges of ten equal bins as doubles (a value on an edge goes to the upper bin).
 ECE_EDGES = (0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9)
@@ -25,7 +26,9 @@ def _grouped(df: DataFrame, by) -> tuple[DataFrame, list[str]]:
     return (df, list(by)) if by else (df.withColumn("_all", F.lit(0)), ["_all"])
 
 
-def ranking_metrics(df: DataFrame, *, by=(), label: str = "y", score: str = "p") -> DataFrame:
+def ranking_metrics(
+    df: DataFrame, *, by=(), label: str = "y", score: str = "p", many_groups: bool = False
+) -> DataFrame:
     """auroc and auprc per group, null where only one class occurs.
 
     Rows fold to one per distinct score first, map-side combined; ties are thereby exact (average
@@ -36,10 +39,9 @@ def ranking_metrics(df: DataFrame, *, by=(), label: str = "y", score: str = "p")
     scores = df.groupBy(*keys, F.col(score).alias("_p")).agg(
         F.count(F.lit(1)).alias("_n"), F.sum(F.col(label).cast("bigint")).alias("_pos")
     )
-    below = running_totals(scores, keys, "_p", {"_n": "_n_below", "_pos": "_pos_below"})
+    below = running_totals(scores, keys, "_p", {"_n": "_n_below", "_pos": "_pos_below"}, many_groups=many_groups)
     whole = scores.groupBy(*keys).agg(F.sum("_n").alias("_all_n"), F.sum("_pos").alias("_all_pos"))
-    # broadcast: one row per group of a bounded dimension
-    ranked = below.join(F.broadcast(whole), keys)
+    ranked = below.join(whole if many_groups else bounded_broadcast(whole), keys)
     neg, neg_below = F.col("_n") - F.col("_pos"), F.col("_n_below") - F.col("_pos_below")
     wins = F.sum(F.col("_pos") * (neg_below + neg / 2.0))
     precision = (F.col("_all_pos") - F.col("_pos_below")) / (F.col("_all_n") - F.col("_n_below"))

@@ -78,8 +78,8 @@ def fit_calibrator(scored: DataFrame, method: str = "isotonic", *, label: str =
         return None
     data = scored.select(F.col(label).cast("double").alias("label"), F.col(score).alias("x"))
     if method == "isotonic":
-        # equal scores fold to one weighted row before the fit
-        folded = data.groupBy("x").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("w"))
+        # scores fold to one weighted row per millionth: however many rows, the fit sees at most 1,000,001
+        folded = data.groupBy(F.round("x", 6).alias("x")).agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("w"))
         return IsotonicRegression(featuresCol="x", labelCol="label", weightCol="w", predictionCol="calibrated").fit(folded)
     platt = LogisticRegression(
         featuresCol="v", labelCol="label", probabilityCol="platt", rawPredictionCol="platt_raw",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions import clinical as fn
 from wardline.functions import text as tx
+from wardline.operators.skew import bounded_broadcast
 
 APPROX_NOTE = "Contributor estimates are approximate: read their order as a hint, not as exact."
 # Fixed value: the note at the end of every payload.
@@ -77,17 +78,17 @@ def top_forward_risk(scores: DataFrame, record: list[str]) -> DataFrame:
     return forward.groupBy(*record).agg(best.alias("b")).select(*record, "b.task", "b.probability", "b.confidence_label")
 
 
-def panel(scores: DataFrame, nested_views: DataFrame, tasks: DataFrame, metrics: DataFrame) -> DataFrame:
+def panel(scores: DataFrame, tasks: DataFrame, metrics: DataFrame) -> DataFrame:
     """One record per patient with the arrays `forward` and `chronic`.
 
-    `scores` is (patient_id, task, probability, raw_probability, point_estimate, uncertainty); `metrics`
-    is (task, auroc, r2). Groups are one patient's tasks.
+    `scores` is (patient_id, task, probability, raw_probability, point_estimate, uncertainty,
+    contributors, protective_factors), the views made inside the row; `metrics` is (task, auroc, r2).
+    One shuffle, by patient; a group is one patient's tasks.
     """
-    # tasks and metrics: one row per task
     rated = tasks.join(metrics.select("task", "auroc", "r2"), "task", "left").withColumn(
         "reliability", fn.reliability_tier(F.col("kind"), F.col("auroc"), F.col("r2"))
     )
-    rows = score_columns(scores).join(rated, "task").join(nested_views, ["patient_id", "task"], "left")
+    rows = score_columns(scores).join(bounded_broadcast(rated.drop("r2")), "task")
     entry = F.struct(
         (-F.coalesce("probability", F.lit(-1.0))).alias("order"),
         F.col("task").alias("name"),

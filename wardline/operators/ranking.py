@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardline.operators.skew import bounded_broadcast
+
 HASH_DIGITS = 4  # 16**4 bins of a uniform hash
 
 
@@ -33,19 +35,21 @@ def hash_rank(ids: DataFrame, id_col: str, *, seed: int) -> DataFrame:
 
 
 def running_totals(
-    df: DataFrame, by: list[str], order: str, sums: dict[str, str], *, slices: int = 64, accuracy: int = 2000
+    df: DataFrame, by: list[str], order: str, sums: dict[str, str], *, slices: int = 64, accuracy: int = 2000,
+    many_groups: bool = False,
 ) -> DataFrame:
     """Per group, the sum of each column over all rows with a smaller `order` value.
 
     `sums` maps a column to the name of its running sum (the row itself is not included). `df` holds
-    one row per (by, order). `by` has to be a bounded dimension (tasks, feature names): a group may
-    hold the whole table and is therefore cut into `slices` of about equal size at approximate
-    quantiles. Where the cuts lie affects balance only; the sums are exact.
+    one row per (by, order). `by` is a short dimension (tasks, feature names): a group may hold the
+    whole table and is therefore cut into `slices` of about equal size at approximate quantiles.
+    Where the cuts lie affects balance only; the sums are exact. With `many_groups` no table is
+    broadcast by hint: for dimensions that grow with the data, whose groups are small.
     """
+    send = (lambda df: df) if many_groups else bounded_broadcast
     points = [(i + 1) / slices for i in range(slices - 1)]
     cuts = df.groupBy(*by).agg(F.percentile_approx(order, points, accuracy).alias("_cuts"))
-    # broadcast: `slices` numbers per group of a bounded dimension
-    sliced = df.join(F.broadcast(cuts), by).withColumn(
+    sliced = df.join(send(cuts), by).withColumn(
         "_slice", F.size(F.filter("_cuts", lambda c: c < F.col(order)))
     ).drop("_cuts")
     totals = sliced.groupBy(*by, "_slice").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
@@ -54,29 +58,25 @@ def running_totals(
         *by, "_slice", *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_o_{c}") for c in sums]
     )
     within = Window.partitionBy(*by, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    # broadcast: at most `slices` rows per group
-    return sliced.join(F.broadcast(offsets), [*by, "_slice"]).select(
+    return sliced.join(send(offsets), [*by, "_slice"]).select(
         *df.columns,
         *[(F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(within), F.lit(0))).alias(name) for c, name in sums.items()],
     )
 
 
-def exact_median(long: DataFrame, by: list[str], value: str, *, accuracy: int = 10_000) -> DataFrame:
+def exact_median(long: DataFrame, by: list[str], value: str, *, accuracy: int = 10_000, many_groups: bool = False) -> DataFrame:
     """Median per group, nulls and NaN skipped, for groups that may hold the whole table.
 
     Two approximate quantiles bracket the median; rows below are only counted, and just the narrow
     bracket is ordered, as counts per distinct value.
     """
+    send = (lambda df: df) if many_groups else bounded_broadcast
     spread = 2.0 / accuracy
     points = [max(0.0, 0.5 - spread), min(1.0, 0.5 + spread)]
-    counts = (
-        long.filter(F.col(value).isNotNull() & ~F.isnan(value))
-        .groupBy(*by, value)
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
+    present = long.filter(F.col(value).isNotNull() & ~F.isnan(value))
+    counts = present.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
     brackets = (
-        long.filter(F.col(value).isNotNull() & ~F.isnan(value))
-        .groupBy(*by)
+        present.groupBy(*by)
         .agg(
             F.percentile_approx(value, points, accuracy).alias("_q"),
             F.count(F.lit(1)).alias("_total"),
@@ -84,12 +84,11 @@ def exact_median(long: DataFrame, by: list[str], value: str, *, accuracy: int =
         # two more whole steps outwards: the sketch is off by less than one step
         .select(*by, F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"), "_total")
     )
-    # broadcast: one row per group of a bounded dimension
-    marked = counts.join(F.broadcast(brackets), by)
+    marked = counts.join(send(brackets), by)
     below = marked.groupBy(*by).agg(
         F.sum(F.when(F.col(value) < F.col("_lo"), F.col("_n")).otherwise(0)).alias("_below")
     )
-    inside = marked.filter(F.col(value).between(F.col("_lo"), F.col("_hi"))).join(F.broadcast(below), by)
+    inside = marked.filter(F.col(value).between(F.col("_lo"), F.col("_hi"))).join(send(below), by)
     upto = Window.partitionBy(*by).orderBy(value)
     ranked = inside.withColumn("_upto", F.col("_below") + F.sum("_n").over(upto)).withColumn(
         "_from", F.col("_upto") - F.col("_n") + 1

@@ -1,8 +1,8 @@
-"""Equi-joins of a big table to a one-row-per-key table that survive hot keys."""
+"""Joins to a one-row-per-key table that survive hot keys, and broadcasts with a checked bound."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Rows of one key that one task may get before the key is spread over several.
@@ -51,3 +51,16 @@ def salted_join(
     copies = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
     right = small.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
     return left.join(right, [key, "_salt"]).drop("_salt")
+
+
+# Rows a broadcast look-up table may have.
+MAX_LOOKUP_ROWS = 100_000
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = MAX_LOOKUP_ROWS) -> DataFrame:
+    """Broadcast hint behind a check: at most `max_rows` rows are ever sent, and a table with more stops
+    the query with an error instead of losing rows. For tables with one row per task, feature or
+    slice; what may be larger is joined without a hint (`many_groups` of the callers)."""
+    capped = df.limit(max_rows + 1).withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy()))
+    message = F.lit(f"more than {max_rows} rows to broadcast; use many_groups")
+    return F.broadcast(capped.filter(F.assert_true(F.col("_rows") <= max_rows, message).isNull()).drop("_rows"))

@@ -91,15 +91,15 @@ def train_panel(
 def score_panel(
     models: dict[str, RiskModel], wide: dict[int | None, DataFrame], *, tasks=ALL_TASKS, top_k: int = 5, seed: int = 42,
     use_directions: bool = True, parallel: int = 3,
-) -> tuple[DataFrame, DataFrame]:
-    """(scores, top contributions) for all patients and tasks, long.
+) -> DataFrame:
+    """Scores and contributor views of all patients and tasks, long: one row per patient and task.
 
-    The strongest k contributions are picked inside each row; only those leave it.
+    The strongest k contributions and their words are made inside the row that is scored.
     """
     spark = next(iter(wide.values())).sparkSession
     dim = concept_dim(spark)
     record = ["patient_id", "label_time"]
-    medians, signs = {}, {}
+    medians, signs, words = {}, {}, {}
     for hours, df in wide.items():
         names = [c for c in df.columns if c not in record]
         # the background is a sample by design: medians come from 4,000 to 8,000 evenly spread rows
@@ -109,19 +109,19 @@ def score_panel(
         table = inline_table(spark, [(n,) for n in names], "feature string")
         rows = explain.directions(table, dim).collect() if use_directions else []
         signs[hours] = {r["feature"]: r["direction"] for r in rows}
+        words[hours] = explain.words_of(names, dim)
+
     def one(task):
-        model, df = models[task.name], wide[task.window]
-        scored = model.score(df, record).withColumn("task", F.lit(task.name))
+        model, hours = models[task.name], task.window
         weight = {r["feature"]: r["importance"] for r in model.importance(spark).collect()}  # one row per column
-        every = explain.contribution_array(model.features, weight, medians[task.window], signs[task.window])
-        picked = explain.top_k_array(every, top_k)
-        top = df.select("patient_id", F.lit(task.name).alias("task"), F.posexplode(picked).alias("r", "c"))
-        return scored, top.select("patient_id", "task", (F.col("r") + 1).alias("rank"), "c.*")
+        every = explain.contribution_array(model.features, weight, medians[hours], signs[hours])
+        up, down = explain.views_in_row(explain.top_k_array(every, top_k), words[hours])
+        viewed = wide[hours].withColumns({"contributors": up, "protective_factors": down})
+        scored = model.score(viewed, [*record, "contributors", "protective_factors"])
+        return scored.withColumn("task", F.lit(task.name))
 
     with ThreadPoolExecutor(parallel) as pool:
-        parts = list(pool.map(one, tasks))
-    union = lambda frames: reduce(lambda a, b: a.unionByName(b), frames)
-    return union([s for s, _ in parts]), union([t for _, t in parts])
+        return reduce(lambda a, b: a.unionByName(b), pool.map(one, tasks))
 
 
 def panel_profiles(
@@ -130,8 +130,5 @@ def panel_profiles(
 ) -> DataFrame:
     """Nested panel per patient: arrays `forward` and `chronic`, each sorted by probability."""
     spark = next(iter(wide.values())).sparkSession
-    scores, tops = score_panel(models, wide, tasks=tasks, top_k=top_k, seed=seed)
-    views = explain.contributor_views(tops, ["patient_id", "task"], concept_dim(spark))
-    nested = explain.nest_views(views, ["patient_id", "task"])
-    columns = ["patient_id", "task", "probability", "raw_probability", "point_estimate", "uncertainty"]
-    return profiles.panel(scores.select(*columns), nested, task_dim(spark, tasks), panel_metrics)
+    scores = score_panel(models, wide, tasks=tasks, top_k=top_k, seed=seed)
+    return profiles.panel(scores, task_dim(spark, tasks), panel_metrics)
