@@ -5,7 +5,7 @@ import pytest
 from tests.compare import checking_db, difference
 from wardline.catalog import ORACLES, QUERIES
 
-SLOW = {"train_panel", "manifest", "panel_profile"}
+SLOW = {"train_panel", "manifest"}
 
 
 @pytest.fixture(scope="module")

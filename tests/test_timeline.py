@@ -140,3 +140,25 @@ def test_missing_star(spark):
         spark.range(1).write.csv(f"{root}/{sub}.csv.gz")
     with pytest.raises((FileNotFoundError, ValueError)):
         read_star(spark, root)
+
+
+def test_raw_payload_keeps_the_later_of_two_columns_with_one_name(spark):
+    wide = spark.createDataFrame([("a", T0, 1.0, 2.0, 3.0, 1.0, 40.0)], "patient_id string, label_time timestamp_ntz, v1 double, v2 double, v3 double, d double, age double")
+    names = {"v1": "value__LAB/X", "v2": "value__LAB/Y", "v3": "value__LAB/Z", "d": "count__DX/Q"}
+    for old, new in names.items():
+        wide = wide.withColumnRenamed(old, new)
+    concepts = inline_table(spark, [("LAB/X", "Same"), ("LAB/Y", "Same")], "code string, name string")
+    got = mx.raw_payload(wide, [*names.values(), "age"], concepts).first()
+    assert got["lab_results"] == {"Same": 2.0, "LAB/Z": 3.0} and got["past_conditions"] == ["DX/Q"] and got["age"] == 40.0
+
+
+def test_training_table_needs_every_label(spark):
+    tasks = [get_task("mortality_1y"), get_task("readmission_30d")]
+    wide = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "patient_id string, age double")
+    rows = [("mortality_1y", "a", 1.0), ("readmission_30d", "a", 0.0), ("mortality_1y", "b", 0.0)]
+    labels = spark.createDataFrame(rows, "task string, patient_id string, value double")
+    splits = spark.createDataFrame([("a", "train"), ("b", "test")], "patient_id string, split string")
+    ok = mx.align_tasks(wide.filter("patient_id = 'a'"), labels, splits, tasks).first()
+    assert (ok["label__mortality_1y"], ok["label__readmission_30d"], ok["split"]) == (1.0, 0.0, "train")
+    with pytest.raises(Exception, match="no label or split for patient b"):
+        mx.align_tasks(wide, labels, splits, tasks).select("split").collect()

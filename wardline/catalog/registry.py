@@ -105,15 +105,20 @@ class Views:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._tables: dict[str, DataFrame] = {}
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._tables[name]
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in VIEWS:
             raise AttributeError(name)
         text = VIEWS[name].replace("{STR}", "STRING").replace("{TS}", "TIMESTAMP_NTZ")
-        return self.spark.sql(text, **{t: self.base(t) for t in re.findall(r"{(\w+)}", text)})
+        view = self.spark.sql(text, **{t: self.base(t) for t in re.findall(r"{(\w+)}", text)})
+        setattr(self, name, view)
+        return view
 
     @cached_property
     def cohort(self) -> DataFrame:

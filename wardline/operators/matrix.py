@@ -150,6 +150,23 @@ def align(wide: DataFrame, labels: DataFrame, splits: DataFrame) -> DataFrame:
     return joined.withColumn("split", checked).drop("_labelled")
 
 
+def align_tasks(wide: DataFrame, labels: DataFrame, splits: DataFrame, tasks) -> DataFrame:
+    """The matrix with its split and one column `label__<task>` per task: what all tasks of a window
+    train on, so the matrix is joined and written once, not once per task. A patient without a split or
+    without one of the labels is an error."""
+    names = [t.name for t in tasks]
+    own = labels.filter(F.col("task").isin(names))
+    values = own.groupBy("patient_id").agg(
+        *[F.max(F.when(F.col("task") == n, F.col("value"))).alias(f"label__{n}") for n in names]
+    )
+    joined = wide.join(values, "patient_id", "left").join(splits, "patient_id", "left")
+    complete = F.col("split").isNotNull()
+    for n in names:
+        complete = complete & quoted(f"label__{n}").isNotNull()
+    message = F.concat(F.lit("no label or split for patient "), "patient_id")
+    return joined.withColumn("split", F.when(complete, F.col("split")).otherwise(F.raise_error(message).cast("string")))
+
+
 def cross_window_align(by_window: dict[int | None, DataFrame]) -> DataFrame:
     """Matrices of several windows side by side per patient, columns suffixed by the window."""
     out = None
@@ -191,18 +208,27 @@ def raw_payload(wide: DataFrame, features: list[str], concepts: DataFrame) -> Da
         .withColumn("family", fn.code_family(F.col("code")))
         .withColumn("is_value", F.col("feature").startswith("value__"))
     )
-    entry = F.struct(F.col("concept"), F.bround("value", 2).alias("value"))
-    measured = lambda family: F.map_from_entries(
-        F.array_sort(F.collect_list(F.when((F.col("family") == family) & F.col("is_value"), entry)))
-    )
+    entry = F.struct(F.col("concept"), F.col("pos"), F.bround("value", 2).alias("value"))
+    measured = lambda family: F.array_sort(
+        F.collect_list(F.when((F.col("family") == family) & F.col("is_value"), entry))
+    ).alias(family)
     past = F.when((F.col("family") == "DX") & (F.col("value") >= 1), F.col("concept"))
     admissions = F.when((F.col("family") == "UTIL") & F.col("is_value"), F.bround("value", 1))
     # every group is one matrix row: as many cells as there are features
     grouped = named.groupBy(*RECORD).agg(
-        measured("VITAL").alias("vital_signs"),
-        measured("LAB").alias("lab_results"),
+        measured("VITAL"),
+        measured("LAB"),
         F.array_sort(F.collect_set(past)).alias("past_conditions"),
         F.max(admissions).alias("prior_admissions"),
         F.max(F.when(F.col("feature") == "age", F.col("value"))).alias("age"),
     )
-    return grouped
+
+    def as_map(name: str) -> Column:
+        """Of two columns with one name the later one counts."""
+        cells = F.col(name)
+        last = F.filter(cells, lambda x, i: F.coalesce(F.get(cells, i + 1)["concept"] != x["concept"], F.lit(True)))
+        return F.map_from_entries(F.transform(last, lambda x: F.struct(x["concept"], x["value"])))
+
+    return grouped.select(
+        *RECORD, "age", as_map("VITAL").alias("vital_signs"), as_map("LAB").alias("lab_results"), "past_conditions", "prior_admissions"
+    )

@@ -55,11 +55,16 @@ def train_panel(
     spark = first.sparkSession
     splits = materialize(assign_split(first, seed=seed), "splits")
 
+    tables = {
+        hours: materialize(mx.align_tasks(df, labels, splits, [t for t in tasks if t.window == hours]), "training")
+        for hours, df in wide.items()
+    }
+
     def one(task):
         columns = mx.allowed_features(vocab[task.window].feature_names, task.exclude_prefixes)
-        own = labels.filter(F.col("task") == task.name).select("patient_id", "value")
-        rows = mx.align(wide[task.window].select("patient_id", *[mx.quoted(c) for c in columns]), own, splits)
-        rows = materialize(rows, f"train-{task.name}")
+        rows = tables[task.window].select(
+            "patient_id", "split", mx.quoted(f"label__{task.name}").alias("label"), *[mx.quoted(c) for c in columns]
+        )
         part = lambda name: rows.filter(F.col("split") == name)
         model = fit_model(part("train"), part("val"), columns, task.kind, params=params, calibration=calibration)
         # the metrics read the scores several times: keep them, not the forest's work
