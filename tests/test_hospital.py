@@ -112,6 +112,27 @@ def test_no_reading_after_the_cutoff_leaks(spark):
     assert vital["max"] == 60.0 and ms.lab_latest(lab, stay, windows=(24,)).first()["last"] == 5.0
 
 
+def test_a_stay_with_a_third_of_all_readings_gives_the_same_statistics(spark):
+    from wardline.operators.skew import hot_keys
+
+    stays = spark.range(30).select(
+        F.col("id").alias("hadm_id"), F.lit(T0).alias("admittime"), F.lit(at(48)).alias("dischtime")
+    )
+    chart = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(4)).otherwise(F.col("id") % 30).alias("hadm_id"),
+        F.when(F.col("id") % 2 == 0, 220045).otherwise(220210).cast("bigint").alias("itemid"),
+        (F.col("id") * 37 % 101).cast("double").alias("valuenum"),
+        (F.lit(T0) + F.expr("INTERVAL '1' MINUTE * (id * 13 % 2000)")).alias("charttime"),
+    )
+    hot = hot_keys(chart, "hadm_id", rows_per_salt=100)
+    assert hot.filter("hadm_id = 4 AND _salts > 9").count() == 1
+    plain = {tuple(r)[:3]: tuple(r)[3:] for r in ms.vital_summary(chart, stays, windows=(None, 24)).collect()}
+    spread = {tuple(r)[:3]: tuple(r)[3:] for r in ms.vital_summary(chart, stays, windows=(None, 24), hot=hot).collect()}
+    assert plain.keys() == spread.keys()
+    for key, row in plain.items():
+        assert spread[key] == pytest.approx(row, nan_ok=True)
+
+
 def test_fahrenheit(spark):
     chart = spark.createDataFrame([(1, 223761, 98.6, at(1)), (1, 223762, 36.0, at(2))], FACT)
     got = ms.vital_summary(chart, one_stay(spark)).first()

@@ -459,3 +459,25 @@ FROM panel_scores s JOIN panel_task t ON t.task = s.task JOIN panel_rating r ON
 def health_payload_expected(v: Views):
     rows = profiles.health_payload(panels(v)).select("patient_id", F.explode("payload.expected_outcomes").alias("r"))
     return rows.select("patient_id", "r.outcome", "r.estimate", "r.model_reliability")
+
+
+@query(
+    "payload_json",
+    """
+SELECT s.patient_id, t.label AS first_outcome, CAST(round_even(s.probability * 100, 0) AS VARCHAR) AS first_percent, '2' AS n_chronic
+FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY probability DESC, task) AS nth FROM panel_scores
+      WHERE task_group = 'forward' AND kind = 'binary') s JOIN panel_task t ON t.task = s.task WHERE s.nth = 1""".replace(
+        "CAST(round_even(s.probability * 100, 0) AS VARCHAR)", "CAST(CAST(round_even(s.probability * 100, 0) AS BIGINT) AS VARCHAR)"
+    ),
+)
+def payload_json(v: Views):
+    """The payload as JSON text, read back by path."""
+    text = profiles.health_payload(panels(v)).select("patient_id", "payload_json")
+    at = lambda path: F.get_json_object("payload_json", path)
+    chronic = F.json_array_length(at("$.chronic_profile")).cast("string")
+    return text.select(
+        "patient_id",
+        at("$.forward_risks[0].outcome").alias("first_outcome"),
+        at("$.forward_risks[0].chance_percent").alias("first_percent"),
+        chronic.alias("n_chronic"),
+    )

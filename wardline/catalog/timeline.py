@@ -15,7 +15,7 @@ from wardline.operators.concepts import (
 )
 from wardline.operators.ranking import hash_rank
 from wardline.operators.split import assign_split
-from wardline.session import inline_table
+from wardline.session import inline_table, materialize
 
 DAYS = 14
 TOP = 4
@@ -69,15 +69,22 @@ FROM id_rank""",
 )
 
 
+def folded(v: Views):
+    """Events of the windows folded per code, written once per query: vocabulary and matrix read it."""
+    if "folded_events" not in v.__dict__:
+        v.folded_events = materialize(mx.fold(v.ev, v.lb, lookback_days=DAYS), "folded")
+    return v.folded_events
+
+
 def vocab(v: Views) -> mx.Vocabulary:
     """Learned once per query."""
     if "vocabulary" not in v.__dict__:
-        v.vocabulary = mx.fit_vocab(v.ev, v.lb, lookback_days=DAYS, max_features=200, numeric="auto")
+        v.vocabulary = mx.fit_vocab(v.ev, v.lb, max_features=200, numeric="auto", folded=folded(v))
     return v.vocabulary
 
 
 def wide(v: Views):
-    return mx.matrix(v.ev, v.lb, vocab(v), lookback_days=DAYS)
+    return mx.matrix(v.ev, v.lb, vocab(v), folded=folded(v))
 
 
 @query(
@@ -103,12 +110,12 @@ def events_before(v: Views):
 
 @query("code_doc_freq", "SELECT code, doc_freq FROM doc_freq")
 def code_doc_freq(v: Views):
-    return mx.code_doc_freq(v.ev, v.lb, lookback_days=DAYS)
+    return mx.code_doc_freq(mx.fold(v.ev, v.lb, lookback_days=DAYS))
 
 
 @query("vocab_topn", f"SELECT code, doc_freq FROM doc_freq ORDER BY doc_freq DESC, code LIMIT {TOP}")
 def vocab_topn(v: Views):
-    return mx.vocab_topn(mx.code_doc_freq(v.ev, v.lb, lookback_days=DAYS), TOP)
+    return mx.vocab_topn(mx.code_doc_freq(mx.fold(v.ev, v.lb, lookback_days=DAYS)), TOP)
 
 
 @query(
@@ -128,18 +135,18 @@ WHERE w.code IN (SELECT code FROM doc_freq ORDER BY doc_freq DESC, code LIMIT {T
 def numeric_codes_whitelist(v: Views):
     """The white list, in its own order, cut down to the vocabulary."""
     listed = inline_table(v.spark, enumerate(DEFAULT_NUMERIC_CODES), "pos int, code string")
-    top = mx.vocab_topn(mx.code_doc_freq(v.ev, v.lb, lookback_days=DAYS), TOP)
+    top = mx.vocab_topn(mx.code_doc_freq(mx.fold(v.ev, v.lb, lookback_days=DAYS)), TOP)
     return listed.join(top.select("code"), "code", "left_semi").select("pos", "code")
 
 
 @query("count_features", "SELECT patient_id, code, n FROM counted")
 def count_features(v: Views):
-    return mx.record_codes(ev.in_lookback(v.ev, v.lb, DAYS)).select("patient_id", "code", "n")
+    return mx.fold(v.ev, v.lb, lookback_days=DAYS).select("patient_id", "code", "n")
 
 
 @query("value_features", "SELECT patient_id, code, last FROM latest")
 def value_features(v: Views):
-    folded = mx.record_codes(ev.in_lookback(v.ev, v.lb, DAYS))
+    folded = mx.fold(v.ev, v.lb, lookback_days=DAYS)
     return folded.filter(F.col("last").isNotNull()).select("patient_id", "code", "last")
 
 

@@ -32,10 +32,23 @@ class Vocabulary:
         return [f"count__{c}" for c in self.codes] + [f"value__{c}" for c in self.numeric] + list(DEMOGRAPHIC)
 
 
-def code_doc_freq(events: DataFrame, labels: DataFrame, *, lookback_days: int) -> DataFrame:
+def record_codes(window: DataFrame) -> DataFrame:
+    """(record, code, n, last): the events of each window folded per code, map-side combined."""
+    return window.groupBy(*RECORD, "code").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.max(F.when(F.col("value").isNotNull(), F.struct("time", "value")))["value"].alias("last"),
+    )
+
+
+def fold(events: DataFrame, labels: DataFrame, *, lookback_days: int) -> DataFrame:
+    """The one pass over the events: vocabulary and matrix both follow from it. Write it once
+    (`materialize`) where both are wanted."""
+    return record_codes(in_lookback(events, labels, lookback_days))
+
+
+def code_doc_freq(folded: DataFrame) -> DataFrame:
     """(code, doc_freq): records with the code in their window."""
-    seen = in_lookback(events, labels, lookback_days).select(*RECORD, "code").distinct()
-    return seen.groupBy("code").agg(F.count(F.lit(1)).alias("doc_freq"))
+    return folded.groupBy("code").agg(F.count(F.lit(1)).alias("doc_freq"))
 
 
 def vocab_topn(doc_freq: DataFrame, max_features: int) -> DataFrame:
@@ -60,9 +73,15 @@ def fit_vocab(
     lookback_days: int = 365,
     max_features: int = 200,
     numeric: str | tuple[str, ...] | None = None,
+    folded: DataFrame | None = None,
 ) -> Vocabulary:
-    """Learn the columns. What comes to the driver is the column list, `max_features` names at most."""
-    top = vocab_topn(code_doc_freq(events, labels, lookback_days=lookback_days), max_features)
+    """Learn the columns. What comes to the driver is the column list, `max_features` names at most.
+
+    `folded` is `fold(events, labels)` where it exists already.
+    """
+    if folded is None:
+        folded = fold(events, labels, lookback_days=lookback_days)
+    top = vocab_topn(code_doc_freq(folded), max_features)
     if numeric == "auto":
         found = numeric_codes(events, labels).withColumn("is_numeric", F.lit(True))
         top = top.join(found, "code", "left")
@@ -76,28 +95,22 @@ def fit_vocab(
     return Vocabulary(codes, tuple(c for c in wanted if c in codes))
 
 
-def record_codes(window: DataFrame, vocab: Vocabulary | None = None) -> DataFrame:
-    """(record, code, n, last): events in a window folded per code; codes outside the vocabulary as one."""
-    code = F.col("code")
-    if vocab is not None:
-        code = F.when(code.isin(list(vocab.codes)), code).otherwise(OTHER)
-    return window.groupBy(*RECORD, code.alias("code")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.max(F.when(F.col("value").isNotNull(), F.struct("time", "value")))["value"].alias("last"),
-    )
-
-
-def matrix(events: DataFrame, labels: DataFrame, vocab: Vocabulary, *, lookback_days: int = 365) -> DataFrame:
+def matrix(
+    events: DataFrame, labels: DataFrame, vocab: Vocabulary, *, lookback_days: int = 365, folded: DataFrame | None = None
+) -> DataFrame:
     """One row per label row with the columns of `vocab.feature_names`.
 
-    Events fold to (record, code) first, map-side combined; only that reaches the pivot, which looks
-    codes up by hash instead of testing each of the columns.
+    Only the folded events reach the pivot, which looks codes up by hash instead of testing each of
+    the columns. Codes outside the vocabulary go into one cell: they count in `n_events`.
     """
-    folded = record_codes(in_lookback(events, labels, lookback_days), vocab)
+    if folded is None:
+        folded = fold(events, labels, lookback_days=lookback_days)
+    code = F.when(F.col("code").isin(list(vocab.codes)), F.col("code")).otherwise(OTHER)
     wide = (
-        folded.groupBy(*RECORD)
+        folded.withColumn("code", code)
+        .groupBy(*RECORD)
         .pivot("code", [*vocab.codes, OTHER])
-        .agg(F.first("n").alias("n"), F.first("last").alias("last"))
+        .agg(F.sum("n").alias("n"), F.max("last").alias("last"))
     )
     count = {c: F.coalesce(quoted(f"{c}_n"), F.lit(0)) for c in [*vocab.codes, OTHER]}
     total = F.aggregate(F.array(*count.values()), F.lit(0).cast("bigint"), lambda acc, n: acc + n)

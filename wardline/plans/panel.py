@@ -29,12 +29,13 @@ def window_matrices(
         anchor = next(t for t in tasks if t.window == hours)
         ev = events.filter(F.col("obs_window") == anchor.tag).drop("obs_window")
         lb = labels.filter(F.col("task") == anchor.name).drop("task")
-        learn = lb
+        folded = materialize(mx.fold(ev, lb, lookback_days=lookback_days), f"folded-{anchor.tag}")
+        learn, seen = lb, folded
         if fit_on == "train":
-            train = assign_split(lb, seed=seed).filter(F.col("split") == "train")
-            learn = lb.join(train.select("patient_id"), "patient_id", "left_semi")
-        vocab[hours] = mx.fit_vocab(ev, learn, lookback_days=lookback_days, max_features=max_features, numeric=numeric)
-        wide[hours] = materialize(mx.matrix(ev, lb, vocab[hours], lookback_days=lookback_days), f"matrix-{anchor.tag}")
+            train = assign_split(lb, seed=seed).filter(F.col("split") == "train").select("patient_id")
+            learn, seen = (df.join(train, "patient_id", "left_semi") for df in (lb, folded))
+        vocab[hours] = mx.fit_vocab(ev, learn, max_features=max_features, numeric=numeric, folded=seen)
+        wide[hours] = materialize(mx.matrix(ev, lb, vocab[hours], folded=folded), f"matrix-{anchor.tag}")
     return wide, vocab
 
 
