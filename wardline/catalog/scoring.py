@@ -446,7 +446,8 @@ FROM panel_scores s JOIN panel_task t ON t.task = s.task JOIN panel_rating r ON
 )
 def health_payload(v: Views):
     """Forward risks of the payload, one row each."""
-    risks = profiles.health_payload(panels(v)).select("patient_id", F.explode("payload.forward_risks").alias("r"))
+    risks = profiles.health_payload(panels(v)).select("patient_id", F.explode_outer("payload.forward_risks").alias("r"))
+    risks = risks.filter(F.col("r").isNotNull())
     return risks.select("patient_id", "r.*").withColumn("top_factors", F.array_join("top_factors", "|"))
 
 
@@ -457,7 +458,8 @@ SELECT s.patient_id, t.label AS outcome, round_even(s.point_estimate, 1) AS esti
 FROM panel_scores s JOIN panel_task t ON t.task = s.task JOIN panel_rating r ON r.task = s.task WHERE s.kind = 'regression'""",
 )
 def health_payload_expected(v: Views):
-    rows = profiles.health_payload(panels(v)).select("patient_id", F.explode("payload.expected_outcomes").alias("r"))
+    rows = profiles.health_payload(panels(v)).select("patient_id", F.explode_outer("payload.expected_outcomes").alias("r"))
+    rows = rows.filter(F.col("r").isNotNull())
     return rows.select("patient_id", "r.outcome", "r.estimate", "r.model_reliability")
 
 

@@ -31,8 +31,9 @@ def _starts_with(norm: Column, prefixes) -> Column:
     return out
 
 
-def icd_group_array(norm: Column, number: Column, groups=ICD_GROUPS) -> Column:
-    """All groups a normalised diagnosis code of a version belongs to; at most one entry per group.
+def icd_group_slots(norm: Column, number: Column, groups=ICD_GROUPS) -> Column:
+    """One array slot per group: its code if the normalised diagnosis code of that version belongs to
+    it, else null. Free of lambdas, so that it stays in generated code.
 
     The code book is a fixed, short list, so the test is one expression per row: no join, no shuffle,
     and a code that fills a third of the table cannot skew anything.
@@ -48,8 +49,7 @@ def icd_group_array(norm: Column, number: Column, groups=ICD_GROUPS) -> Column:
         ninth.append(F.when(hit, F.lit(group.code)))
         tenth.append(F.when(_starts_with(norm, group.icd10_prefixes), F.lit(group.code)))
     none = F.array().cast("array<string>")
-    by_version = F.when(number == 9, F.array(*ninth)).when(number == 10, F.array(*tenth)).otherwise(none)
-    return F.array_compact(by_version)
+    return F.when(number == 9, F.array(*ninth)).when(number == 10, F.array(*tenth)).otherwise(none)
 
 
 def los_days(admit: Column, discharge: Column) -> Column:

@@ -55,19 +55,25 @@ def utilization_events(history: DataFrame) -> DataFrame:
     )
 
 
-def classified(dx: DataFrame, groups=ICD_GROUPS) -> DataFrame:
-    """(hadm_id, norm, version, groups) per diagnosis row."""
+def _slots(dx: DataFrame, groups) -> DataFrame:
     cleaned = dx.select(
         "hadm_id",
         fn.icd_normalize(F.col("icd_code")).alias("norm"),
         fn.icd_version_number(F.col("icd_version")).alias("version"),
     )
-    return cleaned.withColumn("groups", fn.icd_group_array(F.col("norm"), F.col("version"), groups))
+    return cleaned.withColumn("slots", fn.icd_group_slots(F.col("norm"), F.col("version"), groups))
+
+
+def classified(dx: DataFrame, groups=ICD_GROUPS) -> DataFrame:
+    """(hadm_id, norm, version, groups) per diagnosis row."""
+    return _slots(dx, groups).withColumn("groups", F.array_compact("slots")).drop("slots")
 
 
 def icd_groups(dx: DataFrame) -> DataFrame:
     """Distinct (hadm_id, grp): at most one row per stay and group, combined before the shuffle."""
-    return classified(dx).select("hadm_id", F.explode("groups").alias("grp")).distinct()
+    # the outer form: before a plain explode Spark tests the array's size, which works it out twice
+    hits = _slots(dx, ICD_GROUPS).select("hadm_id", F.explode_outer("slots").alias("grp"))
+    return hits.filter(F.col("grp").isNotNull()).distinct()
 
 
 def dx_by_index(cohort: DataFrame, adm: DataFrame, dx: DataFrame) -> DataFrame:
