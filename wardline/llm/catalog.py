@@ -1,10 +1,23 @@
 """The operators' registered queries and the SQL that checks them."""
 
+from wardline.llm.bpe import op4_bpe
+from wardline.llm.decontaminate import OP5_SQL, op5_decontaminate
 from wardline.llm.minhash import OP6_SQL, op6_minhash
+from wardline.llm.ppm import op10_lm_score
+from wardline.llm.sharding import op3_sharding
+from wardline.llm.substring import op1_substring
+from wardline.llm.toxicity import op8_toxicity
 
 QUERIES = {
+    "op1_substring": op1_substring,
+    "op3_sharding": op3_sharding,
+    "op4_bpe": op4_bpe,
+    "op5_decontaminate": op5_decontaminate,
     "op6_minhash": op6_minhash,
+    "op8_toxicity": op8_toxicity,
+    "op10_lm_score": op10_lm_score,
 }
 ORACLES = {
+    "op5_decontaminate": OP5_SQL,
     "op6_minhash": OP6_SQL,
 }
