@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.text import table
-from wardline.session import materialize
+from wardline.session import inline_table, materialize
 
 #: Bins of a histogram, and the share of a leaf's bytes by which a cut may miss its target.
 BINS, MISS = 1024, 0.0005
@@ -23,26 +23,34 @@ _VALUE_BITS, _TIE_BITS = 28, 34
 
 
 @dataclass
-class _Node:
-    leaves: int
-    first: int
-    dimension: int = -1
-    cut: int = 0
-    low: _Node | None = None
-    high: _Node | None = None
-
-    def column(self, keys: list[str]) -> Column:
-        """The first shard of the leaf (or unsplit node) that a row falls into."""
-        if self.low is None:
-            return F.lit(self.first)
-        return F.when(F.col(keys[self.dimension]) < F.lit(self.cut), self.low.column(keys)).otherwise(
-            self.high.column(keys)
-        )
+class _Search:
+    """Where the cut of one node lies: in [low, high) of the keys of its dimension, with `wanted` bytes of that range
+    still to go to the low side."""
 
-    def open(self) -> list[_Node]:
-        if self.low is not None:
-            return self.low.open() + self.high.open()
-        return [self] if self.leaves > 1 else []
+    first: int
+    leaves: int
+    dimension: int
+    wanted: float
+    leaf: float
+    low: int = 0
+    high: int = 1 << (_VALUE_BITS + _TIE_BITS)
+
+    @property
+    def step(self) -> int:
+        return -(-(self.high - self.low) // BINS)
+
+    def narrow(self, bins: list) -> None:
+        for r in bins:
+            if r["w"] <= self.wanted:
+                self.wanted -= r["w"]
+                continue
+            self.low, self.high = self.low + r["bin"] * self.step, min(self.high, self.low + (r["bin"] + 1) * self.step)
+            if r["w"] <= self.leaf * MISS:
+                self.high = self.low
+            elif self.high - self.low == 1 and 2 * self.wanted > r["w"]:
+                self.low = self.high  # the rows of one key stay together, on the nearer side
+            return
+        self.low = self.high
 
 
 def _ordered(column: str, kind: str) -> Column:
@@ -52,54 +60,47 @@ def _ordered(column: str, kind: str) -> Column:
     return F.col(column).cast("double")
 
 
-def _cuts(rows: DataFrame, tree: _Node, keys: list[str], weight: str) -> None:
-    """Splits every open node of the tree once."""
-    spread = [f(F.shiftright(k, _TIE_BITS)).alias(f"{n}{i}") for i, k in enumerate(keys) for n, f in (("min", F.min), ("max", F.max))]
-    measured = {
-        r["node"]: r
-        for r in rows.groupBy(tree.column(keys).alias("node")).agg(F.sum(weight).alias("w"), *spread).collect()
-    }
-    search = {}
-    for node in tree.open():
-        r = measured.get(node.first)
-        node.dimension = max(range(len(keys)), key=lambda i: (r[f"max{i}"] - r[f"min{i}"], -i)) if r else 0
-        total = r["w"] if r else 0
-        # bytes still wanted on the low side, and the key range in which the cut lies
-        search[node.first] = [total * (node.leaves // 2) / node.leaves, 0, 1 << (_VALUE_BITS + _TIE_BITS), total / node.leaves, node]
-    while open_ := {k: s for k, s in search.items() if s[2] - s[1] > 1 and s[0] > 0}:
-        at = tree.column(keys)
-        bins = F.lit(None).cast("int")
-        for first, (_, low, high, _, node) in open_.items():
-            step = -(-(high - low) // BINS)
-            key = F.col(keys[node.dimension])
-            inside = (at == first) & (key >= low) & (key < high)
-            bins = F.when(inside, F.expr(f"int(({keys[node.dimension]} - {low}L) div {step}L)")).otherwise(bins)
-        found = (
-            rows.select(at.alias("node"), bins.alias("bin"), weight).where("bin is not null")
-            .groupBy("node", "bin").agg(F.sum(weight).alias("w")).orderBy("node", "bin").collect()
+def _split(rows: DataFrame, leaves: dict[int, int], weight: str, dimensions: int) -> tuple[DataFrame, dict[int, int]]:
+    """Splits every node of more than one leaf once: rows with their new `__node`, and the leaves below each node."""
+    spark = rows.sparkSession
+    open_ = [n for n, count in leaves.items() if count > 1]
+    key = "element_at(__keys, dimension + 1)"
+    spread = [
+        F.expr(f"max(shiftright(__keys[{i}], {_TIE_BITS})) - min(shiftright(__keys[{i}], {_TIE_BITS}))").alias(f"s{i}")
+        for i in range(dimensions)
+    ]
+    measured = rows.where(F.col("__node").isin(open_)).groupBy("__node").agg(F.sum(weight).alias("w"), *spread).collect()
+    searches = {}
+    for r in measured:
+        first, count = r["__node"], leaves[r["__node"]]
+        widest = max(range(dimensions), key=lambda i: (r[f"s{i}"], -i))
+        searches[first] = _Search(first, count, widest, r["w"] * (count // 2) / count, r["w"] / count)
+    while wide := [s for s in searches.values() if s.high - s.low > 1]:
+        ranges = inline_table(
+            spark, [(s.first, s.dimension, s.low, s.high, s.step) for s in wide],
+            "__node int,dimension int,low bigint,high bigint,step bigint",
+        )
+        bins = (
+            rows.join(F.broadcast(ranges), "__node").where(f"{key} >= low and {key} < high")
+            .groupBy("__node", F.expr(f"int(({key} - low) div step)").alias("bin")).agg(F.sum(weight).alias("w"))
+            .orderBy("__node", "bin").collect()
         )
-        for first, state in open_.items():
-            wanted, low, high, leaf, _ = state
-            step, done = -(-(high - low) // BINS), False
-            for r in found:
-                if r["node"] != first or done:
-                    continue
-                if r["w"] > wanted:
-                    done = True
-                    state[1], state[2] = low + r["bin"] * step, min(high, low + (r["bin"] + 1) * step)
-                    if r["w"] <= leaf * MISS:
-                        state[2] = state[1]
-                else:
-                    wanted -= r["w"]
-            state[0] = wanted
-            if not done:
-                state[1] = state[2] = high
-            elif state[2] - state[1] == 1 and wanted > 0:
-                state[1] += 1  # rows of one key stay together
-    for node in tree.open():
-        node.cut = search[node.first][1]
-        half = node.leaves // 2
-        node.low, node.high = _Node(half, node.first), _Node(node.leaves - half, node.first + half)
+        for s in wide:
+            s.narrow([r for r in bins if r["__node"] == s.first])
+    cuts = inline_table(
+        spark, [(s.first, s.dimension, s.low, s.first + s.leaves // 2) for s in searches.values()],
+        "__node int,dimension int,cut bigint,upper int",
+    )
+    moved = rows.join(F.broadcast(cuts), "__node", "left").withColumn(
+        "__node", F.expr(f"if(cut is null or {key} < cut, __node, upper)")
+    ).drop("dimension", "cut", "upper")
+    below = {}
+    for first, count in leaves.items():
+        half = count // 2 if count > 1 else count
+        below[first] = half
+        if count > 1:
+            below[first + half] = count - half
+    return materialize(moved, "nodes"), below
 
 
 def kd_shards(
@@ -127,14 +128,12 @@ def kd_shards(
     for v in values:
         low, high = ranges[f"min{v}"] or 0.0, ranges[f"max{v}"] or 0.0
         scaled = (F.col(v) - F.lit(low)) * F.lit(((1 << _VALUE_BITS) - 2) / (high - low)) + 1 if high > low else F.lit(1.0)
-        numbered = numbered.withColumn(
-            f"{v}_key", F.coalesce(F.floor(scaled), F.lit(0)).cast("long") * F.lit(1 << _TIE_BITS) + F.col("__tie")
-        )
-        keys.append(f"{v}_key")
-    tree = _Node(count, 0)
-    while ranges["n"] and tree.open():
-        _cuts(numbered, tree, keys, weight)
-    return numbered.withColumn("shard", tree.column(keys).cast("int")).drop(*keys, *values)
+        keys.append(F.coalesce(F.floor(scaled), F.lit(0)).cast("long") * F.lit(1 << _TIE_BITS) + F.col("__tie"))
+    placed = numbered.withColumns({"__keys": F.array(*keys), "__node": F.lit(0)})
+    leaves = {0: count}
+    while max(leaves.values()) > 1:
+        placed, leaves = _split(placed, leaves, weight, len(keys))
+    return placed.withColumn("shard", F.col("__node").cast("int")).drop("__keys", "__node", *values)
 
 
 def with_slots(rows: DataFrame, count: int, order: str = "__tie") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 _UPPER, _LOWER = bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B))
 _LOWERED = bytes.maketrans(_UPPER, _LOWER)
 _SEPARATORS = bytes(b for b in range(0x80) if not (0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A))
-_WORDED = bytes.maketrans(_UPPER + _SEPARATORS, _LOWER + b" " * len(_SEPARATORS))
+WORDED = bytes.maketrans(_UPPER + _SEPARATORS, _LOWER + b" " * len(_SEPARATORS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +35,7 @@ def blank_words(text: str | None) -> list[bytes]:
 
 def plain_words(text: str | None) -> list[bytes]:
     """Words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` with A-Z lower-cased."""
-    return utf8(text).translate(_WORDED).split()
+    return utf8(text).translate(WORDED).split()
 
 
 class _Hashes(dict):
