@@ -10,18 +10,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.graph import beside_texts, components
-from wardline.llm.text import column, mixed, pieces, shingles, signed
+from wardline.llm.graph import components
+from wardline.llm.text import column, mixed, pieces, shingles, signed, table
 from wardline.session import materialize
 
 PERMUTATIONS, BANDS, BAND_ROWS = 64, 25, 5
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _ODD = _RNG.integers(0, 2**63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, PERMUTATIONS, np.uint64)
-_STEP = 4096
+_STEP, BLOCK = 4096, 512
 
 
 def min_max(items: np.ndarray) -> np.ndarray:
@@ -77,29 +77,85 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return rows.mapInArrow(run, SIGNATURES)
 
 
-def _confirm(percent: int):
-    def check(pairs: pd.DataFrame, texts: dict) -> pd.DataFrame:
-        sets: dict[int, np.ndarray] = {}
-        good = []
-        for a, b in zip(pairs["a"], pairs["b"], strict=True):
-            for node in (a, b):
-                if node not in sets:
-                    sets[node] = shingles(texts[node])
-            one, two = sets[a], sets[b]
-            common = 0
-            if 100 * min(len(one), len(two)) >= percent * max(len(one), len(two)):
-                common = len(np.intersect1d(one, two, assume_unique=True))
-            good.append(100 * common >= percent * (len(one) + len(two) - common))
-        return pairs.loc[good, ["a", "b"]]
+def _links(percent: int, slack: float):
+    """Confirms links inside a unit: nodes of one block, or of two blocks of a cluster, with texts and sketches.
+
+    Only links that join two parts not yet joined here are looked for, likeliest first: the rest add nothing to the
+    components. At most one link per node comes out.
+    """
+
+    def united(part: pd.DataFrame) -> list[tuple[int, int]]:
+        nodes, sides = part["node"].tolist(), part["side"].to_numpy()
+        sketch = np.frombuffer(b"".join(part["sketch"]), np.uint8).reshape(len(nodes), -1)
+        sizes = part["n_shingles"].to_numpy()
+        pairs = []
+        for x in range(len(nodes) - 1):
+            alike = (sketch[x + 1 :] == sketch[x]).mean(axis=1)
+            fit = 100 * np.minimum(sizes[x + 1 :], sizes[x]) >= percent * np.maximum(sizes[x + 1 :], sizes[x])
+            fit &= alike >= percent / 100 - slack
+            if sides.any():
+                fit &= sides[x + 1 :] != sides[x]  # two blocks: pairs inside either are another unit's
+            pairs += [(-alike[y], x, x + 1 + y) for y in np.flatnonzero(fit).tolist()]
+        above, sets, out = list(range(len(nodes))), {}, []
+
+        def root(x: int) -> int:
+            while above[x] != x:
+                above[x] = above[above[x]]
+                x = above[x]
+            return x
+
+        texts = part["text"].tolist()
+        for _, x, y in sorted(pairs):
+            one, two = root(x), root(y)
+            if one == two:
+                continue
+            for k in (x, y):
+                if k not in sets:
+                    sets[k] = shingles(texts[k])
+            common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if 100 * common >= percent * (len(sets[x]) + len(sets[y]) - common):
+                above[one] = two
+                out.append((nodes[x], nodes[y]))
+        return out
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        found = [link for _, part in rows.groupby("cluster") for link in united(part)]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _linkable(bands: DataFrame) -> DataFrame:
+    """Rows of (node, band) in bands that two nodes share."""
+    shared = bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    return bands.join(shared.select("band", "low"), "band")
+
+
+def _texts_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(node, text) for one row of each wanted node."""
+    chosen = rows.join(nodes, "node").groupBy("node").agg(F.min(F.struct("text_hash", "doc_id")).alias("one"))
+    wanted = chosen.select("node", F.col("one.text_hash").alias("text_hash"), F.col("one.doc_id").alias("wanted"))
+    return (
+        docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+        .withColumn("text_hash", F.xxhash64("text")).join(wanted, "text_hash").where("doc_id <=> wanted")
+        .dropDuplicates(["node"]).select("node", "text")
+    )
 
-    return check
 
+def _own_shingles(texts: DataFrame) -> DataFrame:
+    """(node, own): how many of a node's shingles no other of these texts has."""
+
+    def run(batches):
+        for batch in pieces(batches):
+            found = [shingles(t) for t in column(batch, "text")]
+            nodes = np.repeat(batch.column(0).to_numpy(), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(nodes), pa.array(signed(np.concatenate([np.empty(0, np.uint64), *found])))], names=["node", "shingle"]
+            )
 
-def _alike(least: float) -> Column:
-    """Agreement of two byte sketches, corrected for bytes that agree by chance, is at least `least`."""
-    return F.expr(
-        "aggregate(sequence(1, 128), 0, (n, i) -> n + if(substr(sketch_a, i, 1) = substr(sketch_b, i, 1), 1, 0))"
-    ) >= F.lit(128 * (least + (1 - least) / 256))
+    rows = texts.select("node", "text").mapInArrow(run, "node bigint, shingle bigint")
+    alone = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last")
+    return alone.groupBy("node").agg(F.count("*").alias("own"))
 
 
 def near_duplicates(
@@ -110,12 +166,13 @@ def near_duplicates(
     Texts are linked when 100 * |intersection| >= percent * |union| of their sets of five-word shingles (with fewer
     words the whole sequence is the one shingle). component_id is the smallest id reachable over links; kept says
     whether the row has that id. Rows with equal sets are one node from the start, so exact copies in any number cost
-    one row each. Candidates share a band (a pair at 85 % is missed with probability 4e-7) and agree in the sketch by
-    more than the threshold less `slack`, five standard deviations.
+    one row each.
 
-    First every node is compared with its bands' smallest nodes. Where a band's group is then still in several
-    components, the nodes outside its largest component are compared with the rest of it: all candidate pairs across
-    components are confirmed, and none inside a component.
+    Candidates share a band; a pair at 85 % is missed with probability 4e-7. A node of whose shingles more than 15 %
+    occur in no other candidate can have no link and leaves, which takes out those that share but a line or a
+    passage. What still hangs together over bands is a cluster; clusters are cut into blocks of 512 nodes and every pair
+    of blocks is one unit of work. Inside a unit pairs whose sketches agree by the threshold less `slack` (five standard
+    deviations) are confirmed on the full sets.
 
     Null, empty and blank texts link with nothing; a null id is never a component's name (a component of null ids only
     keeps a null name and is kept); rows that repeat an id are one document if their texts are equal, else texts of
@@ -124,55 +181,35 @@ def near_duplicates(
     rows = materialize(signatures(docs, doc_id, text), "signatures")
     nodes = materialize(
         rows.where("node is not null").groupBy("node")
-        .agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
+        .agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles")),
         "nodes",
     )
-    bands = nodes.select("node", F.explode("bands").alias("band"))
-    shared = bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    groups = materialize(bands.join(shared.select("band", "low"), "band"), "groups")
-    sketch = nodes.select("node", "sketch")
-
-    members = groups.select("node").distinct()
-    chosen = rows.join(members, "node").groupBy("node").agg(F.min(F.struct("text_hash", "doc_id")).alias("one"))
-    texts = materialize(
-        docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-        .withColumn("text_hash", F.xxhash64("text"))
-        .join(
-            chosen.select("node", F.col("one.text_hash").alias("text_hash"), F.col("one.doc_id").alias("wanted")),
-            "text_hash",
-        )
-        .where("doc_id <=> wanted").groupBy("node").agg(F.first("text").alias("text")),
-        "texts",
+    groups = materialize(_linkable(nodes.select("node", F.explode("bands").alias("band"))), "groups")
+    texts = materialize(_texts_of(docs, rows, groups.select("node").distinct(), doc_id, text), "texts")
+    open_nodes = materialize(
+        texts.select("node").join(nodes.select("node", "n_shingles", "sketch"), "node")
+        .join(_own_shingles(texts), "node", "left")
+        .where(F.expr(f"100 * (n_shingles - coalesce(own, 0)) >= {percent} * n_shingles")).drop("own"),
+        "open",
     )
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        close = (
-            pairs.join(sketch.withColumnsRenamed({"node": "a", "sketch": "sketch_a"}), "a")
-            .join(sketch.withColumnsRenamed({"node": "b", "sketch": "sketch_b"}), "b")
-            .where(_alike(percent / 100 - slack)).drop("sketch_a", "sketch_b")
+    again = _linkable(groups.drop("low").join(open_nodes.select("node"), "node", "left_semi"))
+    clusters = components(again.select(F.col("node").alias("a"), F.col("low").alias("b")).distinct())
+    sizes = clusters.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    units = max(8, clusters.count() // BLOCK + 1)
+    placed = (
+        clusters.join(sizes, "comp").withColumn("block", F.expr("pmod(xxhash64(node), blocks)"))
+        .select("node", F.col("comp").alias("cluster"), "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "blocks")
+        .select(
+            "node", "cluster", F.expr("int(block > other)").alias("side"),
+            F.when(F.col("blocks") == 1, F.expr(f"pmod(xxhash64(cluster), {units}L)"))
+            .otherwise(F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other"))).alias("unit"),
         )
-        close = materialize(close, "pairs")
-        return materialize(beside_texts(close, texts, _confirm(percent), "a bigint, b bigint"), "links")
-
-    stars = groups.where("node > low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
-    links = confirmed(stars.withColumn("cluster", F.col("b")))
-    found = components(links)
-
-    labelled = groups.select("band", "node").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    counts = labelled.groupBy("band", "comp").agg(F.count("*").alias("n"))
-    largest = counts.groupBy("band").agg(
-        F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("parts")
-    ).where("parts > 1")
-    labelled = materialize(labelled.join(largest.select("band", "main"), "band"), "labelled")
-    outer = labelled.where("comp <> main").select("band", F.col("node").alias("u"), F.col("comp").alias("u_comp"))
-    across = (
-        outer.join(labelled, "band").where("comp <> u_comp and (comp = main or node < u)")
-        .select(F.greatest("u", "node").alias("a"), F.least("u", "node").alias("b"), F.least("comp", "u_comp").alias("cluster"))
-        .groupBy("a", "b").agg(F.min("cluster").alias("cluster")).join(stars, ["a", "b"], "left_anti")
     )
-    more = confirmed(across)
-    found = components(links.unionByName(more))
-
+    links = materialize(
+        placed.join(open_nodes, "node").join(texts, "node").groupBy("unit").applyInPandas(_links(percent, slack), "a bigint, b bigint"),
+        "links",
+    )
+    found = components(links)
     named = (
         rows.select("doc_id", "node").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         .where("comp is not null").groupBy("comp", "node").agg(F.min("doc_id").alias("least"))
@@ -209,8 +246,6 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", perc
 
 
 def op6_minhash(spark, sf_dir) -> DataFrame:
-    from wardline.llm.text import table
-
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -224,13 +259,13 @@ WITH RECURSIVE words AS (
   SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
     ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
   FROM words
-), items AS (SELECT doc_id, hash(unnest(s)) AS x FROM sets),
+), items AS (SELECT doc_id, len(s) AS n, hash(unnest(s)) AS x FROM sets),
 sizes AS (SELECT doc_id, len(s) AS n FROM sets),
 links AS (
   SELECT a.doc_id AS a, b.doc_id AS b
   FROM items a JOIN items b ON a.x = b.x AND a.doc_id <> b.doc_id
   GROUP BY a.doc_id, b.doc_id
-  HAVING 100 * count(*) >= 85 * ((SELECT n FROM sizes WHERE doc_id = a.doc_id) + (SELECT n FROM sizes WHERE doc_id = b.doc_id) - count(*))
+  HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))
 ), reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
 SELECT s.doc_id, s.n AS n_shingles, min(r.b) AS component_id, s.doc_id = min(r.b) AS kept
 FROM sizes s JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, s.n
