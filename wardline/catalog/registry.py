@@ -1,7 +1,7 @@
 """Views of the given tables in the shape of clinical inputs, and the register of queries.
 
 The view texts run in Spark and in the checking database alike; `{STR}` and `{TS}` stand for the type
-names, `{table}` for a base table.
+names, `{LATER}` for all turns from the fifth on as one text, `{table}` for a base table.
 """
 
 from __future__ import annotations
@@ -68,7 +68,7 @@ SELECT conv_id AS patient_id,
        coalesce(max(CASE WHEN turn = 1 THEN text END), '') AS s2,
        coalesce(max(CASE WHEN turn = 2 THEN text END), '') AS s3,
        coalesce(max(CASE WHEN turn = 3 THEN text END), '') AS s4,
-       coalesce(max(CASE WHEN turn = 4 THEN text END), '') AS s5,
+       coalesce({LATER}, '') AS s5,
        CASE WHEN conv_id % 4 = 0 THEN (conv_id + 1) % 101 ELSE conv_id % 101 END AS pct,
        CASE conv_id % 3 WHEN 0 THEN 'lower' WHEN 1 THEN 'moderate' ELSE 'higher' END AS confidence_label
 FROM {conversations} GROUP BY conv_id""",
@@ -115,7 +115,8 @@ class Views:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in VIEWS:
             raise AttributeError(name)
-        text = VIEWS[name].replace("{STR}", "STRING").replace("{TS}", "TIMESTAMP_NTZ")
+        later = "listagg(text, ' ') WITHIN GROUP (ORDER BY turn) FILTER (WHERE turn >= 4)"
+        text = VIEWS[name].replace("{STR}", "STRING").replace("{TS}", "TIMESTAMP_NTZ").replace("{LATER}", later)
         view = self.spark.sql(text, **{t: self.base(t) for t in re.findall(r"{(\w+)}", text)})
         setattr(self, name, view)
         return view
@@ -152,7 +153,8 @@ def step(name: str, sql: str) -> None:
 def _text(name: str) -> str:
     if name in STEPS:
         return STEPS[name]
-    text = VIEWS[name].replace("{STR}", "VARCHAR").replace("{TS}", "TIMESTAMP")
+    later = "string_agg(text, ' ' ORDER BY turn) FILTER (WHERE turn >= 4)"
+    text = VIEWS[name].replace("{STR}", "VARCHAR").replace("{TS}", "TIMESTAMP").replace("{LATER}", later)
     return re.sub(r"{(\w+)}", r"\1", text)
 
 

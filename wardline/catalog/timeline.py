@@ -415,7 +415,7 @@ def raw_payload(v: Views):
 
     parts = stored(v)
     tasks = [t for t in ALL_TASKS if t.name == "mortality_1y"]
-    matrices, vocabularies = window_matrices(parts["events"], parts["labels"], tasks=tasks)
+    matrices, vocabularies = window_matrices(parts["events"], parts["labels"], tasks=tasks, fit_on="all")
     payload = mx.raw_payload(matrices[None], vocabularies[None].feature_names, hospital_concepts(v.spark))
     cents = lambda e: F.concat(e["key"], F.lit("="), F.round(e["value"] * 100).cast("bigint").cast("string"))
     flat = lambda name: F.array_join(F.transform(F.array_sort(F.map_entries(name)), cents), "|")

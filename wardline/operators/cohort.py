@@ -25,8 +25,9 @@ def first_admission(adm: DataFrame) -> DataFrame:
     admissions of one subject.
     """
     rest = [c for c in adm.columns if c not in ("subject_id", "admittime", "hadm_id")]
-    first = F.min(F.struct("admittime", "hadm_id", *rest)).alias("a")
-    return adm.groupBy("subject_id").agg(first).select("subject_id", "a.*")
+    undated = F.col("admittime").isNull().alias("_undated")  # an unknown time comes after every known one
+    first = F.min(F.struct(undated, "admittime", "hadm_id", *rest)).alias("a")
+    return adm.groupBy("subject_id").agg(first).select("subject_id", "a.*").drop("_undated")
 
 
 def cohort(adm: DataFrame, pat: DataFrame, icu: DataFrame, *, min_age: int = 18, limit: int | None = None) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from wardline.functions import clinical as fn
 from wardline.operators.concepts import resolve_concepts
-from wardline.operators.skew import bounded_broadcast
 from wardline.session import inline_table
 
 
@@ -20,11 +19,11 @@ def attribution_approx(
     bounds them by the width of the matrix. `direction` is (feature, direction) with +1 or -1; without
     it every feature points up.
     """
-    out = long.join(bounded_broadcast(importance.select("feature", "importance")), "feature", "left")
-    out = out.join(bounded_broadcast(medians.select("feature", "median")), "feature", "left")
+    out = long.join(importance.select("feature", "importance"), "feature", "left")
+    out = out.join(medians.select("feature", "median"), "feature", "left")
     sign = F.lit(1.0)
     if direction is not None:
-        out = out.join(bounded_broadcast(direction.select("feature", "direction")), "feature", "left")
+        out = out.join(direction.select("feature", "direction"), "feature", "left")
         sign = F.coalesce("direction", F.lit(1.0))
     away = fn.null_to_zero(F.col("value")) - fn.null_to_zero(F.col("median"))
     impact = sign * F.coalesce("importance", F.lit(0.0)) * F.tanh(away) + F.lit(0.0)  # no negative zero

@@ -125,8 +125,11 @@ def parse_sections(df: DataFrame, text_col: str, names=tx.SECTIONS) -> DataFrame
 
     A section the JSON lacks is empty. A batch marks bad rows, it does not stop at them.
     """
-    parsed = F.from_json(F.col(text_col), "map<string,string>")
-    out = df.withColumn("_m", parsed)
+    # as the one element of a list: text after the object then is an error
+    parsed = F.from_json(F.concat(F.lit("["), F.col(text_col), F.lit("]")), "array<map<string,string>>")
+    out = df.withColumn("_list", parsed).withColumn("_m", F.when(F.size("_list") == 1, F.get("_list", F.lit(0))))
     bad = F.col("_m").isNull() | (tx.stripped(F.col(text_col)) == "")
-    sections = {f"s{i + 1}": tx.stripped(F.col("_m").getItem(n)) for i, n in enumerate(names)}
-    return out.withColumn("parse_error", bad).withColumns(sections).drop("_m")
+    # of a key given twice the last value counts
+    value = lambda n: F.get(F.reverse(F.filter(F.map_entries("_m"), lambda e: e["key"] == n)), F.lit(0))["value"]
+    sections = {f"s{i + 1}": tx.stripped(value(n)) for i, n in enumerate(names)}
+    return out.withColumn("parse_error", bad).withColumns(sections).drop("_m", "_list")

@@ -11,8 +11,8 @@ from wardline.functions import clinical as fn
 from wardline.operators.concepts import DEFAULT_NUMERIC_CODES, window_tag
 from wardline.operators.events import RECORD, in_lookback, standard_events, standard_labels
 from wardline.operators.ranking import exact_median, hash_rank
+from wardline.session import inline_table
 
-OTHER = "__other__"
 DEMOGRAPHIC = ("age", "sex_female", "n_events")
 
 
@@ -27,9 +27,24 @@ class Vocabulary:
     codes: tuple[str, ...]
     numeric: tuple[str, ...]
 
+    @property
+    def labels(self) -> dict[str, str]:
+        """The code as it stands in column names: codes that differ in case only get a number, as column
+        names do not tell case apart."""
+        seen: dict[str, int] = {}
+        out = {}
+        for code in self.codes:
+            n = seen[code.lower()] = seen.get(code.lower(), 0) + 1
+            out[code] = code if n == 1 else f"{code}~{n}"
+        return out
+
     @property
     def feature_names(self) -> list[str]:
-        return [f"count__{c}" for c in self.codes] + [f"value__{c}" for c in self.numeric] + list(DEMOGRAPHIC)
+        labels = self.labels
+        return (
+            [f"count__{labels[c]}" for c in self.codes] + [f"value__{labels[c]}" for c in self.numeric]
+            + list(DEMOGRAPHIC)
+        )
 
 
 def record_codes(window: DataFrame) -> DataFrame:
@@ -100,30 +115,29 @@ def matrix(
 ) -> DataFrame:
     """One row per label row with the columns of `vocab.feature_names`.
 
-    Only the folded events reach the pivot, which looks codes up by hash instead of testing each of
-    the columns. Codes outside the vocabulary go into one cell: they count in `n_events`.
+    The folded events of a record, one per code, are gathered by position in the vocabulary: one shuffle, and
+    as many cells as the matrix is wide. Codes outside the vocabulary count in `n_events` only.
     """
     if folded is None:
         folded = fold(events, labels, lookback_days=lookback_days)
-    code = F.when(F.col("code").isin(list(vocab.codes)), F.col("code")).otherwise(OTHER)
+    place = inline_table(folded.sparkSession, enumerate(vocab.codes), "pos int,code string")
+    cell = F.when(F.col("pos").isNotNull(), F.struct("pos", F.struct("n", "last").alias("x")))
     wide = (
-        folded.withColumn("code", code)
-        .groupBy(*RECORD)
-        .pivot("code", [*vocab.codes, OTHER])
-        .agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+        folded.join(place, "code", "left").groupBy(*RECORD)
+        .agg(F.map_from_entries(F.collect_list(cell)).alias("cells"), F.sum("n").alias("total"))
     )
-    count = {c: F.coalesce(quoted(f"{c}_n"), F.lit(0)) for c in [*vocab.codes, OTHER]}
-    total = F.aggregate(F.array(*count.values()), F.lit(0).cast("bigint"), lambda acc, n: acc + n)
+    labels_of, at = vocab.labels, {c: i for i, c in enumerate(vocab.codes)}
+    cell_of = lambda c: F.try_element_at("cells", F.lit(at[c]))
     return (
         standard_labels(labels)
         .join(wide, RECORD, "left")
         .select(
             *RECORD,
-            *[count[c].cast("double").alias(f"count__{c}") for c in vocab.codes],
-            *[quoted(f"{c}_last").alias(f"value__{c}") for c in vocab.numeric],
+            *[F.coalesce(cell_of(c)["n"], F.lit(0)).cast("double").alias(f"count__{labels_of[c]}") for c in vocab.codes],
+            *[cell_of(c)["last"].alias(f"value__{labels_of[c]}") for c in vocab.numeric],
             "age",
             fn.sex_female(F.col("sex")).alias("sex_female"),
-            total.cast("double").alias("n_events"),
+            F.coalesce("total", F.lit(0)).cast("double").alias("n_events"),
         )
     )
 
@@ -140,8 +154,8 @@ def matrix_long(wide: DataFrame, features: list[str], ids: list[str] | None = No
 
 def allowed_features(names: list[str], excluded_prefixes) -> list[str]:
     """Columns whose code starts with none of the prefixes: what a task may see."""
-    code = lambda n: n.split("__", 1)[1] if "__" in n else n
-    return [n for n in names if not code(n).startswith(tuple(excluded_prefixes))] if excluded_prefixes else list(names)
+    hidden = tuple(excluded_prefixes)
+    return [n for n in names if not n.partition("__")[2].startswith(hidden)] if hidden else list(names)
 
 
 def leakage_exclusion(features: DataFrame, prefixes: DataFrame) -> DataFrame:
@@ -154,8 +168,9 @@ def leakage_exclusion(features: DataFrame, prefixes: DataFrame) -> DataFrame:
 
 def align(wide: DataFrame, labels: DataFrame, splits: DataFrame) -> DataFrame:
     """Matrix rows with label and split; a matrix row without either is an error when it is reached."""
-    keyed = labels.select("patient_id", F.col("value").alias("label"), F.lit(True).alias("_labelled"))
-    joined = wide.join(keyed, "patient_id", "left").join(splits, "patient_id", "left")
+    own = [c for c in RECORD if c in labels.columns]  # labels without a time hold for all of a patient's records
+    keyed = labels.select(*own, F.col("value").alias("label"), F.lit(True).alias("_labelled"))
+    joined = wide.join(keyed, own, "left").join(splits, "patient_id", "left")
     complete = F.col("_labelled").isNotNull() & F.col("split").isNotNull()
     message = F.concat(F.lit("no label or split for patient "), "patient_id")
     # raise_error rides on a column that is always read
@@ -165,14 +180,15 @@ def align(wide: DataFrame, labels: DataFrame, splits: DataFrame) -> DataFrame:
 
 def align_tasks(wide: DataFrame, labels: DataFrame, splits: DataFrame, tasks) -> DataFrame:
     """The matrix with its split and one column `label__<task>` per task: what all tasks of a window
-    train on, so the matrix is joined and written once, not once per task. A patient without a split or
-    without one of the labels is an error."""
+    train on, so the matrix is joined and written once, not once per task. A label belongs to the record
+    (patient, label time); a record without one of the labels or a patient without a split is an error."""
     names = [t.name for t in tasks]
     own = labels.filter(F.col("task").isin(names))
-    values = own.groupBy("patient_id").agg(
+    keys = [c for c in RECORD if c in labels.columns]
+    values = own.groupBy(*keys).agg(
         *[F.max(F.when(F.col("task") == n, F.col("value"))).alias(f"label__{n}") for n in names]
     )
-    joined = wide.join(values, "patient_id", "left").join(splits, "patient_id", "left")
+    joined = wide.join(values, keys, "left").join(splits, "patient_id", "left")
     complete = F.col("split").isNotNull()
     for n in names:
         complete = complete & quoted(f"label__{n}").isNotNull()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.operators.ranking import running_totals
-from wardline.operators.skew import bounded_broadcast
+from wardline.session import materialize
 
 # Inner edges of ten equal bins as doubles (a value on an edge goes to the upper bin).
 ECE_EDGES = (0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9)
@@ -26,22 +26,21 @@ def _grouped(df: DataFrame, by) -> tuple[DataFrame, list[str]]:
     return (df, list(by)) if by else (df.withColumn("_all", F.lit(0)), ["_all"])
 
 
-def ranking_metrics(
-    df: DataFrame, *, by=(), label: str = "y", score: str = "p", many_groups: bool = False
-) -> DataFrame:
-    """auroc and auprc per group, null where only one class occurs.
-
-    Rows fold to one per distinct score first, map-side combined; ties are thereby exact (average
-    rank, one threshold per score). Sums below a score come from `running_totals`, so a group of any
-    size is ranked by many tasks.
-    """
-    df, keys = _grouped(df, by)
-    scores = df.groupBy(*keys, F.col(score).alias("_p")).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(F.col(label).cast("bigint")).alias("_pos")
+def fold_scores(df: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
+    """One row per (group, distinct score): `_p`, rows `_n` and positives `_pos`; map-side combined, written once."""
+    return materialize(
+        df.groupBy(*keys, F.col(score).alias("_p")).agg(
+            F.count(F.lit(1)).alias("_n"), F.sum(F.col(label).cast("bigint")).alias("_pos")
+        ),
+        "scores",
     )
-    below = running_totals(scores, keys, "_p", {"_n": "_n_below", "_pos": "_pos_below"}, many_groups=many_groups)
+
+
+def _ranked(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """auroc and auprc per group of folded scores."""
+    below = running_totals(scores, keys, "_p", {"_n": "_n_below", "_pos": "_pos_below"})
     whole = scores.groupBy(*keys).agg(F.sum("_n").alias("_all_n"), F.sum("_pos").alias("_all_pos"))
-    ranked = below.join(whole if many_groups else bounded_broadcast(whole), keys)
+    ranked = below.join(whole, keys)
     neg, neg_below = F.col("_n") - F.col("_pos"), F.col("_n_below") - F.col("_pos_below")
     wins = F.sum(F.col("_pos") * (neg_below + neg / 2.0))
     precision = (F.col("_all_pos") - F.col("_pos_below")) / (F.col("_all_n") - F.col("_n_below"))
@@ -49,12 +48,23 @@ def ranking_metrics(
     both = (F.col("_all_pos") > 0) & (F.col("_all_pos") < F.col("_all_n"))
     out = ranked.groupBy(*keys, "_all_pos", "_all_n").agg(wins.alias("_w"), area.alias("_a"))
     return out.select(
-        *by,
+        *keys,
         F.when(both, F.col("_w") / (F.col("_all_pos").cast("double") * (F.col("_all_n") - F.col("_all_pos")))).alias("auroc"),
         F.when(both, F.col("_a") / F.col("_all_pos")).alias("auprc"),
     )
 
 
+def ranking_metrics(df: DataFrame, *, by=(), label: str = "y", score: str = "p") -> DataFrame:
+    """auroc and auprc per group, null where only one class occurs.
+
+    Rows fold to one per distinct score first, map-side combined; ties are thereby exact (average
+    rank, one threshold per score). Sums below a score come from `running_totals`, so a group of any
+    size is ranked by many tasks.
+    """
+    df, keys = _grouped(df, by)
+    return _ranked(fold_scores(df, keys, label, score), keys).select(*by, "auroc", "auprc")
+
+
 def calibration_error(df: DataFrame, *, by=(), label: str = "y", score: str = "p", n_bins: int = 10) -> DataFrame:
     df, keys = _grouped(df, by)
     bins = df.groupBy(*keys, ece_bin(F.col(score), n_bins).alias("_bin")).agg(
@@ -76,15 +86,25 @@ def brier(df: DataFrame, *, by=(), label: str = "y", score: str = "p") -> DataFr
 
 
 def binary_metrics(df: DataFrame, *, by=(), label: str = "y", score: str = "p", n_bins: int = 10) -> DataFrame:
-    """n, positives, auroc, auprc, brier, calibration_error: one row per group."""
+    """n, positives, auroc, auprc, brier, calibration_error: one row per group.
+
+    All six follow from the folded scores, so the scored rows are read once. Labels are 0 and 1.
+    """
     df, keys = _grouped(df, by)
-    args = {"by": keys, "label": label, "score": score}
-    out = (
-        brier(df, **args)
-        .join(ranking_metrics(df, **args), keys)
-        .join(calibration_error(df, n_bins=n_bins, **args), keys)
+    scores = fold_scores(df, keys, label, score)
+    p, n, pos = F.col("_p"), F.col("_n"), F.col("_pos")
+    bins = scores.groupBy(*keys, ece_bin(p, n_bins).alias("_bin")).agg(
+        F.sum("_n").alias("_n"), F.sum("_pos").alias("_pos"), F.sum(n * p).alias("_sum"),
+        F.sum(pos * (p - 1) * (p - 1) + (n - pos) * p * p).alias("_square"),
+    )
+    sums = bins.groupBy(*keys).agg(
+        F.sum("_n").alias("n"), F.sum("_pos").alias("positives"),
+        (F.sum("_square") / F.sum("_n")).alias("brier"),
+        (F.sum(F.abs(F.col("_sum") - F.col("_pos"))) / F.sum("_n")).alias("calibration_error"),
+    )
+    return sums.join(_ranked(scores, keys), keys).select(
+        *by, "n", "positives", "auroc", "auprc", "brier", "calibration_error"
     )
-    return out.select(*by, "n", "positives", "auroc", "auprc", "brier", "calibration_error")
 
 
 def regression_metrics(df: DataFrame, *, by=(), label: str = "y", prediction: str = "pred") -> DataFrame:
@@ -125,16 +145,13 @@ def solve_intercept(df: DataFrame, latent: str, rate: float, *, points: int = 64
     the interval between two of them, so 8 passes do what halving does in 45. Equal latents are
     folded first. What returns to the driver is `points` means.
     """
-    from wardline.session import materialize
-
     folded = materialize(df.groupBy(F.col(latent).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n")), "latents")
     low, high = -20.0, 20.0
     while high - low > tolerance:
         step = (high - low) / (points + 1)
         tries = [low + step * (i + 1) for i in range(points)]
-        tried = folded.select("x", "n", F.posexplode(F.lit(tries)).alias("i", "b"))
-        mean = F.sum(F.col("n") / (1.0 + F.exp(-(F.col("x") + F.col("b"))))) / F.sum("n")
-        means = [r["m"] for r in tried.groupBy("i").agg(mean.alias("m")).collect()]
+        mean = lambda b: F.sum(F.col("n") / (1.0 + F.exp(-(F.col("x") + F.lit(b))))) / F.sum("n")
+        means = folded.agg(*[mean(b).alias(f"m{i}") for i, b in enumerate(tries)]).first()
         under = sum(1 for m in means if m < rate)
         new_low = tries[under - 1] if under else low
         new_high = tries[under] if under < points else high

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import importlib
 import json
 from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, IsotonicRegression, IsotonicRegressionModel
+from pyspark.ml.regression import GBTRegressor, IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.functions import clinical as fn
-from wardline.operators.matrix import quoted
+from wardline.operators.matrix import feature_medians, quoted
 from wardline.session import inline_table, materialize, shared_dir
 
 # Default boosting parameters.
@@ -25,6 +26,9 @@ GBT_DEFAULTS = {
     "seed": 42,
 }
 
+# Validation rows that a calibrator is fitted on at most.
+MAX_CALIBRATION_ROWS = 1_000_000
+
 _REGISTRY: dict = {}
 
 
@@ -53,10 +57,9 @@ register_model("gbt", _boosted)
 
 
 def imputation(train: DataFrame, features: list[str]) -> dict[str, float]:
-    """Fill-in value per column: the (approximate) median of the training rows, one pass, one row back."""
-    aggs = [F.percentile_approx(quoted(f).cast("double"), 0.5, 1000).alias(f"m{i}") for i, f in enumerate(features)]
-    row = train.agg(*aggs).first()
-    return {f: (0.0 if row[i] is None else float(row[i])) for i, f in enumerate(features)}
+    """Fill-in value per column: the exact median of the training rows (0 for a column without values)."""
+    found = {r["feature"]: float(r["median"]) for r in feature_medians(train, features).collect()}  # a row per column
+    return {f: found.get(f, 0.0) for f in features}
 
 
 def vector_names(features: list[str]) -> list[str]:
@@ -71,15 +74,23 @@ def feature_vector(features: list[str], fill: dict[str, float]) -> Column:
     return array_to_vector(F.array(*cells))
 
 
-def fit_calibrator(scored: DataFrame, method: str = "isotonic", *, label: str = "label", score: str = "raw_probability"):
-    """Isotonic or logistic map from raw to observed rate; None if only one class occurs."""
+def fit_calibrator(
+    scored: DataFrame, method: str = "isotonic", *, label: str = "label", score: str = "raw_probability",
+    max_rows: int = MAX_CALIBRATION_ROWS,
+):
+    """Isotonic or logistic map from raw to observed rate; None if only one class occurs.
+
+    MLlib ends the isotonic fit on the driver. Equal scores are folded exactly; where more than `max_rows`
+    validation rows are given, the fit takes that many of them in hash order.
+    """
     seen = scored.agg(F.min(label).alias("lo"), F.max(label).alias("hi"), F.count(F.lit(1)).alias("n")).first()
     if seen["n"] == 0 or seen["lo"] == seen["hi"]:
         return None
     data = scored.select(F.col(label).cast("double").alias("label"), F.col(score).alias("x"))
     if method == "isotonic":
-        # scores fold to one weighted row per millionth: however many rows, the fit sees at most 1,000,001
-        folded = data.groupBy(F.round("x", 6).alias("x")).agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("w"))
+        if seen["n"] > max_rows:
+            data = data.orderBy(F.xxhash64("x", "label")).limit(max_rows)
+        folded = data.groupBy("x").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("w"))
         return IsotonicRegression(featuresCol="x", labelCol="label", weightCol="w", predictionCol="calibrated").fit(folded)
     platt = LogisticRegression(
         featuresCol="v", labelCol="label", probabilityCol="platt", rawPredictionCol="platt_raw",
@@ -146,18 +157,24 @@ class RiskModel:
         binary = self.kind == "binary"
         raw = vector_to_array("probability")[1] if binary else none
         estimate = none if binary else F.col("prediction")
-        out = out.select(
-            *ids, raw.alias("raw_probability"), estimate.alias("point_estimate"), leaf_spread(F.col("leaf")).alias("spread")
-        )
+        spread = leaf_spread(F.col("leaf")) if "leaf" in out.columns else F.lit(0.0)  # only trees have leaves
+        out = out.select(*ids, raw.alias("raw_probability"), estimate.alias("point_estimate"), spread.alias("spread"))
         out = apply_calibrator(out, self.calibrator) if binary else out.withColumn("probability", none)
         if spread_scope == "batch":
             out = materialize(out, "scores")  # read twice below: once for the maximum
         return uncertainty(out, kind=self.kind, spread_scope=spread_scope)
 
     def importance(self, spark: SparkSession) -> DataFrame:
-        """(feature, importance); a missing-flag counts for its feature."""
+        """(feature, importance); a missing-flag counts for its feature. A linear model's weights are the shares
+        of its absolute coefficients; a model with neither weighs nothing."""
         weights: dict[str, float] = dict.fromkeys(self.features, 0.0)
-        for name, w in zip(vector_names(self.features), self.booster.featureImportances.toArray()):
+        own = []
+        if hasattr(self.booster, "featureImportances"):
+            own = self.booster.featureImportances.toArray().tolist()
+        elif hasattr(self.booster, "coefficients"):
+            sizes = [abs(c) for c in self.booster.coefficients.toArray().tolist()]
+            own = [s / (sum(sizes) or 1.0) for s in sizes]
+        for name, w in zip(vector_names(self.features), own):
             weights[name.removesuffix("__missing")] += float(w)
         return inline_table(spark, weights.items(), "feature string, importance double")
 
@@ -168,13 +185,18 @@ class RiskModel:
         if self.calibrator is not None:
             kind = "platt" if isinstance(self.calibrator, LogisticRegressionModel) else "isotonic"
             self.calibrator.write().overwrite().save(f"{path}/calibrator")
-        meta = {"kind": self.kind, "features": self.features, "fill": self.fill, "calibrator": kind}
+        cls = type(self.booster)
+        meta = {
+            "kind": self.kind, "features": self.features, "fill": self.fill, "calibrator": kind,
+            "model_class": f"{cls.__module__}.{cls.__qualname__}",
+        }
         spark.range(1).select(F.lit(json.dumps(meta)).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "RiskModel":
         meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
-        booster = (GBTRegressionModel if meta["kind"] == "regression" else GBTClassificationModel).load(f"{path}/booster")
+        module, _, name = meta["model_class"].rpartition(".")
+        booster = getattr(importlib.import_module(module), name).load(f"{path}/booster")
         calibrator = None
         if meta["calibrator"] != "none":
             loader = LogisticRegressionModel if meta["calibrator"] == "platt" else IsotonicRegressionModel

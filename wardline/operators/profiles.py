@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from wardline.functions import clinical as fn
 from wardline.functions import text as tx
-from wardline.operators.skew import bounded_broadcast
 
 APPROX_NOTE = "Contributor estimates are approximate: read their order as a hint, not as exact."
 # Fixed value: the note at the end of every payload.
@@ -88,7 +87,7 @@ def panel(scores: DataFrame, tasks: DataFrame, metrics: DataFrame) -> DataFrame:
     rated = tasks.join(metrics.select("task", "auroc", "r2"), "task", "left").withColumn(
         "reliability", fn.reliability_tier(F.col("kind"), F.col("auroc"), F.col("r2"))
     )
-    rows = score_columns(scores).join(bounded_broadcast(rated.drop("r2")), "task")
+    rows = score_columns(scores).join(rated.drop("r2"), "task")
     entry = F.struct(
         (-F.coalesce("probability", F.lit(-1.0))).alias("order"),
         F.col("task").alias("name"),

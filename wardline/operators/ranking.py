@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.operators.skew import bounded_broadcast
+from wardline.session import materialize
 
 HASH_DIGITS = 4  # 16**4 bins of a uniform hash
 
@@ -34,67 +34,52 @@ def hash_rank(ids: DataFrame, id_col: str, *, seed: int) -> DataFrame:
     )
 
 
+# Rows that one task sorts, on average, when a whole table is put in order.
+ROWS_PER_SLICE = 500_000
+
+
 def running_totals(
-    df: DataFrame, by: list[str], order: str, sums: dict[str, str], *, slices: int = 64, accuracy: int = 2000,
-    many_groups: bool = False,
+    df: DataFrame, by: list[str], order: str, sums: dict[str, str], *, slices: int | None = None,
+    rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Per group, the sum of each column over all rows with a smaller `order` value.
 
     `sums` maps a column to the name of its running sum (the row itself is not included). `df` holds
-    one row per (by, order). `by` is a short dimension (tasks, feature names): a group may hold the
-    whole table and is therefore cut into `slices` of about equal size at approximate quantiles.
-    Where the cuts lie affects balance only; the sums are exact. With `many_groups` no table is
-    broadcast by hint: for dimensions that grow with the data, whose groups are small.
+    one row per (by, order). The rows are cut into ranges of (by, order), as many as the table's size asks
+    for (`slices` sets the number), and written; a range's sums are added to those of the ranges before
+    it. Neither many groups nor a group with the whole table makes a large task.
     """
-    send = (lambda df: df) if many_groups else bounded_broadcast
-    points = [(i + 1) / slices for i in range(slices - 1)]
-    cuts = df.groupBy(*by).agg(F.percentile_approx(order, points, accuracy).alias("_cuts"))
-    sliced = df.join(send(cuts), by).withColumn(
-        "_slice", F.size(F.filter("_cuts", lambda c: c < F.col(order)))
-    ).drop("_cuts")
+    spark = df.sparkSession
+    kept = materialize(df, "ordered")
+    count = slices or max(1, -(-kept.count() // rows_per_slice))
+    # written: the range of a row must not depend on a second drawing of the bounds
+    sliced = materialize(
+        kept.repartitionByRange(count, *by, order).withColumn("_slice", F.spark_partition_id()), "sliced"
+    )
     totals = sliced.groupBy(*by, "_slice").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *by, "_slice", *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_o_{c}") for c in sums]
     )
     within = Window.partitionBy(*by, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return sliced.join(send(offsets), [*by, "_slice"]).select(
+    return sliced.join(offsets, [*by, "_slice"]).select(
         *df.columns,
         *[(F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(within), F.lit(0))).alias(name) for c, name in sums.items()],
     )
 
 
-def exact_median(long: DataFrame, by: list[str], value: str, *, accuracy: int = 10_000, many_groups: bool = False) -> DataFrame:
+def exact_median(long: DataFrame, by: list[str], value: str) -> DataFrame:
     """Median per group, nulls and NaN skipped, for groups that may hold the whole table.
 
-    Two approximate quantiles bracket the median; rows below are only counted, and just the narrow
-    bracket is ordered, as counts per distinct value.
+    Rows are folded to counts per distinct value, map-side combined; ranks are the running totals of those.
     """
-    send = (lambda df: df) if many_groups else bounded_broadcast
-    spread = 2.0 / accuracy
-    points = [max(0.0, 0.5 - spread), min(1.0, 0.5 + spread)]
     present = long.filter(F.col(value).isNotNull() & ~F.isnan(value))
-    counts = present.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    brackets = (
-        present.groupBy(*by)
-        .agg(
-            F.percentile_approx(value, points, accuracy).alias("_q"),
-            F.count(F.lit(1)).alias("_total"),
-        )
-        # two more whole steps outwards: the sketch is off by less than one step
-        .select(*by, F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"), "_total")
-    )
-    marked = counts.join(send(brackets), by)
-    below = marked.groupBy(*by).agg(
-        F.sum(F.when(F.col(value) < F.col("_lo"), F.col("_n")).otherwise(0)).alias("_below")
-    )
-    inside = marked.filter(F.col(value).between(F.col("_lo"), F.col("_hi"))).join(send(below), by)
-    upto = Window.partitionBy(*by).orderBy(value)
-    ranked = inside.withColumn("_upto", F.col("_below") + F.sum("_n").over(upto)).withColumn(
-        "_from", F.col("_upto") - F.col("_n") + 1
-    )
+    counts = materialize(present.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")), "counts")
+    totals = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
+    ranked = running_totals(counts, by, value, {"_n": "_before"}).join(totals, by)
     lower, upper = F.floor((F.col("_total") + 1) / 2), F.floor((F.col("_total") + 2) / 2)
-    hit = lambda rank: F.max(F.when(rank.between(F.col("_from"), F.col("_upto")), F.col(value)))
+    first, last = F.col("_before") + 1, F.col("_before") + F.col("_n")
+    hit = lambda rank: F.max(F.when(rank.between(first, last), F.col(value)))
     return (
         ranked.groupBy(*by)
         .agg(hit(lower).alias("_a"), hit(upper).alias("_b"))

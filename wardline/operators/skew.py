@@ -1,29 +1,23 @@
-"""Joins to a one-row-per-key table that survive hot keys, and broadcasts with a checked bound."""
+"""Joins to a one-row-per-key table that survive hot keys."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Rows of one key that one task may get before the key is spread over several.
 ROWS_PER_SALT = 1_000_000
-# The heaviest keys kept for spreading. A key that is not among the K heaviest holds less than 1/K of
-# the rows, so it needs no spreading; K rows are also the proven bound of the broadcast below.
-MAX_HOT_KEYS = 1000
 
 
 def hot_keys(df: DataFrame, key: str, *, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
-    """(key, salts) for keys with more than `rows_per_salt` rows; at most `MAX_HOT_KEYS` rows.
+    """(key, salts) for every key with more than `rows_per_salt` rows.
 
     A count over one column: the scan is pruned to it and map-side combine leaves one row per key
     and task to shuffle, however hot the key is.
     """
     counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    return (
-        counts.filter(F.col("_n") > rows_per_salt)
-        .orderBy(F.desc("_n"), key)
-        .limit(MAX_HOT_KEYS)
-        .select(key, F.ceil(F.col("_n") / rows_per_salt).cast("int").alias("_salts"))
+    return counts.filter(F.col("_n") > rows_per_salt).select(
+        key, F.ceil(F.col("_n") / rows_per_salt).cast("int").alias("_salts")
     )
 
 
@@ -38,29 +32,15 @@ def salted_join(
 ) -> DataFrame:
     """Inner equi-join on `key`; rows of a hot key go to several tasks, each with a copy of the small row.
 
-    `small` may be of any size: it carries no broadcast hint, so Spark broadcasts it only if its size
-    at run time is below the session's threshold and sort-merges otherwise. Only rows of `small` whose
-    key is hot are copied. A `groupBy` on top is not satisfied by this partitioning, so Spark combines
-    inside each task before it shuffles.
+    Neither `small` nor the hot keys carry a broadcast hint: Spark broadcasts what is below the session's
+    threshold at run time and sort-merges otherwise, splitting the rows of a hot key. Only rows of `small`
+    whose key is hot are copied. A `groupBy` on top is not satisfied by this partitioning, so Spark
+    combines inside each task before it shuffles.
     """
     hot = hot_keys(big, key, rows_per_salt=rows_per_salt) if hot is None else hot
-    hot = F.broadcast(hot)  # at most MAX_HOT_KEYS rows
     spread = spread_by or [c for c in big.columns if c != key]
     salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in spread]), F.col("_salts")).cast("int")
     left = big.join(hot, key, "left").withColumn("_salt", F.coalesce(salt, F.lit(0))).drop("_salts")
     copies = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
     right = small.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
     return left.join(right, [key, "_salt"]).drop("_salt")
-
-
-# Rows a broadcast look-up table may have.
-MAX_LOOKUP_ROWS = 100_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_LOOKUP_ROWS) -> DataFrame:
-    """Broadcast hint behind a check: at most `max_rows` rows are ever sent, and a table with more stops
-    the query with an error instead of losing rows. For tables with one row per task, feature or
-    slice; what may be larger is joined without a hint (`many_groups` of the callers)."""
-    capped = df.limit(max_rows + 1).withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy()))
-    message = F.lit(f"more than {max_rows} rows to broadcast; use many_groups")
-    return F.broadcast(capped.filter(F.assert_true(F.col("_rows") <= max_rows, message).isNull()).drop("_rows"))

@@ -18,11 +18,11 @@ from wardline.session import inline_table, materialize
 
 def window_matrices(
     events: DataFrame, labels: DataFrame, *, tasks=ALL_TASKS, lookback_days: int = 3650, max_features: int = 400,
-    numeric="auto", fit_on: str = "all", seed: int = 42,
+    numeric="auto", fit_on: str = "train", seed: int = 42,
 ) -> tuple[dict[int | None, DataFrame], dict[int | None, mx.Vocabulary]]:
     """One written matrix per observation window, with its vocabulary.
 
-    `fit_on='train'` learns the vocabulary on training patients only.
+    The vocabulary is learned on training patients only, with `fit_on='all'` on all.
     """
     wide, vocab = {}, {}
     for hours in windows_used(tasks):
@@ -108,10 +108,7 @@ def score_panel(
     medians, signs, words = {}, {}, {}
     for hours, df in wide.items():
         names = [c for c in df.columns if c not in record]
-        # the background is a sample by design: medians come from 4,000 to 8,000 evenly spread rows
-        sample = mx.stride_sample(df.select("patient_id").distinct(), "patient_id", seed=seed)
-        background = df.join(sample.select("patient_id"), "patient_id", "left_semi")
-        medians[hours] = {r["feature"]: r["median"] for r in mx.feature_medians(background, names).collect()}
+        medians[hours] = {r["feature"]: r["median"] for r in mx.feature_medians(df, names).collect()}
         table = inline_table(spark, [(n,) for n in names], "feature string")
         rows = explain.directions(table, dim).collect() if use_directions else []
         signs[hours] = {r["feature"]: r["direction"] for r in rows}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,19 +30,34 @@ def get_spark(master: str | None = None, **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it in `spark.checkpoint.dir`.
 
-    Only where that is unset (tests on one machine) a folder of our own is made and set.
+    Only where that is unset and the master is local (tests on one machine) a folder of our own is made
+    and set; on a cluster its absence is an error, as other machines do not see a local folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         base = tempfile.mkdtemp(prefix="wardline-")
         spark.sparkContext.setCheckpointDir(base)
     return base
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The application's own folder below the shared one; all that is written between steps lies there."""
+    return f"{shared_dir(spark)}/wardline-{spark.sparkContext.applicationId}"
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Deletes the application's folder. Call it when all results are written: frames made by
+    `materialize` read from it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

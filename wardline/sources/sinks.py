@@ -42,12 +42,12 @@ def export_csv(events: DataFrame, labels: DataFrame, path: str) -> None:
 
 def write_records(records: DataFrame, path: str, fmt: str, *, dataset: str, provider: str, variant: str | None = None) -> str:
     """`<path>/<fmt>/dataset=<dataset>/provider=<provider>[-<variant>]`, one record per line (JSON) or
-    per row (Markdown and text, keyed by patient)."""
+    per row (Markdown and text, keyed by patient). A second run replaces the records of its provider."""
     label = f"{provider}-{variant}" if variant else provider
     views = {"json": lambda: records, "md": lambda: render_markdown(records), "txt": lambda: render_text(records)}
     if fmt not in views:
         raise ValueError(f"format is one of {sorted(views)}, not {fmt!r}")
     out = f"{path}/{fmt}"
     keyed = views[fmt]().withColumns({"dataset": F.lit(dataset), "provider": F.lit(label)})
-    keyed.write.mode("append").partitionBy("dataset", "provider").json(out)
+    keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset", "provider").json(out)
     return out

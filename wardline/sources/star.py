@@ -24,14 +24,18 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def resolve_root(spark: SparkSession, root: str) -> str:
     """The folder that holds hosp/ and icu/: `root` itself, or the first by name one level below a
-    `mimiciv` folder under it."""
+    `mimiciv` folder at any depth under it."""
     if _exists(spark, f"{root}/hosp") and _exists(spark, f"{root}/icu"):
         return root
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{{mimiciv,*/mimiciv,*/*/mimiciv}}/*/hosp")
-    found = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop) or []
-    parents = sorted(status.getPath().getParent().toString() for status in found)
-    for parent in parents:
-        if _exists(spark, f"{parent}/icu"):
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, level = [], [top] if files.exists(top) else []
+    while level:
+        below = [s.getPath() for path in level for s in files.listStatus(path) if s.isDirectory()]
+        found += [p for p in below if p.getParent().getName() == "mimiciv"]
+        level = below
+    for parent in sorted(p.toString() for p in found):
+        if _exists(spark, f"{parent}/hosp") and _exists(spark, f"{parent}/icu"):
             return parent
     raise FileNotFoundError(f"no folder with hosp/ and icu/ under {root}")
 
