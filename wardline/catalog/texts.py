@@ -196,13 +196,20 @@ def quality_rollup(v: Views):
 
 @query(
     "parse_sections",
-    """
-SELECT patient_id, patient_id % 5 = 0 AS parse_error, CASE WHEN patient_id % 5 = 0 THEN '' ELSE trim(s1, chr(32) || chr(9) || chr(10) || chr(13)) END AS s1,
-       CASE WHEN patient_id % 5 = 0 THEN '' ELSE trim(s2, chr(32) || chr(9) || chr(10) || chr(13)) END AS s2, '' AS s3, '' AS s4, '' AS s5 FROM responses""",
+    "SELECT patient_id, patient_id % 5 = 0 AS parse_error, "
+    + ", ".join(
+        f"CASE WHEN patient_id % 5 = 0 {missing.format(c)}THEN '' ELSE trim({c}, chr(32) || chr(9) || chr(10) || chr(13)) END AS {c}"
+        for c, missing in zip(COLUMNS, ("", "", "", "OR patient_id % 3 = 0 ", ""))
+    )
+    + " FROM responses",
 )
 def parse_sections(v: Views):
-    """Answers as JSON text with two of the five sections; every fifth is cut off and no JSON at all."""
-    keys = [F.lit(tx.SECTIONS[0]), F.col("s1"), F.lit(tx.SECTIONS[1]), F.concat(F.lit("  "), "s2", F.lit("\n"))]
+    """Answers as JSON text with all sections, one with blanks around; every third lacks the fourth section; every
+    fifth is cut off and no JSON at all."""
+    texts = {c: F.col(c) for c in COLUMNS}
+    texts["s2"] = F.concat(F.lit("  "), "s2", F.lit("\n"))
+    texts["s4"] = F.when(F.col("patient_id") % 3 != 0, F.col("s4"))
+    keys = [x for name, c in zip(tx.SECTIONS, COLUMNS) for x in (F.lit(name), texts[c])]
     answer = F.to_json(F.create_map(*keys))
     cut = F.when(F.col("patient_id") % 5 == 0, F.concat(F.lit('{"'), "s1")).otherwise(answer)
     parsed = gr.parse_sections(v.responses.select("patient_id", cut.alias("answer")), "answer")
@@ -235,12 +242,12 @@ def render_markdown(v: Views):
 
 @query(
     "sink_response_json",
-    "SELECT CAST(patient_id AS VARCHAR) AS patient_id, s1, s5, 'conversations' AS dataset, 'table-baseline' AS provider FROM responses",
+    "SELECT CAST(patient_id AS VARCHAR) AS patient_id, s1, s2, s3, s4, s5, 'conversations' AS dataset, 'table-baseline' AS provider FROM responses",
 )
 def sink_response_json(v: Views):
     """Records written as JSON by data set and provider, and read back."""
     path = write_records(records(v), scratch_path(v.spark, "records"), "json", dataset="conversations", provider="table", variant="baseline")
     schema = "patient_id string, report struct<sections: map<string,string>>, dataset string, provider string"
     read = v.spark.read.schema(schema).json(path)
-    section = lambda i: F.col("report.sections")[tx.SECTIONS[i]]
-    return read.select("patient_id", section(0).alias("s1"), section(4).alias("s5"), "dataset", "provider")
+    sections = [F.col("report.sections")[name].alias(c) for name, c in zip(tx.SECTIONS, COLUMNS)]
+    return read.select("patient_id", *sections, "dataset", "provider")

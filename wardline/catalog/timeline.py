@@ -11,7 +11,7 @@ from wardline.operators import events as ev
 from wardline.operators import matrix as mx
 from wardline.operators.concepts import (
     ALL_TASKS, DEFAULT_NUMERIC_CODES, concept_dim, excluded_prefix_dim, hospital_concepts, override_concepts,
-    builtin_concepts, resolve_concepts, _rows, _BUILTIN_CONCEPTS, VITAL_NAMES, VITAL_STATS, STAT_WORDS, LAB_NAMES, ICD_GROUPS,
+    builtin_concepts, resolve_concepts, BUILTIN_CONCEPTS, VITAL_NAMES, VITAL_STATS, STAT_WORDS, LAB_NAMES, ICD_GROUPS,
 )
 from wardline.operators.ranking import hash_rank
 from wardline.operators.split import assign_split
@@ -309,7 +309,7 @@ step(
 step(
     "builtin_concept",
     "SELECT * FROM (VALUES "
-    + ", ".join(f"('{c}', '{_sql_text(n)}', '{_sql_text(p)}', {str(d == 'yes').lower()})" for c, n, p, d in _rows(_BUILTIN_CONCEPTS))
+    + ", ".join(f"('{c}', '{_sql_text(n)}', '{_sql_text(p)}', {str(d).lower()})" for c, n, p, d in BUILTIN_CONCEPTS)
     + ") AS t(code, name, phrase, higher_is_concerning)",
 )
 step("features", "SELECT DISTINCT 'count__' || code AS feature FROM all_events UNION SELECT DISTINCT 'value__' || code FROM all_events WHERE value IS NOT NULL")
