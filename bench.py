@@ -16,7 +16,7 @@ HEADLINE = (
     "cohort", "vital_summary", "lab_latest", "icd_classify", "dx_history", "readmission_30d", "labels_long",
     "events_union", "load_event_label", "code_doc_freq", "matrix", "snapshot", "split_ids", "stride_sample",
     "lab_medians", "binary_metrics", "regression_metrics", "contributor_views", "health_payload", "guardrails",
-    "summary_quality",
+    "summary_quality", "train_binary", "tree_contributions",
 )
 
 
