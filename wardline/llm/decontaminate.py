@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardline.llm.text import column, gram_hashes, pieces, plain_words, signed, table, word_hashes
 from wardline.session import materialize
@@ -78,7 +79,11 @@ def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_ADDED = "n_words bigint, n_hit bigint, spans array<struct<s:int,e:int>>, items array<string>"
+_SPAN = T.StructType([T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())])
+_ADDED = [
+    T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
+    T.StructField("spans", T.ArrayType(_SPAN)), T.StructField("items", T.ArrayType(T.StringType())),
+]
 
 
 def _scanning(windows_of: Callable, names: list[str], place: int):
@@ -112,10 +117,9 @@ def benchmark_hits(
     Null and empty texts have no words and no hits; an empty benchmark hits nothing; repeated rows are scanned each;
     columns of `docs` named like the added ones are replaced; ids may be null.
     """
-    added = ("n_words", "n_hit", "spans", "items")
-    rows = docs.drop(*added)
+    rows = docs.drop(*[f.name for f in _ADDED if f.name != text])
     names, place = rows.columns, rows.columns.index(text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", " + _ADDED
+    schema = T.StructType([*rows.schema.fields, *_ADDED])
     windows = materialize(benchmark_windows(items, item_id, item_text, window), "windows")
     if windows.select(F.size("items").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] <= broadcast_windows:
         sent = docs.sparkSession.sparkContext.broadcast(_Windows(windows.collect()))
