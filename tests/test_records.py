@@ -102,6 +102,23 @@ def test_a_registered_model_of_any_kind_scores_and_loads(spark, tmp_path):
     assert {r["feature"]: r["importance"] for r in again.importance(spark).collect()} == {"x": 1.0}
 
 
+def test_a_stored_panel_is_the_same_panel(spark):
+    from wardline.plans.panel import load_panel, store_panel
+
+    models.register_model("plain", lambda kind, params: LogisticRegression(featuresCol="features", labelCol="label", **params))
+    rows = spark.range(100).selectExpr("id", "double(id % 10) as x", "double(id % 10 > 4) as label")
+    model = models.fit_model(rows, rows, ["x"], "binary", name="plain")
+    vocab = {None: mx.Vocabulary(("A", "a'\\b"), ("A",)), 24: mx.Vocabulary((), ())}
+    table = spark.createDataFrame([("t", 0.5)], "task string, auroc double")
+    path = scratch_path(spark, "panel")
+    for _ in range(2):  # the second replaces the first
+        store_panel(path, {"t": model}, vocab, table, table)
+    again, words, metrics, manifest = load_panel(spark, path)
+    assert words == vocab and metrics.collect() == manifest.collect() == table.collect()
+    ids = ["id"]
+    assert again["t"].score(rows, ids).orderBy("id").collect() == model.score(rows, ids).orderBy("id").collect()
+
+
 def test_the_root_is_found_at_any_depth(spark, tmp_path):
     for name in ("hosp", "icu"):
         (tmp_path / "a/b/c/d/mimiciv/3.1" / name).mkdir(parents=True)

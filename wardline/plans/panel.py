@@ -6,7 +6,7 @@ import json
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.operators import explain, matrix as mx, metrics, profiles
@@ -94,6 +94,33 @@ def train_panel(
     return {t.name: m for t, _, m, _ in done}, table, manifest
 
 
+def store_panel(
+    path: str, models: dict[str, RiskModel], vocab: dict[int | None, mx.Vocabulary], panel_metrics: DataFrame, manifest: DataFrame
+) -> None:
+    """Everything that scoring needs, below one folder: models, vocabularies, metrics and manifest. What stands there
+    is replaced."""
+    for name, model in models.items():
+        model.save(f"{path}/models/{name}")
+    content = {
+        "tasks": list(models),
+        "vocabularies": [{"window": h, "codes": v.codes, "numeric": v.numeric} for h, v in vocab.items()],
+    }
+    spark = panel_metrics.sparkSession
+    inline_table(spark, [(json.dumps(content),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/content")
+    panel_metrics.write.mode("overwrite").parquet(f"{path}/metrics")
+    manifest.write.mode("overwrite").parquet(f"{path}/manifest")
+
+
+def load_panel(
+    spark: SparkSession, path: str
+) -> tuple[dict[str, RiskModel], dict[int | None, mx.Vocabulary], DataFrame, DataFrame]:
+    """(models, vocabularies, metrics, manifest) as `store_panel` wrote them: serving is a job of its own."""
+    content = json.loads(spark.read.text(f"{path}/content").first()["value"])
+    models = {name: RiskModel.load(spark, f"{path}/models/{name}") for name in content["tasks"]}
+    vocab = {v["window"]: mx.Vocabulary(tuple(v["codes"]), tuple(v["numeric"])) for v in content["vocabularies"]}
+    return models, vocab, spark.read.parquet(f"{path}/metrics"), spark.read.parquet(f"{path}/manifest")
+
+
 def score_panel(
     models: dict[str, RiskModel], wide: dict[int | None, DataFrame], *, tasks=ALL_TASKS, top_k: int = 5, seed: int = 42,
     use_directions: bool = True, parallel: int = 3,
