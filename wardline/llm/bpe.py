@@ -100,16 +100,16 @@ def _lists(parts: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4")))
 
 
-def _add(df: DataFrame, name: str, kind: T.DataType, arrow: pa.DataType, source: str, make, rows: int) -> DataFrame:
-    """`df` with one column made from `source` in Arrow batches; a column of that name is replaced."""
-    df = df.drop(name) if name in df.columns and name != source else df
+def _adding(df: DataFrame, fields: list[T.StructField], source: str, make, rows: int) -> DataFrame:
+    """`df` with columns made from `source` in Arrow batches; columns of those names are replaced."""
+    df = df.drop(*[f.name for f in fields if f.name != source])
     place = df.columns.index(source)
-    schema = T.StructType([*df.schema.fields, T.StructField(name, kind)])
+    schema = T.StructType([*df.schema.fields, *fields])
 
     def run(batches):
         do = make()
         for batch in pieces(batches, rows):
-            yield pa.RecordBatch.from_arrays([*batch.columns, do(batch.column(place)).cast(arrow)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *do(batch.column(place))], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -125,51 +125,39 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
     def make():
         find = regex.compile(pattern).findall
         known = _KNOWN.setdefault(ranks_path, _Pieces(sent.value))
-        return lambda texts: _lists([b"".join(map(known.__getitem__, find(t or ""))) for t in texts.to_pylist()])
+        return lambda texts: [_lists([b"".join(map(known.__getitem__, find(t or ""))) for t in texts.to_pylist()])]
 
-    return _add(docs, ids, T.ArrayType(T.IntegerType()), pa.list_(pa.int32()), text, make, 256)
+    return _adding(docs, [T.StructField(ids, T.ArrayType(T.IntegerType()))], text, make, 256)
 
 
-def decode(docs: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """`docs` with the bytes that the ids stand for; null ids give no bytes. An id that no token has is an error."""
+def decode(
+    docs: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "decoded", digest: str = "ids_sha256"
+) -> DataFrame:
+    """`docs` with the bytes that the ids stand for, and the sha256, in lowercase hex, of the ids as little-endian
+    unsigned 32-bit integers. Null ids give no bytes. An id that no token has is an error."""
     sent = docs.sparkSession.sparkContext.broadcast({i: token for token, i in read_ranks(ranks_path).items()})
 
     def make():
         tokens = sent.value
 
         def do(lists):
-            out = []
+            texts, sums = [], []
             for one in lists:
-                out.append(b"".join(map(tokens.__getitem__, one.values.to_numpy().tolist())) if one.is_valid else b"")
-            return pa.array(out, pa.binary())
+                numbers = one.values.to_numpy() if one.is_valid else np.empty(0, np.int32)
+                texts.append(b"".join(map(tokens.__getitem__, numbers.tolist())))
+                sums.append(hashlib.sha256(numbers.astype("<u4").tobytes()).hexdigest())
+            return [pa.array(texts, pa.binary()), pa.array(sums, pa.string())]
 
         return do
 
-    return _add(docs, decoded, T.BinaryType(), pa.binary(), ids, make, 256)
-
-
-def ids_digest(docs: DataFrame, ids: str = "ids", digest: str = "ids_sha256") -> DataFrame:
-    """`docs` with the sha256, in lowercase hex, of the ids as little-endian unsigned 32-bit integers."""
-
-    def make():
-        def do(lists):
-            out = []
-            for one in lists:
-                raw = one.values.to_numpy().astype("<u4").tobytes() if one.is_valid else b""
-                out.append(hashlib.sha256(raw).hexdigest())
-            return pa.array(out, pa.string())
-
-        return do
-
-    return _add(docs, digest, T.StringType(), pa.string(), ids, make, 1024)
+    return _adding(docs, [T.StructField(decoded, T.BinaryType()), T.StructField(digest, T.StringType())], ids, make, 256)
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row's text encoded and decoded again."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     encoded = encode(rows, ranks_path, pattern).select("doc_id", "ids")
-    both = ids_digest(decode(encoded, ranks_path))
-    return both.select(
+    return decode(encoded, ranks_path).select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids_sha256",
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
