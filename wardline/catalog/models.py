@@ -65,6 +65,29 @@ def calibrate(v: Views):
     return both.select("patient_id", "raw_probability", "isotonic", "platt")
 
 
+@query(
+    "calibrate_isotonic",
+    """
+WITH folded AS (SELECT p AS x, count(*) AS n, sum(y) AS s FROM scored GROUP BY p),
+placed AS (SELECT x, row_number() OVER (ORDER BY x) AS i, sum(n) OVER (ORDER BY x) AS cn, sum(s) OVER (ORDER BY x) AS cs FROM folded),
+spans AS (
+  SELECT a.i AS j, b.i AS k, (b.cs - coalesce(q.cs, 0)) / (b.cn - coalesce(q.cn, 0)) AS mean
+  FROM placed a JOIN placed b ON b.i >= a.i LEFT JOIN placed q ON q.i = a.i - 1
+),
+lows AS (SELECT t.i, r.j, min(r.mean) AS m FROM placed t JOIN spans r ON r.j <= t.i AND r.k >= t.i GROUP BY t.i, r.j),
+fit AS (SELECT i, max(m) AS isotonic FROM lows GROUP BY i)
+SELECT patient_id, round(p, 6) AS raw_probability, round(isotonic, 6) AS isotonic
+FROM scored JOIN placed ON x = p JOIN fit USING (i)""",
+)
+def calibrate_isotonic(v: Views):
+    """Isotonic calibration of the given scores; the check is its max-min form."""
+    from wardline.operators.models import apply_calibrator, fit_calibrator
+
+    scored = v.scored.select("patient_id", F.col("y").cast("double").alias("label"), F.col("p").alias("raw_probability"))
+    out = apply_calibrator(scored, fit_calibrator(scored))
+    return out.select("patient_id", "raw_probability", F.col("probability").alias("isotonic"))
+
+
 @query("feature_importance")
 def feature_importance(v: Views):
     model, _ = binary_model(v)
