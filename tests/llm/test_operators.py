@@ -335,3 +335,19 @@ def test_dedup_of_awkward_rows(awkward, none):
     assert substring.cut_repeats(awkward).columns == awkward.columns
     for df in (minhash.near_duplicates(none), minhash.keep_first(none), substring.substring_duplicates(none), substring.cut_repeats(none)):
         assert df.count() == 0
+
+
+def found_passages(spark, texts: dict) -> set:
+    """(later, earlier) of all passages found among texts with ids."""
+    owners, passages = substring.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"))
+    ids = {r["node"]: r["first_id"] for r in owners.collect()}
+    return {(ids[r["a"]], ids[r["b"]]) for r in passages.collect()}
+
+
+def test_most_windows_at_the_threshold_are_candidates(spark):
+    texts, n = {}, 300
+    for i in range(n):
+        words = prose(1000 + i, 50).split()
+        for j, w in enumerate((words, [*words[:25], f"new{i}", *words[26:]])):  # 41 of 51 shingles are common
+            texts[2 * i + j] = " ".join([prose(2000 + 2 * i + j, 30), *w, prose(3000 + 2 * i + j, 30)])
+    assert len(found_passages(spark, texts) & {(2 * i + 1, 2 * i) for i in range(n)}) >= 0.93 * n
