@@ -351,3 +351,39 @@ def test_most_windows_at_the_threshold_are_candidates(spark):
         for j, w in enumerate((words, [*words[:25], f"new{i}", *words[26:]])):  # 41 of 51 shingles are common
             texts[2 * i + j] = " ".join([prose(2000 + 2 * i + j, 30), *w, prose(3000 + 2 * i + j, 30)])
     assert len(found_passages(spark, texts) & {(2 * i + 1, 2 * i) for i in range(n)}) >= 0.93 * n
+
+
+def alike_starts(one, two) -> set:
+    """(start, start) of all windows of two texts at a Jaccard similarity of 0.8, by sets."""
+    a, b = ([set(x[i : i + 46].tolist()) for i in range(len(x) - 45)] for x in (one, two))
+    return {(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if 10 * len(x & y) >= 8 * len(x | y)}
+
+
+@pytest.mark.parametrize("edit", ["insert", "drop", "replace", "every40", "repeats"])
+def test_passages_with_an_inserted_or_dropped_word_against_all_windows(edit):
+    words = prose(1, 70).split()
+    if edit == "repeats":
+        words = (words[:30] * 3)[:70]  # a window has 30 shingles, 30 of 35 are common
+    if edit == "every40":
+        words = prose(1, 170).split()
+        other = [x for i, w in enumerate(words) for x in ([f"new{i}", w] if i % 40 == 20 else [w])]
+    else:
+        other = {"insert": [*words[:35], "new", *words[35:]], "drop": words[:35] + words[36:]}.get(edit, [*words[:35], "new", *words[36:]])
+    one, two = (
+        substring.text_shingles(" ".join([prose(a, 20), *w, prose(b, 20)])) for a, b, w in ((2, 3, words), (4, 5, other))
+    )
+    wanted = alike_starts(one, two)
+    assert wanted
+    once = all(len(set(x.tolist())) == len(x) for x in (one, two))
+    # candidates share a min-hash at their offset
+    mine_by = {}
+    for i, j in wanted:
+        if (one[i : i + 46] == two[j : j + 46]).any():
+            mine_by.setdefault(i - j, []).append((i, j))
+    assert mine_by
+    for shift, mine in mine_by.items():
+        found = substring.alike_passages(one, two, shift)
+        hit = {i for x in found for i in range(x[0], x[1])}
+        assert found and all(len(hit & set(range(i, i + 50))) >= 45 for i, _ in mine), shift
+        assert min(x[0] for x in found) >= min(i for i, _ in mine) and max(x[1] for x in found) <= max(i for i, _ in mine) + 50
+        assert not once or substring.alike_passages(one, two, shift, True) == found
