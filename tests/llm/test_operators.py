@@ -387,3 +387,19 @@ def test_passages_with_an_inserted_or_dropped_word_against_all_windows(edit):
         assert found and all(len(hit & set(range(i, i + 50))) >= 45 for i, _ in mine), shift
         assert min(x[0] for x in found) >= min(i for i, _ in mine) and max(x[1] for x in found) <= max(i for i, _ in mine) + 50
         assert not once or substring.alike_passages(one, two, shift, True) == found
+
+
+def test_an_exact_passage_is_found_behind_a_common_header(spark):
+    texts, n, m = {}, 12, 14
+    for i in range(n):
+        header, words = prose(5000 + i, 60), prose(6000 + i, 60).split()
+        for j in range(m):  # all but the last two share min-hashes with those and are not near them
+            edits = {j % 5 + k for k in (10, 25, 40)} if j < m - 2 else set()
+            own = [f"new{i}x{j}x{k}" if k in edits else w for k, w in enumerate(words)]
+            texts[m * i + j] = " ".join([header, prose(7000 + m * i + j, 60), *own, prose(8000 + m * i + j, 30)])
+    owners, passages = substring.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"))
+    ids = {r["node"]: r["first_id"] for r in owners.collect()}
+    last = {}
+    for r in passages.collect():
+        last[ids[r["a"]]] = max(last.get(ids[r["a"]], 0), r["a_end"])
+    assert all(last[m * i + m - 1] >= 180 for i in range(n))
