@@ -96,6 +96,19 @@ def test_calibration_is_monotone(spark, method):
     assert all(0 <= x <= 1 for x in p) and all(a <= b + 1e-12 for a, b in zip(p, p[1:]))
 
 
+@pytest.mark.parametrize("scores", [20, 500])
+def test_isotonic_fit_beyond_its_bound_counts_all_rows(spark, scores):
+    df = spark.range(4000).selectExpr(
+        f"(id % {scores}) / {scores}D as raw_probability",
+        f"double(xxhash64(id) % 1000 / 1000D between -(id % {scores}) / {scores}D and (id % {scores}) / {scores}D) as label",
+    )
+    whole, bounded = (
+        [r["probability"] for r in apply_calibrator(df, fit_calibrator(df, max_rows=n)).orderBy("raw_probability").collect()]
+        for n in (10**6, 100)
+    )
+    assert max(abs(a - b) for a, b in zip(whole, bounded)) < (1e-12 if scores <= 100 else 0.1)
+
+
 def test_one_class_is_not_calibrated(spark):
     df = spark.createDataFrame([(0.2, 1.0), (0.4, 1.0)], "raw_probability double, label double")
     assert fit_calibrator(df) is None

@@ -26,7 +26,7 @@ GBT_DEFAULTS = {
     "seed": 42,
 }
 
-# Validation rows that a calibrator is fitted on at most.
+# Folded rows (one per distinct score) that an isotonic calibrator is fitted on at most.
 MAX_CALIBRATION_ROWS = 1_000_000
 
 _REGISTRY: dict = {}
@@ -80,17 +80,24 @@ def fit_calibrator(
 ):
     """Isotonic or logistic map from raw to observed rate; None if only one class occurs.
 
-    MLlib ends the isotonic fit on the driver. Equal scores are folded exactly; where more than `max_rows`
-    validation rows are given, the fit takes that many of them in hash order.
+    MLlib ends the isotonic fit on the driver. All rows count: equal scores are folded exactly, and where more than
+    `max_rows` distinct scores remain, neighbours in that many equal steps of the score are merged with their weights.
     """
     seen = scored.agg(F.min(label).alias("lo"), F.max(label).alias("hi"), F.count(F.lit(1)).alias("n")).first()
     if seen["n"] == 0 or seen["lo"] == seen["hi"]:
         return None
     data = scored.select(F.col(label).cast("double").alias("label"), F.col(score).alias("x"))
     if method == "isotonic":
-        if seen["n"] > max_rows:
-            data = data.orderBy(F.xxhash64("x", "label")).limit(max_rows)
         folded = data.groupBy("x").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("w"))
+        if seen["n"] > max_rows:
+            folded = materialize(folded, "folded")
+            ends = folded.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n")).first()
+            if ends["n"] > max_rows:
+                step = F.floor((F.col("x") - ends["lo"]) / (ends["hi"] - ends["lo"]) * max_rows)
+                mean = lambda c: (F.sum(F.col(c) * F.col("w")) / F.sum("w")).alias(c)
+                folded = folded.groupBy(F.least(step, F.lit(max_rows - 1)).alias("step")).agg(
+                    mean("x"), mean("label"), F.sum("w").alias("w")
+                ).drop("step")
         return IsotonicRegression(featuresCol="x", labelCol="label", weightCol="w", predictionCol="calibrated").fit(folded)
     platt = LogisticRegression(
         featuresCol="v", labelCol="label", probabilityCol="platt", rawPredictionCol="platt_raw",
