@@ -403,3 +403,62 @@ def test_an_exact_passage_is_found_behind_a_common_header(spark):
     for r in passages.collect():
         last[ids[r["a"]]] = max(last.get(ids[r["a"]], 0), r["a_end"])
     assert all(last[m * i + m - 1] >= 180 for i in range(n))
+
+
+def some_matches(pattern: str) -> list[str]:
+    """Texts a licence pattern can match: every choice of one group or repeat at a time, the rest at its least or most."""
+    from re import _constants as sre
+    from re import _parser as parser
+
+    def of(items, pick):
+        return "".join(one(kind, value, pick) for kind, value in items)
+
+    def one(kind, value, pick):
+        if kind is sre.LITERAL:
+            return chr(value)
+        if kind is sre.IN:
+            kind, value = value[pick % len(value)]
+            return chr(value) if kind is sre.LITERAL else chr(value[0]) if kind is sre.RANGE else "7"
+        if kind is sre.MAX_REPEAT:
+            low, high, inner = value
+            return of(inner, pick // 2) * (min(high, low + 1) if pick % 2 else low)
+        if kind is sre.SUBPATTERN:
+            return of(value[3], pick)
+        if kind is sre.BRANCH:
+            return of(value[1][pick % len(value[1])], pick)
+        assert kind is sre.ASSERT_NOT
+        return ""
+
+    items = list(parser.parse(pattern))
+    out = {of(items, pick) for pick in range(6)}
+    for k in range(len(items)):
+        out |= {of(items[:k], rest) + of(items[k : k + 1], pick) + of(items[k + 1 :], rest) for pick in range(6) for rest in (0, 1)}
+    return sorted({" ".join(x.split()) for x in out})
+
+
+def test_the_gate_of_a_licence_rule_drops_no_match():
+    from wardline.llm.license_rules import FAMILIES
+
+    scanner, tried = licenses.Scanner(), 0
+
+    def ungated(line):
+        kept = []
+        for rule in scanner.rules:
+            for m in rule.pattern.finditer(line):
+                first, end = line[: m.start()].count(b" "), line[: m.end()].count(b" ") + 1
+                if line[m.end() - 1 : m.end()] == b" ":
+                    end -= 1
+                if not any(s <= first and end <= e for _, _, s, e in kept):
+                    kept.append((rule.label, rule.priority, first, end))
+        return sorted(kept, key=lambda x: (x[2], x[3], x[1]))
+
+    for pattern in (p for family in FAMILIES for p in family[-1]):
+        for text in some_matches(pattern):
+            for around in (text, f"zq {text} zq"):
+                words = plain_words(around)
+                wanted = ungated(b" ".join(words))
+                assert scanner.detect(words, set(words)) == wanted, text
+                tried += bool(wanted)
+    assert tried > 2 * len(scanner.rules)
+    for text, label in (("agplv3 or later", "agpl-3.0-or-later"), ("gplv2 or later", "gpl-2.0-or-later"), ("same terms as perl itself", "artistic")):
+        assert [x[0] for x in scanner.detect(text.encode().split(), set(text.encode().split()))] == [label]

@@ -1,4 +1,4 @@
-"""License scans: ordered signature rules behind a keyword prefilter, overlaps resolved by priority and containment."""
+"""License scans: ordered signature rules behind a prefilter on a literal of each, overlaps resolved by priority and containment."""
 
 from __future__ import annotations
 
@@ -16,24 +16,26 @@ BASE = ((b"mit license", "mit"), (b"apache license", "apache"), (b"general publi
 
 
 class Scanner:
-    """All rules, and for each word the rules that it lets through."""
+    """All rules, and for each word or part of a text the rules that it lets through."""
 
     def __init__(self, chosen: list[Rule] | None = None):
         self.rules = rules() if chosen is None else chosen
         self.gates: dict[bytes, list[Rule]] = {}
+        self.parts: dict[bytes, list[Rule]] = {}
         for rule in self.rules:
-            for word in rule.keywords:
-                self.gates.setdefault(word, []).append(rule)
+            (self.gates if rule.whole else self.parts).setdefault(rule.gate, []).append(rule)
 
     def detect(self, words: list[bytes], distinct: set[bytes]) -> list[tuple[str, int, int, int]]:
         """(label, rule, first word, end) of the places that stay, by place.
 
         Rules are tried in order of priority. A detection that lies within a kept one is suppressed.
         """
+        line = b" ".join(words)
+        padded = b" " + line + b" "
         let = {rule.priority: rule for word in self.gates.keys() & distinct for rule in self.gates[word]}
+        let |= {rule.priority: rule for part, own in self.parts.items() if part in padded for rule in own}
         if not let:
             return []
-        line = b" ".join(words)
         starts = np.cumsum([0] + [len(w) + 1 for w in words])
         kept: list[tuple[str, int, int, int]] = []
         for priority in sorted(let):
