@@ -12,7 +12,7 @@ from wardline.operators.models import (
     RiskModel, apply_calibrator, available_models, fit_binary, fit_calibrator, fit_regression, get_estimator,
     register_model, uncertainty,
 )
-from wardline.operators.tree_paths import _leaf_patterns, tree_contributions
+from wardline.operators.tree_paths import Forest, impacts, tree_contributions
 from wardline.session import scratch_path
 
 PARAMS = {"maxIter": 6, "maxDepth": 3}
@@ -70,20 +70,77 @@ def test_contributions_add_up(model, data):
     assert worst < 1e-9
 
 
-def test_leaf_patterns_equal_the_definition():
-    zero, value = [0.3, 0.8, 0.5], 2.0
-    table = _leaf_patterns(value, zero)
-    for pattern in range(8):
-        one = [(pattern >> j) & 1 for j in range(3)]
-        worth = lambda s: value * np.prod([one[j] if j in s else zero[j] for j in range(3)])
-        for i in range(3):
-            rest = [j for j in range(3) if j != i]
+def grown(rng, depth, slots):
+    """A random tree as nested tuples (count, value) or (count, slot, cut, left, right)."""
+    count = int(rng.integers(2 ** (depth + 1), 2 ** (depth + 6)))
+
+    def node(count, depth):
+        if depth == 0 or (count < 4 or rng.random() < 0.1):
+            return count, float(rng.normal())
+        left = int(rng.integers(1, count))
+        return count, int(rng.integers(slots)), float(rng.random()), node(left, depth - 1), node(count - left, depth - 1)
+
+    return node(count, depth)
+
+
+def arrays_of(trees):
+    rows, roots = [], []
+
+    def put(tree):
+        at = len(rows)
+        rows.append(None)
+        if len(tree) == 2:
+            rows[at] = (-1, -1, -1, 0.0, *tree)
+        else:
+            count, slot, cut, left, right = tree
+            rows[at] = (put(left), put(right), slot, cut, count, 0.0)
+        return at
+
+    for tree in trees:
+        roots.append(put(tree))
+    left, right, slot, cut, count, value = map(np.array, zip(*rows, strict=True))
+    return Forest(np.array(roots), left, right, slot, cut, count.astype(float), value)
+
+
+def worth(tree, x, known):
+    """Expected value of a tree where only the slots in `known` are told."""
+    if len(tree) == 2:
+        return tree[1]
+    count, slot, cut, left, right = tree
+    if slot in known:
+        return worth(left if x[slot] <= cut else right, x, known)
+    return (left[0] * worth(left, x, known) + right[0] * worth(right, x, known)) / count
+
+
+@pytest.mark.parametrize("depth,n_trees", [(0, 3), (1, 4), (3, 20), (6, 6)])
+def test_contributions_equal_the_definition_by_subsets(depth, n_trees):
+    rng = np.random.Generator(np.random.PCG64(depth))
+    trees = [grown(rng, depth, 5) for _ in range(n_trees)]
+    x = rng.random((7, 5))
+    got = impacts(arrays_of(trees), x, np.arange(5), 5)
+    for row, own in zip(x, got, strict=True):
+        for i in range(5):
+            rest = [j for j in range(5) if j != i]
             want = sum(
-                factorial(len(s)) * factorial(2 - len(s)) / 6 * (worth({*s, i}) - worth(set(s)))
-                for k in range(3)
+                factorial(k) * factorial(4 - k) / 120 * sum(worth(t, row, {*s, i}) - worth(t, row, set(s)) for t in trees)
+                for k in range(5)
                 for s in combinations(rest, k)
             )
-            assert table[pattern, i] == pytest.approx(want)
+            assert own[i] == pytest.approx(want, abs=1e-12)
+
+
+def test_contributions_add_up_at_depth_ten():
+    rng = np.random.Generator(np.random.PCG64(10))
+    trees = [grown(rng, 10, 30) for _ in range(5)]
+    forest, x = arrays_of(trees), rng.random((600, 30))
+    owner = np.repeat(np.arange(15), 2)  # two slots of one column
+    total = forest.paths[1] + impacts(forest, x, owner, 15).sum(axis=1)
+    assert total == pytest.approx([sum(worth(t, row, range(30)) for t in trees) for row in x], abs=1e-9)
+
+
+def test_only_forests_have_tree_contributions(spark, data):
+    with pytest.raises(ValueError, match="made of trees"):
+        tree_contributions(RiskModel("binary", FEATURES, dict.fromkeys(FEATURES, 0.0), object()), data, ["patient_id"])
 
 
 @pytest.mark.parametrize("method", ["isotonic", "platt"])
@@ -96,17 +153,29 @@ def test_calibration_is_monotone(spark, method):
     assert all(0 <= x <= 1 for x in p) and all(a <= b + 1e-12 for a, b in zip(p, p[1:]))
 
 
-@pytest.mark.parametrize("scores", [20, 500])
-def test_isotonic_fit_beyond_its_bound_counts_all_rows(spark, scores):
-    df = spark.range(4000).selectExpr(
-        f"(id % {scores}) / {scores}D as raw_probability",
-        f"double(xxhash64(id) % 1000 / 1000D between -(id % {scores}) / {scores}D and (id % {scores}) / {scores}D) as label",
-    )
-    whole, bounded = (
-        [r["probability"] for r in apply_calibrator(df, fit_calibrator(df, max_rows=n)).orderBy("raw_probability").collect()]
-        for n in (10**6, 100)
-    )
-    assert max(abs(a - b) for a, b in zip(whole, bounded)) < (1e-12 if scores <= 100 else 0.1)
+def pooled(x, y):
+    """Isotonic means of y in the order of x, equal x folded: pool neighbours until they rise."""
+    blocks = []
+    for value in np.unique(x):
+        own = y[x == value]
+        blocks.append([own.sum(), len(own), [value]])
+        while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
+            s, n, xs = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + n, blocks[-1][2] + xs]
+    return {v: s / n for s, n, xs in blocks for v in xs}
+
+
+@pytest.mark.parametrize("scores,outlier", [(20, 0), (3000, 0), (3000, 1)])
+def test_isotonic_fit_counts_all_rows_at_their_own_scores(spark, scores, outlier):
+    rng = np.random.Generator(np.random.PCG64(scores))
+    x = rng.integers(0, scores, 20_000) / scores
+    y = (rng.random(20_000) < 0.2 + 0.6 * x**2).astype(float)
+    if outlier:
+        x[0] = 1e9
+    df = spark.createDataFrame(list(zip(x.tolist(), y.tolist(), strict=True)), "raw_probability double, label double").repartition(7)
+    want = pooled(x, y)
+    for r in apply_calibrator(df, fit_calibrator(df)).select("raw_probability", "probability").distinct().collect():
+        assert r["probability"] == pytest.approx(want[r["raw_probability"]], abs=1e-9)
 
 
 def test_one_class_is_not_calibrated(spark):
@@ -126,5 +195,5 @@ def test_uncertainty_scopes(spark):
 def test_registry():
     register_model("mine", lambda kind, params: (kind, params))
     assert "mine" in available_models() and get_estimator("mine", "binary") == ("binary", {})
-    with pytest.raises(KeyError, match="Available"):
+    with pytest.raises(KeyError, match="there are: gbt"):
         get_estimator("none", "binary")

@@ -434,11 +434,10 @@ def label_prolonged_stay(v: Views):
     return targets.select("hadm_id", F.col("prolonged_stay").alias("prolonged"), F.col("los_days").alias("los"))
 
 
-@query("label_time", "SELECT DISTINCT task, patient_id, label_time FROM all_labels WHERE task IN ('mortality_1y', 'los_days')")
+@query("label_time", "SELECT DISTINCT task, patient_id, label_time FROM all_labels")
 def label_time(v: Views):
-    tasks = [t for t in ALL_TASKS if t.name in ("mortality_1y", "los_days")]
-    long = lb.labels_long(v.cohort, history(v), dx_index(v), tasks=tasks)
-    return long.select("task", "patient_id", "label_time")
+    """The cutoff of each task's own window, for all ten tasks."""
+    return lb.labels_long(v.cohort, history(v), dx_index(v)).select("task", "patient_id", "label_time")
 
 
 @query("labels_long", "SELECT task, patient_id, label_time, round(value, 6) AS value, age, sex FROM all_labels")

@@ -1,25 +1,26 @@
-"""Queries that train: boosted trees, calibration, tree contributions, the whole panel.
-
-Boosting runs here with few rounds, given as a parameter of the query; the library default is 300.
-"""
+"""Queries that train: boosted trees, calibration, tree contributions, the whole panel."""
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from wardline.catalog.hospital import stored
-from wardline.catalog.registry import Views, query
+from wardline.catalog.registry import Views, query, step
 from wardline.catalog.timeline import vocab, wide
 from wardline.operators import matrix as mx
 from wardline.operators import metrics
+from wardline.operators.concepts import ALL_TASKS
 from wardline.operators.models import RiskModel, fit_binary, fit_regression
 from wardline.operators.split import assign_split
 from wardline.operators.tree_paths import tree_contributions
 from wardline.plans.panel import panel_profiles, train_panel, window_matrices
-from wardline.session import materialize, scratch_path
+from wardline.session import finished, materialize, run_dir, scratch_path
 
-ROUNDS = {"maxIter": 8, "maxDepth": 4}
+#: None: the library's own parameters, 300 rounds at depth 5.
+PARAMS: dict | None = None
 RECORD = ["patient_id", "label_time"]
 
 
@@ -32,11 +33,19 @@ def part(rows, name: str):
     return rows.filter(F.col("split") == name)
 
 
+def kept_model(v: Views, name: str, fit) -> RiskModel:
+    """A model that one query has trained over a folder serves the others of the same run."""
+    path = f"{run_dir(v.spark)}/models/{name}-{zlib.crc32(v.sf_dir.encode()):08x}"
+    if not finished(v.spark, f"{path}/meta"):
+        fit().save(path)
+    return RiskModel.load(v.spark, path)
+
+
 def binary_model(v: Views):
     rows = training_rows(v)
     # high count of errors: a target the matrix can tell
     rows = rows.withColumn("label", (mx.quoted("count__ENC/ED") > 9).cast("double"))
-    return fit_binary(part(rows, "train"), part(rows, "val"), vocab(v).feature_names, params=ROUNDS), rows
+    return kept_model(v, "binary", lambda: fit_binary(part(rows, "train"), part(rows, "val"), vocab(v).feature_names, params=PARAMS)), rows
 
 
 @query("train_binary")
@@ -50,7 +59,7 @@ def train_regression(v: Views):
     rows = training_rows(v)
     names = [n for n in vocab(v).feature_names if n != "n_events"]
     rows = rows.withColumn("label", F.col("n_events"))
-    model = fit_regression(part(rows, "train"), names, params=ROUNDS)
+    model = kept_model(v, "regression", lambda: fit_regression(part(rows, "train"), names, params=PARAMS))
     return model.score(rows, RECORD).select("patient_id", "point_estimate", "uncertainty")
 
 
@@ -119,31 +128,82 @@ def model_persistence(v: Views):
     return first.join(again, "patient_id").select("patient_id", (F.abs(F.col("probability") - F.col("p2")) < 1e-12).alias("same"))
 
 
-def trained(v: Views):
-    parts = stored(v)
-    matrices, vocabularies = window_matrices(parts["events"], parts["labels"])
-    models, table, manifest = train_panel(
-        matrices, vocabularies, parts["labels"], params={"maxIter": 3, "maxDepth": 3}
-    )
-    return matrices, models, table, manifest
+def trained(v: Views, params: dict | None = PARAMS):
+    """The panel over a folder. Its run is kept, so the queries that read it train it once between them."""
+    if "panel" not in v.__dict__:
+        parts = stored(v)
+        matrices, vocabularies = window_matrices(parts["events"], parts["labels"])
+        run = f"{run_dir(v.spark)}/panel-{zlib.crc32(v.sf_dir.encode()):08x}"
+        v.panel = (parts, matrices, vocabularies, *train_panel(matrices, vocabularies, parts["labels"], params=params, run=run, parallel=5))
+    return v.panel
 
 
 @query("train_panel")
 def panel_metrics(v: Views):
     """Held-out metrics of all ten tasks."""
-    return trained(v)[2]
+    return trained(v)[4]
 
 
 @query("manifest")
 def manifest(v: Views):
-    return trained(v)[3]
+    return trained(v)[5]
+
+
+step(
+    "hosp_rank",
+    """
+SELECT patient_id, row_number() OVER (ORDER BY md5('42:' || patient_id), patient_id) AS rank, count(*) OVER () AS n
+FROM (SELECT DISTINCT patient_id FROM all_labels) i""",
+)
+step(
+    "hosp_split",
+    """
+SELECT patient_id, CASE WHEN rank <= floor(n * 0.15) THEN 'test' WHEN rank <= floor(n * 0.15) + floor(n * 0.15) THEN 'val' ELSE 'train' END AS split
+FROM hosp_rank""",
+)
+step(
+    "hosp_column",
+    """
+SELECT obs_window, 'count__' || code AS feature, code FROM all_events WHERE patient_id IN (SELECT patient_id FROM hosp_split WHERE split = 'train')
+UNION SELECT obs_window, 'value__' || code, code FROM all_events WHERE value IS NOT NULL AND patient_id IN (SELECT patient_id FROM hosp_split WHERE split = 'train')
+UNION SELECT w.obs_window, f.feature, '' FROM (VALUES ('age'), ('sex_female'), ('n_events')) AS f(feature), (SELECT DISTINCT obs_window FROM all_events) w""",
+)
+step(
+    "hosp_task",
+    "SELECT * FROM (VALUES " + ", ".join(f"('{t.name}', '{t.kind}', '{t.tag}')" for t in ALL_TASKS) + ") AS t(task, kind, obs_window)",
+)
+
+
+@query(
+    "panel_facts",
+    """
+SELECT t.task, t.kind, t.obs_window, held.n AS n_test, CASE WHEN t.kind = 'binary' THEN held.positives END AS positives_test,
+       kept.n AS n_columns, kept.digest AS columns_md5, true AS in_range
+FROM hosp_task t
+JOIN (SELECT l.task, count(*) AS n, CAST(sum(l.value) AS BIGINT) AS positives FROM all_labels l JOIN hosp_split s ON s.patient_id = l.patient_id
+      WHERE s.split = 'test' GROUP BY l.task) held ON held.task = t.task
+JOIN (SELECT h.task, count(*) AS n, md5(string_agg(c.feature, '|' ORDER BY c.feature)) AS digest FROM hosp_task h JOIN hosp_column c ON c.obs_window = h.obs_window
+      WHERE NOT EXISTS (SELECT 1 FROM prefixes p WHERE p.task = h.task AND starts_with(c.code, p.prefix)) GROUP BY h.task) kept ON kept.task = t.task""",
+)
+def panel_facts(v: Views):
+    """What is exact about the trained panel: held-out rows and positives, the columns each task was left, and that
+    every metric lies where it can."""
+    _, _, _, _, table, kept = trained(v)
+    names = F.array_sort(F.from_json("columns_json", "array<string>"))
+    columns = kept.select("task", "obs_window", F.size(names).cast("bigint").alias("n_columns"), F.md5(F.array_join(names, "|").cast("binary")).alias("columns_md5"))
+    share = lambda c: F.coalesce(F.col(c).between(0, 1), F.lit(True))
+    sound = share("auroc") & share("auprc") & share("brier") & share("calibration_error") & F.coalesce(F.col("mae") <= F.col("rmse"), F.lit(True))
+    return table.join(columns, "task").select(
+        "task", "kind", "obs_window", F.col("n").alias("n_test"), F.col("positives").alias("positives_test"), "n_columns", "columns_md5",
+        sound.alias("in_range"),
+    )
 
 
 @query("panel_profile")
 def panel_profile(v: Views):
-    """Nested panel of every patient, shown by its strongest forward and chronic entry."""
-    matrices, models, table, _ = trained(v)
-    nested = panel_profiles(models, matrices, table)
+    """Nested panel of every stay, shown by its strongest forward and chronic entry."""
+    parts, matrices, _, models, table, _ = trained(v)
+    nested = panel_profiles(models, matrices, table, events=parts["events"], labels=parts["labels"])
     return nested.select(
         "patient_id",
         F.size("forward").alias("n_forward"),
@@ -151,4 +211,20 @@ def panel_profile(v: Views):
         F.col("forward")[0]["name"].alias("top_forward"),
         F.col("forward")[0]["probability_pct"].alias("top_pct"),
         F.array_join(F.transform(F.col("chronic")[0]["contributors"], lambda c: c["phrase"]), "|").alias("chronic_factors"),
+        "demographics.age", "demographics.sex", F.size("snapshot.active_conditions").alias("n_conditions"), "attribution_method",
+    )
+
+
+@query(
+    "panel_profile_parts",
+    """
+SELECT l.patient_id, l.age, l.sex, 4 AS n_forward, 6 AS n_chronic, 'tree' AS method FROM all_labels l WHERE l.task = 'mortality_1y'""".replace("4 AS", "CAST(4 AS BIGINT) AS").replace("6 AS", "CAST(6 AS BIGINT) AS"),
+)
+def panel_profile_parts(v: Views):
+    """Every stay has one panel of all ten tasks, with its demographics and the exact contributions."""
+    parts, matrices, _, models, table, _ = trained(v)
+    nested = panel_profiles(models, matrices, table, events=parts["events"], labels=parts["labels"])
+    return nested.select(
+        "patient_id", "demographics.age", "demographics.sex", F.size("forward").alias("n_forward"), F.size("chronic").alias("n_chronic"),
+        F.col("attribution_method").alias("method"),
     )

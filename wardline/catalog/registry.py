@@ -81,17 +81,26 @@ PANEL_TASKS = (
     (5, "dx_diabetes", "chronic", "binary"), (6, "dx_hypertension", "chronic", "binary"),
 )
 PANEL_FEATURES = ("value__LAB/SODIUM", "count__DX/DIABETES", "age")
-VIEWS["panel_scores"] = "\nUNION ALL\n".join(
-    f"""SELECT CAST(o_orderkey AS {{STR}}) AS patient_id, '{task}' AS task, '{group}' AS task_group, '{kind}' AS kind,
-       {f'CAST((o_orderkey * 7919 + {k} * 104729) % 1009 AS DOUBLE) / 1008' if kind == 'binary' else 'CAST(NULL AS DOUBLE)'} AS probability,
-       {f'CAST((o_orderkey * 31) % 977 AS DOUBLE) / 37' if kind == 'regression' else 'CAST(NULL AS DOUBLE)'} AS point_estimate,
-       CAST((o_orderkey * 13 + {k} * 7) % 100 AS DOUBLE) / 100 AS uncertainty,
-       CASE WHEN (o_orderkey * 17 + {k} * 5) % 100 < 30 THEN 1 ELSE 0 END AS y,
+VIEWS["panel_scores"] = f"""
+SELECT CAST(o_orderkey AS {{STR}}) AS patient_id, task, task_group, kind,
+       CASE WHEN kind = 'binary' THEN CAST((o_orderkey * 7919 + k * 104729) % 1009 AS DOUBLE) / 1008 END AS probability,
+       CASE WHEN kind = 'regression' THEN CAST((o_orderkey * 31) % 977 AS DOUBLE) / 37 END AS point_estimate,
+       CAST((o_orderkey * 13 + k * 7) % 100 AS DOUBLE) / 100 AS uncertainty,
+       CASE WHEN (o_orderkey * 17 + k * 5) % 100 < 30 THEN 1 ELSE 0 END AS y,
        CAST((o_orderkey * 29) % 1013 AS DOUBLE) / 41 AS days,
-       {', '.join(f'CAST((o_orderkey + {i}) % 90 AS DOUBLE) AS value_{i}, CAST((o_orderkey * {17 + i} + {k}) % 41 - 20 AS DOUBLE) / 20 AS impact_{i}' for i in range(3))}
-FROM {{orders}}"""
-    for k, task, group, kind in PANEL_TASKS
-)
+       {', '.join(f'CAST((o_orderkey + {i}) % 90 AS DOUBLE) AS value_{i}, CAST((o_orderkey * {17 + i} + k) % 41 - 20 AS DOUBLE) / 20 AS impact_{i}' for i in range(3))}
+FROM {{orders}} CROSS JOIN (VALUES {', '.join(f"({k}, '{task}', '{group}', '{kind}')" for k, task, group, kind in PANEL_TASKS)}) AS asked(k, task, task_group, kind)"""
+# what was recorded of the same patients in the ninety days before
+VIEWS["panel_events"] = """
+SELECT CAST(l_orderkey AS {STR}) AS patient_id, CAST(l_shipdate AS {TS}) AS time,
+       CASE l_linenumber % 3 WHEN 0 THEN 'ICD10/E11.9' WHEN 1 THEN 'LAB/HbA1c' ELSE 'ENC/ED' END AS code,
+       CASE WHEN l_linenumber % 3 = 1 THEN l_quantity END AS value
+FROM {lineitem}"""
+VIEWS["panel_labels"] = """
+SELECT CAST(o_orderkey AS {STR}) AS patient_id, CAST(o_orderdate AS {TS}) + INTERVAL '60' DAY AS label_time,
+       CAST(20 + o_orderkey % 60 AS DOUBLE) AS age, CASE WHEN o_orderkey % 2 = 0 THEN 'female' ELSE 'male' END AS sex,
+       CAST(0 AS DOUBLE) AS value
+FROM {orders}"""
 # item ids of the given tables; the library's own dictionaries hold those of the hospital system
 CHART_ITEMS = (
     (220001, "HR", 0), (220002, "RR", 0), (220003, "SPO2", 0), (220004, "TEMP_C", 1),

@@ -405,7 +405,7 @@ step(
 )
 
 
-def panels(v: Views):
+def panels(v: Views, snapshots=None):
     tasks = [t for t in ALL_TASKS if t.name in {p[1] for p in PANEL_TASKS}]
     cells = [
         F.struct(
@@ -420,7 +420,7 @@ def panels(v: Views):
         "patient_id", "task", "probability", F.col("probability").alias("raw_probability"), "point_estimate", "uncertainty",
         up.alias("contributors"), down.alias("protective_factors"),
     )
-    return profiles.panel(scores, task_dim(v.spark, tasks), ratings)
+    return profiles.panel(scores, task_dim(v.spark, tasks), ratings, snapshots=snapshots)
 
 
 @query(
@@ -483,3 +483,60 @@ def payload_json(v: Views):
         at("$.forward_risks[0].chance_percent").alias("first_percent"),
         chronic.alias("n_chronic"),
     )
+
+
+@query(
+    "payload_snapshot",
+    """
+SELECT l.patient_id, l.age, l.sex,
+       coalesce((SELECT string_agg(DISTINCT code, '|' ORDER BY code) FROM panel_window w WHERE w.patient_id = l.patient_id AND w.code LIKE 'ICD%'), '') AS conditions,
+       (SELECT round_even(last_of.value, 1) FROM (
+          SELECT value FROM panel_window w WHERE w.patient_id = l.patient_id AND w.value IS NOT NULL ORDER BY w.time DESC, w.value DESC LIMIT 1) last_of) AS hba1c,
+       coalesce((SELECT count(*) FROM panel_window w WHERE w.patient_id = l.patient_id AND w.code LIKE 'ENC%'), 0) AS encounters, 'approx' AS method
+FROM panel_labels l""",
+)
+def payload_snapshot(v: Views):
+    """Demographics and recent snapshot of the payload, read back from its JSON text."""
+    shots = ev.snapshot(v.panel_events, v.panel_labels, lookback_days=90)
+    nested = panels(v, shots)
+    text = profiles.health_payload(nested).select("patient_id", "payload_json").join(nested.select("patient_id", "attribution_method"), "patient_id")
+    at = lambda path: F.get_json_object("payload_json", path)
+    conditions = F.from_json(F.coalesce(at("$.recent_snapshot.active_conditions"), F.lit("[]")), "array<string>")
+    return text.select(
+        "patient_id",
+        at("$.demographics.age").cast("double").alias("age"),
+        at("$.demographics.sex").alias("sex"),
+        F.array_join(conditions, "|").alias("conditions"),
+        at("$.recent_snapshot.recent_observations['LAB/HbA1c']").cast("double").alias("hba1c"),
+        at("$.recent_snapshot.n_recent_encounters").cast("bigint").alias("encounters"),
+        F.col("attribution_method").alias("method"),
+    )
+
+
+step(
+    "panel_window",
+    "SELECT e.* FROM panel_events e JOIN panel_labels l ON e.patient_id = l.patient_id WHERE e.time <= l.label_time AND e.time >= l.label_time - INTERVAL 90 DAY",
+)
+
+
+@query(
+    "prediction_block",
+    """
+SELECT s.patient_id, s.task, t.label, s.task_group AS grp, s.kind, CASE WHEN s.uncertainty < 0.34 THEN 'higher' WHEN s.uncertainty < 0.67 THEN 'moderate' ELSE 'lower' END AS confidence,
+       round_even(s.uncertainty, 4) AS uncertainty, round_even(s.probability, 4) AS probability, CAST(round_even(s.probability * 100, 0) AS BIGINT) AS probability_pct,
+       CASE WHEN s.probability > 0 AND s.probability < 1 THEN round(ln(s.probability / (1 - s.probability)), 4) END AS logit,
+       CASE WHEN s.probability < 0.1 THEN 'low' WHEN s.probability < 0.3 THEN 'moderate' WHEN s.probability IS NOT NULL THEN 'elevated' END AS risk_tier,
+       round(s.point_estimate, 6) AS point_estimate, CASE WHEN s.kind = 'binary' THEN a.auroc END AS auroc,
+       coalesce((SELECT string_agg(phrase, '|' ORDER BY rank) FROM panel_view p WHERE p.patient_id = s.patient_id AND p.task = s.task AND p.impact > 0), '') AS top_contributors
+FROM panel_scores s JOIN panel_task t ON t.task = s.task JOIN (VALUES """
+    + ", ".join(f"('{t}', {'NULL' if a is None else a})" for t, a, _ in _RATINGS)
+    + """) AS a(task, auroc) ON a.task = s.task""",
+)
+def prediction_block(v: Views):
+    """The prediction block of response records, an entry per row."""
+    block = profiles.prediction_block(panels(v)).select("patient_id", F.explode(F.concat("predictions.forward", "predictions.chronic")).alias("p"))
+    return block.select(
+        "patient_id", "p.task", "p.label", F.col("p.group").alias("grp"), "p.kind", "p.confidence", "p.uncertainty", "p.probability",
+        "p.probability_pct", "p.logit", "p.risk_tier", "p.point_estimate", "p.auroc",
+        F.array_join(F.transform("p.top_contributors", lambda c: c["phrase"]), "|").alias("top_contributors"),
+    )

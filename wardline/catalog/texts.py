@@ -10,7 +10,7 @@ from wardline.functions import text as tx
 from wardline.operators import guardrails as gr
 from wardline.operators import profiles
 from wardline.session import scratch_path
-from wardline.sources.sinks import write_records
+from wardline.sources.sinks import read_texts, write_records
 
 COLUMNS = [f"s{i}" for i in range(1, 6)]
 
@@ -251,3 +251,11 @@ def sink_response_json(v: Views):
     read = v.spark.read.schema(schema).json(path)
     sections = [F.col("report.sections")[name].alias(c) for name, c in zip(tx.SECTIONS, COLUMNS)]
     return read.select("patient_id", *sections, "dataset", "provider")
+
+
+@query("sink_response_text", f"SELECT md5({_md}) AS digest, length({_md}) AS n_chars, 'conversations' AS dataset, 'table' AS provider FROM responses")
+def sink_response_text(v: Views):
+    """Whole Markdown records written as text by data set and provider, and read back."""
+    path = write_records(records(v), scratch_path(v.spark, "records"), "md", dataset="conversations", provider="table")
+    read = read_texts(v.spark, path)
+    return read.select(F.md5(F.col("value").cast("binary")).alias("digest"), F.length("value").alias("n_chars"), "dataset", "provider")

@@ -244,6 +244,25 @@ def feature_map(v: Views):
     return mx.feature_map(wide(v), names).select("patient_id", F.explode("features").alias("feature", "value"))
 
 
+@query(
+    "record_inputs",
+    """
+SELECT patient_id, 1 AS stay, obs_window, round(hr_mean, 4) AS hr_mean, round(sodium, 4) AS sodium, CAST(n_diabetes AS DOUBLE) AS n_diabetes,
+       CAST(n_events AS DOUBLE) AS n_events FROM hosp_wide""".replace("1 AS stay", "CAST(1 AS BIGINT) AS stay"),
+)
+def record_inputs(v: Views):
+    """Model inputs of both windows per stay, by window tag."""
+    from wardline.plans.panel import record_inputs as inputs
+    from wardline.plans.panel import window_matrices
+
+    parts = stored(v)
+    matrices, vocabularies = window_matrices(parts["events"], parts["labels"])
+    rows = inputs(matrices, vocabularies).select("patient_id", "stay", F.explode("features").alias("obs_window", "f"))
+    names = {"hr_mean": "value__VITAL/HR_mean", "sodium": "value__LAB/SODIUM", "n_diabetes": "count__DX/DIABETES", "n_events": "n_events"}
+    picked = rows.select("patient_id", "stay", "obs_window", *[F.col("f")[f].alias(c) for c, f in names.items()])
+    return picked.where("n_events > 0")
+
+
 @query(
     "feature_medians",
     "SELECT feature, round(median(value), 6) AS median FROM ("
@@ -399,7 +418,7 @@ def concept_resolve(v: Views):
 @query(
     "raw_payload",
     """
-SELECT l.patient_id, l.age,
+SELECT l.patient_id, l.age, l.sex,
   coalesce((SELECT string_agg(c.name || '=' || CAST(CAST(round_even(e.value, 2) * 100 AS BIGINT) AS VARCHAR), '|' ORDER BY c.name) FROM all_events e
     JOIN hospital_concept c ON c.code = e.code WHERE e.obs_window = 'discharge' AND e.patient_id = l.patient_id AND e.code LIKE 'VITAL/%'), '') AS vitals,
   coalesce((SELECT string_agg(c.name || '=' || CAST(CAST(round_even(e.value, 2) * 100 AS BIGINT) AS VARCHAR), '|' ORDER BY c.name) FROM all_events e
@@ -416,12 +435,14 @@ def raw_payload(v: Views):
     parts = stored(v)
     tasks = [t for t in ALL_TASKS if t.name == "mortality_1y"]
     matrices, vocabularies = window_matrices(parts["events"], parts["labels"], tasks=tasks, fit_on="all")
-    payload = mx.raw_payload(matrices[None], vocabularies[None].feature_names, hospital_concepts(v.spark))
+    named = parts["labels"].filter(F.col("task") == "mortality_1y")
+    payload = mx.raw_payload(matrices[None], vocabularies[None].feature_names, hospital_concepts(v.spark), named)
     cents = lambda e: F.concat(e["key"], F.lit("="), F.round(e["value"] * 100).cast("bigint").cast("string"))
     flat = lambda name: F.array_join(F.transform(F.array_sort(F.map_entries(name)), cents), "|")
     return payload.select(
         "patient_id",
-        "age",
+        "demographics.age",
+        "demographics.sex",
         flat("vital_signs").alias("vitals"),
         flat("lab_results").alias("labs"),
         F.array_join("past_conditions", "|").alias("history"),

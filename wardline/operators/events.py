@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions import clinical as fn
 from wardline.operators.skew import salted_join
+from wardline.session import materialize
+
+#: Label rows of one patient up to which every event is held against each of them.
+FEW_RECORDS = 8
+#: Days that the running counts of a patient with more label rows are cut into.
+SLICE_DAYS = 30
 
 EVENT_COLUMNS = ["patient_id", "time", "code", "value", "description"]
 RECORD = ["patient_id", "label_time"]
@@ -81,6 +87,77 @@ def in_lookback(events: DataFrame, labels: DataFrame, days: int | None) -> DataF
     return joined.filter(within_lookback(days))
 
 
+def windowed_totals(
+    events: DataFrame, labels: DataFrame, days: int | None, by: dict[str, Column], *, few: int = FEW_RECORDS,
+    slice_days: int = SLICE_DAYS,
+) -> DataFrame:
+    """(record, by..., n, seen, last): per label row the number of events in its window, and the time and value of the
+    latest one that has a value, for each combination of `by` (columns made of an event's).
+
+    Patients with up to `few` label rows are joined and folded. For all others an event would be paired with every
+    label row, so their windows are differences of running counts (see `_sliced_totals`); the rows are the same.
+    """
+    records = standard_labels(labels).select(*RECORD).distinct()
+    crowded = records.groupBy("patient_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > few).select("patient_id")
+    if crowded.limit(1).count() == 0:
+        return _joined_totals(events, records, days, by)
+    crowded = materialize(crowded, "crowded")
+    return _joined_totals(events, records.join(crowded, "patient_id", "left_anti"), days, by).unionByName(
+        _sliced_totals(events, records.join(crowded, "patient_id", "left_semi"), days, by, slice_days)
+    )
+
+
+def _latest(time: str) -> Column:
+    return F.when(F.col("value").isNotNull(), F.struct(F.col(time).alias("seen"), F.col("value").alias("last")))
+
+
+def _joined_totals(events: DataFrame, records: DataFrame, days: int | None, by: dict[str, Column]) -> DataFrame:
+    window = in_lookback(events, records.withColumn("value", F.lit(None).cast("double")), days).withColumns(by)
+    return window.groupBy(*RECORD, *by).agg(F.count(F.lit(1)).alias("n"), F.max(_latest("time")).alias("_l")).select(
+        *RECORD, *by, "n", "_l.seen", "_l.last"
+    )
+
+
+def _sliced_totals(events: DataFrame, records: DataFrame, days: int | None, by: dict[str, Column], slice_days: int) -> DataFrame:
+    """The events up to a label time less those before its window's start, both read off running counts.
+
+    Per patient and `by` the events and the two ends of every window are put in order inside slices of time; what all
+    earlier slices hold is added to the counts of a slice. So an event is read once, whatever the number of label rows,
+    and no task holds more than a slice of one patient and combination.
+    """
+    keys = ["patient_id", *by]
+    dated = standard_events(events).where("time IS NOT NULL")
+    own = dated.join(records.select("patient_id").distinct(), "patient_id", "left_semi").withColumns(by)
+    own = materialize(own.select(*keys, F.col("time").alias("at"), "value"), "crowded-events")
+    ends = [F.struct(F.col("label_time").alias("at"), F.lit(1).alias("end"))]
+    if days is not None:
+        start = F.col("label_time") - F.expr(f"INTERVAL {int(days)} DAYS")
+        ends.append(F.struct(start.alias("at"), F.lit(-1).alias("end")))
+    asked = records.join(own.select(*keys).distinct(), "patient_id").select(*keys, "label_time", F.inline(F.array(*ends)))
+    # at one time the start of a window comes before the events, its end after them
+    rows = own.withColumn("end", F.lit(0)).unionByName(asked, allowMissingColumns=True).withColumn(
+        "slice", F.floor(F.datediff(F.to_date("at"), F.lit("1970-01-01")) / slice_days)
+    )
+    event = (F.col("end") == 0).cast("bigint")
+    whole = rows.groupBy(*keys, "slice").agg(F.sum(event).alias("_n"), F.max(_latest("at")).alias("_l"))
+    earlier = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = whole.select(
+        *keys, "slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.max("_l").over(earlier).alias("_l_before")
+    )
+    running = Window.partitionBy(*keys, "slice").orderBy("at", "end", "value").rowsBetween(Window.unboundedPreceding, 0)
+    inside = rows.select(
+        *keys, "slice", "label_time", "end", F.sum(event).over(running).alias("_inside"),
+        F.last(_latest("at"), ignorenulls=True).over(running).alias("_l_inside"),
+    ).where("end <> 0")
+    read = inside.join(before, [*keys, "slice"])
+    upto = F.when(F.col("end") == 1, F.coalesce("_l_inside", "_l_before"))
+    out = read.groupBy(*RECORD, *by).agg(
+        F.sum(F.col("end") * (F.col("_before") + F.col("_inside"))).alias("n"), F.max(upto).alias("_l")
+    ).where("n > 0")
+    within = F.lit(True) if days is None else F.col("_l.seen") >= F.col("label_time") - F.expr(f"INTERVAL {int(days)} DAYS")
+    return out.select(*RECORD, *by, "n", *[F.when(within, F.col(f"_l.{c}")).alias(c) for c in ("seen", "last")])
+
+
 def labelled_events(events: DataFrame, labels: DataFrame) -> DataFrame:
     """Every label row with every event of its patient; a label row without events keeps one row.
 
@@ -102,21 +179,14 @@ def snapshot(events: DataFrame, labels: DataFrame, *, lookback_days: int) -> Dat
     Rows are first reduced to one per (record, label text), map-side combined; only these few reach
     the nested arrays.
     """
-    window = in_lookback(events, labels, lookback_days)
     text = F.coalesce(F.nullif("description", F.lit("")), F.col("code"))
-    per_label = (
-        window.groupBy(*RECORD, text.alias("name"), F.col("code").startswith("ICD").alias("is_icd"))
-        .agg(
-            F.max(F.when(F.col("value").isNotNull(), F.struct("time", "value")))["value"].alias("latest"),
-            F.max(F.when(F.col("value").isNotNull(), F.col("time"))).alias("seen"),
-            F.count_if(F.col("code").startswith("ENC")).alias("n_enc"),
-        )
-    )
+    by = {"name": text, "is_icd": F.col("code").startswith("ICD"), "is_enc": F.col("code").startswith("ENC")}
+    per_label = windowed_totals(events, labels, lookback_days, by)
     # one name may come from ICD and other codes alike: the later reading wins over both
     observed = per_label.groupBy(*RECORD, "name").agg(
         F.max("is_icd").alias("is_icd"),
-        F.max(F.when(F.col("latest").isNotNull(), F.struct("seen", "latest")))["latest"].alias("latest"),
-        F.sum("n_enc").alias("n_enc"),
+        F.max(F.when(F.col("last").isNotNull(), F.struct("seen", "last")))["last"].alias("latest"),
+        F.sum(F.when(F.col("is_enc"), F.col("n")).otherwise(0)).alias("n_enc"),
     )
     entry = F.when(F.col("latest").isNotNull(), F.struct("name", F.bround("latest", 1).alias("value")))
     per_record = observed.groupBy(*RECORD).agg(

@@ -74,6 +74,17 @@ def contribution_array(
     return F.zip_with(values, known, one)
 
 
+def impact_array(features: list[str], impacts: Column) -> Column:
+    """The same array from impacts that are worked out already, in the order of `features`."""
+    values = F.array(*[F.col("`" + f.replace("`", "``") + "`").cast("double") for f in features])
+    names = F.array(*[F.lit(f) for f in features])
+    paired = F.zip_with(values, impacts, lambda v, x: F.struct(fn.null_to_zero(v).alias("v"), x.alias("x")))
+    return F.transform(
+        paired,
+        lambda p, i: F.struct(i.alias("pos"), names[i].alias("feature"), p["v"].alias("value"), p["x"].alias("impact")),
+    )
+
+
 def top_k_array(contributions: Column, k: int) -> Column:
     """The same pick inside the row: strongest first, no shuffle."""
     ordered = F.array_sort(F.transform(contributions, lambda c: F.struct((-F.abs(c["impact"])).alias("o"), c["pos"].alias("p"), c.alias("c"))))

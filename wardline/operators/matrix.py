@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions import clinical as fn
 from wardline.operators.concepts import DEFAULT_NUMERIC_CODES, window_tag
-from wardline.operators.events import RECORD, in_lookback, standard_events, standard_labels
+from wardline.operators.events import RECORD, standard_events, standard_labels, windowed_totals
 from wardline.operators.ranking import exact_median, hash_rank
 from wardline.session import inline_table
 
@@ -47,18 +47,10 @@ class Vocabulary:
         )
 
 
-def record_codes(window: DataFrame) -> DataFrame:
-    """(record, code, n, last): the events of each window folded per code, map-side combined."""
-    return window.groupBy(*RECORD, "code").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.max(F.when(F.col("value").isNotNull(), F.struct("time", "value")))["value"].alias("last"),
-    )
-
-
 def fold(events: DataFrame, labels: DataFrame, *, lookback_days: int) -> DataFrame:
-    """The one pass over the events: vocabulary and matrix both follow from it. Write it once
+    """(record, code, n, last), the one pass over the events: vocabulary and matrix both follow from it. Write it once
     (`materialize`) where both are wanted."""
-    return record_codes(in_lookback(events, labels, lookback_days))
+    return windowed_totals(events, labels, lookback_days, {"code": F.col("code")}).drop("seen")
 
 
 def code_doc_freq(folded: DataFrame) -> DataFrame:
@@ -197,17 +189,26 @@ def align_tasks(wide: DataFrame, labels: DataFrame, splits: DataFrame, tasks) ->
 
 
 def cross_window_align(by_window: dict[int | None, DataFrame]) -> DataFrame:
-    """Matrices of several windows side by side per patient, columns suffixed by the window."""
+    """Matrices of several windows side by side, one row per stay of a patient, columns suffixed by the window.
+
+    A stay's label times differ between the windows. The order of a patient's stays does not, so the records of a
+    patient are numbered by label time in each window and equal numbers meet (see `stay`).
+    """
     out = None
     for hours, wide in by_window.items():
         tag = window_tag(hours)
-        part = wide.select(
-            "patient_id", *[quoted(c).alias(f"{c}@{tag}") for c in wide.columns if c not in ("patient_id", "label_time")]
+        part = wide.withColumn("stay", stay()).select(
+            "patient_id", "stay", *[quoted(c).alias(f"{c}@{tag}") for c in wide.columns if c not in RECORD]
         )
-        out = part if out is None else out.join(part, "patient_id")
+        out = part if out is None else out.join(part, ["patient_id", "stay"])
     return out
 
 
+def stay() -> Column:
+    """Number of a patient's record in the order of label time; a window partition is the records of one patient."""
+    return F.row_number().over(Window.partitionBy("patient_id").orderBy("label_time"))
+
+
 def feature_map(wide: DataFrame, features: list[str]) -> DataFrame:
     """Feature vector as a map, rounded to 4 digits, missing values kept as null."""
     cells = [F.struct(F.lit(f).alias("key"), F.round(quoted(f).cast("double"), 4).alias("value")) for f in features]
@@ -227,8 +228,16 @@ def feature_medians(wide: DataFrame, features: list[str]) -> DataFrame:
     return exact_median(matrix_long(wide, features, ids=[]).drop("pos"), ["feature"], "value")
 
 
-def raw_payload(wide: DataFrame, features: list[str], concepts: DataFrame) -> DataFrame:
-    """Readable raw values per record, without any score: vitals, labs, past conditions, admissions."""
+# Fixed value: the note of a raw payload.
+RAW_NOTE = "Raw recorded clinical values. No model prediction or score is provided."
+
+
+def raw_payload(wide: DataFrame, features: list[str], concepts: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """Readable raw values per record, without any score: demographics, vitals, labs, past conditions, admissions, note.
+
+    `labels` (patient_id, label_time, sex) tells the sex as it was recorded; without it there is none, as the matrix
+    only knows female from other.
+    """
     long = matrix_long(wide, features).filter(F.col("value").isNotNull())
     named = (
         long.withColumn("code", fn.strip_prefix(F.col("feature")))
@@ -258,6 +267,9 @@ def raw_payload(wide: DataFrame, features: list[str], concepts: DataFrame) -> Da
         last = F.filter(cells, lambda x, i: F.coalesce(F.get(cells, i + 1)["concept"] != x["concept"], F.lit(True)))
         return F.map_from_entries(F.transform(last, lambda x: F.struct(x["concept"], x["value"])))
 
-    return grouped.select(
-        *RECORD, "age", as_map("VITAL").alias("vital_signs"), as_map("LAB").alias("lab_results"), "past_conditions", "prior_admissions"
+    sexes = None if labels is None else standard_labels(labels).groupBy(*RECORD).agg(F.max("sex").alias("sex"))
+    known = grouped.withColumn("sex", F.lit(None).cast("string")) if sexes is None else grouped.join(sexes, RECORD, "left")
+    return known.select(
+        *RECORD, "age", "sex", F.struct("age", "sex").alias("demographics"), as_map("VITAL").alias("vital_signs"),
+        as_map("LAB").alias("lab_results"), "past_conditions", "prior_admissions", F.lit(RAW_NOTE).alias("note"),
     )

@@ -26,31 +26,28 @@ GBT_DEFAULTS = {
     "seed": 42,
 }
 
-# Folded rows (one per distinct score) that an isotonic calibrator is fitted on at most.
-MAX_CALIBRATION_ROWS = 1_000_000
+#: Estimators by name: a maker is called with the task's kind ('binary' or 'regression') and parameters and returns an
+#: unfitted MLlib estimator.
+MAKERS: dict = {}
 
-_REGISTRY: dict = {}
 
-
-def register_model(name: str, factory) -> None:
-    """`factory(kind, params)` returns an unfitted MLlib estimator for kind 'binary' or 'regression'."""
-    _REGISTRY[name] = factory
+def register_model(name: str, maker) -> None:
+    MAKERS[name] = maker
 
 
 def available_models() -> list[str]:
-    return sorted(_REGISTRY)
+    return sorted(MAKERS)
 
 
 def get_estimator(name: str, kind: str, params: dict | None = None):
-    if name not in _REGISTRY:
-        raise KeyError(f"Unknown model {name!r}. Available: {available_models()}")
-    return _REGISTRY[name](kind, params or {})
+    if (maker := MAKERS.get(name)) is None:
+        raise KeyError(f"no model is registered as {name!r}; there are: {', '.join(available_models())}")
+    return maker(kind, {} if params is None else params)
 
 
 def _boosted(kind: str, params: dict):
-    settings = {**GBT_DEFAULTS, **params}
-    estimator = GBTRegressor if kind == "regression" else GBTClassifier
-    return estimator(featuresCol="features", labelCol="label", leafCol="leaf", **settings)
+    estimator = {"regression": GBTRegressor, "binary": GBTClassifier}[kind]
+    return estimator(featuresCol="features", labelCol="label", leafCol="leaf", **{**GBT_DEFAULTS, **params})
 
 
 register_model("gbt", _boosted)
@@ -74,14 +71,11 @@ def feature_vector(features: list[str], fill: dict[str, float]) -> Column:
     return array_to_vector(F.array(*cells))
 
 
-def fit_calibrator(
-    scored: DataFrame, method: str = "isotonic", *, label: str = "label", score: str = "raw_probability",
-    max_rows: int = MAX_CALIBRATION_ROWS,
-):
+def fit_calibrator(scored: DataFrame, method: str = "isotonic", *, label: str = "label", score: str = "raw_probability"):
     """Isotonic or logistic map from raw to observed rate; None if only one class occurs.
 
-    MLlib ends the isotonic fit on the driver. All rows count: equal scores are folded exactly, and where more than
-    `max_rows` distinct scores remain, neighbours in that many equal steps of the score are merged with their weights.
+    All rows count: equal scores are folded exactly before the isotonic fit. MLlib pools neighbours in each range of
+    scores where they are and joins the pools of the ranges on the driver, so what comes there are the steps of the fit.
     """
     seen = scored.agg(F.min(label).alias("lo"), F.max(label).alias("hi"), F.count(F.lit(1)).alias("n")).first()
     if seen["n"] == 0 or seen["lo"] == seen["hi"]:
@@ -89,15 +83,6 @@ def fit_calibrator(
     data = scored.select(F.col(label).cast("double").alias("label"), F.col(score).alias("x"))
     if method == "isotonic":
         folded = data.groupBy("x").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("w"))
-        if seen["n"] > max_rows:
-            folded = materialize(folded, "folded")
-            ends = folded.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n")).first()
-            if ends["n"] > max_rows:
-                step = F.floor((F.col("x") - ends["lo"]) / (ends["hi"] - ends["lo"]) * max_rows)
-                mean = lambda c: (F.sum(F.col(c) * F.col("w")) / F.sum("w")).alias(c)
-                folded = folded.groupBy(F.least(step, F.lit(max_rows - 1)).alias("step")).agg(
-                    mean("x"), mean("label"), F.sum("w").alias("w")
-                ).drop("step")
         return IsotonicRegression(featuresCol="x", labelCol="label", weightCol="w", predictionCol="calibrated").fit(folded)
     platt = LogisticRegression(
         featuresCol="v", labelCol="label", probabilityCol="platt", rawPredictionCol="platt_raw",
@@ -159,7 +144,11 @@ class RiskModel:
     def score(self, df: DataFrame, ids: list[str], *, spread_scope: str = "batch") -> DataFrame:
         """(ids, probability, raw_probability, point_estimate, spread, uncertainty) for any DataFrame
         with the feature columns."""
-        out = self.booster.transform(self.vectors(df))
+        return self.score_vectors(self.vectors(df), ids, spread_scope=spread_scope)
+
+    def score_vectors(self, df: DataFrame, ids: list[str], *, spread_scope: str = "batch") -> DataFrame:
+        """The same for rows that hold the assembled vector in `features`."""
+        out = self.booster.transform(df)
         none = F.lit(None).cast("double")
         binary = self.kind == "binary"
         raw = vector_to_array("probability")[1] if binary else none
@@ -186,7 +175,7 @@ class RiskModel:
         return inline_table(spark, weights.items(), "feature string, importance double")
 
     def save(self, path: str) -> None:
-        spark = SparkSession.getActiveSession()
+        spark = SparkSession.builder.getOrCreate()  # the one there is, in a task's thread too
         self.booster.write().overwrite().save(f"{path}/booster")
         kind = "none"
         if self.calibrator is not None:
@@ -211,19 +200,65 @@ class RiskModel:
         return cls(meta["kind"], meta["features"], meta["fill"], booster, calibrator)
 
 
+def score_side_by_side(
+    models: dict[str, RiskModel], df: DataFrame, ids: list[str], *, extra: dict[str, Column], spread_scope: str = "batch"
+) -> DataFrame:
+    """(ids, task, probability, raw_probability, point_estimate, spread, uncertainty, extra), a row per model and record.
+
+    All models run over a row in one pass; their results lie side by side until the row is taken apart. `extra` has
+    one more column per model. With `batch` the spreads are divided by the largest of their model.
+    """
+    none = F.lit(None).cast("double")
+    out, entries = df, []
+    for i, (name, model) in enumerate(models.items()):
+        made = {p: f"__{p}_{i}" for p in ("features", "probability", "rawPrediction", "prediction", "leaf")}
+        booster = model.booster
+        renamed = {booster.getParam(f"{p}Col"): c for p, c in made.items() if booster.hasParam(f"{p}Col")}
+        out = booster.copy(renamed).transform(out.withColumn(made["features"], feature_vector(model.features, model.fill)))
+        binary = model.kind == "binary"
+        out = out.withColumn(f"__raw_{i}", vector_to_array(made["probability"])[1] if binary else none)
+        if binary:
+            out = apply_calibrator(out.drop("probability"), model.calibrator, f"__raw_{i}").withColumnRenamed("probability", f"__p_{i}")
+        else:
+            out = out.withColumn(f"__p_{i}", none)
+        entries.append(F.struct(
+            F.lit(name).alias("task"), F.lit(model.kind).alias("kind"), F.col(f"__p_{i}").alias("probability"),
+            F.col(f"__raw_{i}").alias("raw_probability"), (none if binary else F.col(made["prediction"])).alias("point_estimate"),
+            (leaf_spread(F.col(made["leaf"])) if made["leaf"] in out.columns else F.lit(0.0)).alias("spread"),
+            extra[name].alias("extra"),
+        ))
+    long = materialize(out.select(*ids, F.explode(F.array(*entries)).alias("e")).select(*ids, "e.*"), "scores")
+    top = F.col("spread")
+    if spread_scope == "batch":
+        largest = {r["task"]: r["m"] for r in long.groupBy("task").agg(F.max("spread").alias("m")).collect()}  # a row per model
+        top = F.create_map(*[x for t, m in largest.items() for x in (F.lit(t), F.lit(m))])[F.col("task")] if largest else top
+    relative = F.col("spread") / (top + F.lit(1e-9))
+    boundary = 1.0 - F.abs(F.col("probability") - 0.5) * 2.0
+    score = F.when(F.col("kind") == "regression", relative).otherwise(0.7 * boundary + 0.3 * relative)
+    return long.withColumn("uncertainty", fn.clip01(score)).drop("kind")
+
+
 def fit_model(
     train: DataFrame, val: DataFrame | None, features: list[str], kind: str, *, label: str = "label",
     params: dict | None = None, name: str = "gbt", calibration: str | None = "isotonic",
 ) -> RiskModel:
     """Fit on `train`; a binary model is then calibrated on `val`."""
-    shared_dir(train.sparkSession)  # boosting checkpoints its lineage there
     fill = imputation(train, features)
-    data = train.select(F.col(label).cast("double").alias("label"), feature_vector(features, fill).alias("features"))
-    model = RiskModel(kind, list(features), fill, get_estimator(name, kind, params).fit(data))
+    ready = lambda df: df.select(F.col(label).cast("double").alias("label"), feature_vector(features, fill).alias("features"))
+    return fit_vectors(
+        ready(train), None if val is None else ready(val), features, fill, kind, params=params, name=name, calibration=calibration
+    )
+
+
+def fit_vectors(
+    train: DataFrame, val: DataFrame | None, features: list[str], fill: dict[str, float], kind: str, *,
+    params: dict | None = None, name: str = "gbt", calibration: str | None = "isotonic",
+) -> RiskModel:
+    """The same for rows (label, features) whose vector has the slots of `vector_names(features)`."""
+    shared_dir(train.sparkSession)  # boosting checkpoints its lineage there
+    model = RiskModel(kind, list(features), fill, get_estimator(name, kind, params).fit(train))
     if kind == "binary" and calibration and val is not None:
-        scored = model.booster.transform(model.vectors(val)).select(
-            F.col(label).cast("double").alias("label"), vector_to_array("probability")[1].alias("raw_probability")
-        )
+        scored = model.booster.transform(val).select("label", vector_to_array("probability")[1].alias("raw_probability"))
         model.calibrator = fit_calibrator(scored, calibration)
     return model
 

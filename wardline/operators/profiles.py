@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from wardline.functions import clinical as fn
 from wardline.functions import text as tx
+from wardline.operators.concepts import Task
 
 APPROX_NOTE = "Contributor estimates are approximate: read their order as a hint, not as exact."
+# Fixed value: what stands in place of predictions where none were made.
+BASELINE_NOTE = "LLM baseline — raw EHR fed directly to the model; no prediction model, score, or attribution."
 # Fixed value: the note at the end of every payload.
 PAYLOAD_NOTE = "All numbers are model estimates, not confirmed diagnoses."
 
@@ -33,19 +36,30 @@ def score_columns(scores: DataFrame) -> DataFrame:
     )
 
 
-def risk_profile(scores: DataFrame, nested_views: DataFrame, snapshots: DataFrame, *, method: str = "approx") -> DataFrame:
+SNAPSHOT = ("age", "sex", "active_conditions", "recent_observations", "n_recent_encounters")
+
+
+def risk_profile(
+    scores: DataFrame, nested_views: DataFrame, snapshots: DataFrame, *, method: str = "approx", task: Task | None = None
+) -> DataFrame:
     """One profile per record of a single task.
 
-    `scores` is (patient_id, label_time, probability, raw_probability, uncertainty) from any model.
+    `scores` is (patient_id, label_time, probability, raw_probability, uncertainty) from any model; `task` adds the
+    block that says what the probability is of.
     """
     record = ["patient_id", "label_time"]
     notes = F.array(F.lit(APPROX_NOTE)) if method == "approx" else F.array().cast("array<string>")
+    block = []
+    if task is not None:
+        about = {"name": task.name, "description": task.label, "positive_label": task.positive_label, "horizon": task.horizon}
+        block = [F.struct(*[F.lit(value).alias(key) for key, value in about.items()]).alias("task")]
     return (
         score_columns(scores)
         .join(nested_views, record, "left")
         .join(snapshots, record, "left")
         .select(
             *record,
+            *block,
             "probability",
             "raw_probability",
             "probability_pct",
@@ -54,7 +68,7 @@ def risk_profile(scores: DataFrame, nested_views: DataFrame, snapshots: DataFram
             "confidence_label",
             _views("contributors").alias("contributors"),
             _views("protective_factors").alias("protective_factors"),
-            F.struct("age", "sex", "active_conditions", "recent_observations", "n_recent_encounters").alias("snapshot"),
+            F.struct(*SNAPSHOT).alias("snapshot"),
             F.lit(method).alias("attribution_method"),
             notes.alias("notes"),
         )
@@ -77,13 +91,18 @@ def top_forward_risk(scores: DataFrame, record: list[str]) -> DataFrame:
     return forward.groupBy(*record).agg(best.alias("b")).select(*record, "b.task", "b.probability", "b.confidence_label")
 
 
-def panel(scores: DataFrame, tasks: DataFrame, metrics: DataFrame) -> DataFrame:
-    """One record per patient with the arrays `forward` and `chronic`.
+def panel(
+    scores: DataFrame, tasks: DataFrame, metrics: DataFrame, *, snapshots: DataFrame | None = None, method: str = "approx"
+) -> DataFrame:
+    """One record per stay of a patient with the arrays `forward` and `chronic`.
 
-    `scores` is (patient_id, task, probability, raw_probability, point_estimate, uncertainty,
-    contributors, protective_factors), the views made inside the row; `metrics` is (task, auroc, r2).
-    One shuffle, by patient; a group is one patient's tasks.
+    `scores` is (patient_id, task, probability, raw_probability, point_estimate, uncertainty, contributors,
+    protective_factors), the views made inside the row; `metrics` is (task, auroc, r2). A column `stay`, where there is
+    one, tells a patient's records apart, else a patient is one. `snapshots` (the same keys, age, sex, conditions,
+    observations, encounters) adds `demographics` and `snapshot`. One shuffle, by these keys; a group is the tasks of
+    one record.
     """
+    keys = ["patient_id", *[c for c in ("stay",) if c in scores.columns]]
     rated = tasks.join(metrics.select("task", "auroc", "r2"), "task", "left").withColumn(
         "reliability", fn.reliability_tier(F.col("kind"), F.col("auroc"), F.col("r2"))
     )
@@ -97,7 +116,60 @@ def panel(scores: DataFrame, tasks: DataFrame, metrics: DataFrame) -> DataFrame:
         _views("protective_factors").alias("protective_factors"),
     )
     side = lambda group: F.array_sort(F.collect_list(F.when(F.col("task_group") == group, entry))).alias(group)
-    return rows.groupBy("patient_id").agg(side("forward"), side("chronic"))
+    out = rows.groupBy(*keys).agg(side("forward"), side("chronic"))
+    if snapshots is not None:
+        state = snapshots.select(
+            *keys, F.struct(*SNAPSHOT).alias("snapshot"), F.struct("age", "sex").alias("demographics")
+        )
+        out = out.join(state, keys, "left")
+    # a panel carries no notes of its own; what is approximate says so in `attribution_method`
+    return out.withColumns({"attribution_method": F.lit(method), "notes": F.array().cast("array<string>")})
+
+
+def _contributor_block(views: Column) -> Column:
+    """The first five views as a response record keeps them."""
+    fields = ("concept", "phrase", "direction", "magnitude", "observed_value", "feature")
+    return F.transform(F.slice(views, 1, 5), lambda c: F.struct(*[c[f].alias(f) for f in fields]))
+
+
+def _prediction_entry(t: Column, group: str) -> Column:
+    binary = lambda value: F.when(t["kind"] == "binary", value)
+    return F.struct(
+        t["name"].alias("task"), t["label"].alias("label"), F.lit(group).alias("group"), t["kind"].alias("kind"),
+        t["confidence_label"].alias("confidence"), F.bround(t["uncertainty"], 4).alias("uncertainty"),
+        F.get(t["contributors"], F.lit(0))["method"].alias("attribution_method"),
+        _contributor_block(t["contributors"]).alias("top_contributors"),
+        t["point_estimate"].alias("point_estimate"),
+        binary(F.bround(t["probability"], 4)).alias("probability"), binary(t["probability_pct"]).alias("probability_pct"),
+        binary(fn.logit(t["raw_probability"])).alias("logit"),
+        binary(F.bround(t["raw_probability"], 4)).alias("raw_probability"),
+        binary(t["risk_tier"]).alias("risk_tier"), binary(t["auroc"]).alias("auroc"),
+    )
+
+
+def prediction_block(panels: DataFrame) -> DataFrame:
+    """`panels` with `predictions`: the entries of both groups as a response record keeps them, numbers rounded to four
+    digits, probabilities only for yes-or-no tasks."""
+    side = lambda group: F.transform(group, lambda t: _prediction_entry(t, group)).alias(group)
+    return panels.withColumn("predictions", F.struct(side("forward"), side("chronic")))
+
+
+def single_prediction_block(profiles: DataFrame) -> DataFrame:
+    """The same for a profile of one task (`risk_profile`)."""
+    rounded = lambda c: F.bround(c, 4).alias(c)
+    return profiles.withColumn("predictions", F.struct(
+        *[c for c in ("task",) if c in profiles.columns], rounded("probability"), "probability_pct",
+        fn.logit(F.col("raw_probability")).alias("logit"), rounded("raw_probability"), "risk_tier",
+        F.col("confidence_label").alias("confidence"), rounded("uncertainty"),
+        _contributor_block(F.col("contributors")).alias("top_contributors"),
+        _contributor_block(F.col("protective_factors")).alias("protective_factors"),
+    ))
+
+
+def single_payload(profiles: DataFrame) -> DataFrame:
+    """(keys, payload_json): all of a single-task profile, as a text writer is given it."""
+    keys = [c for c in ("patient_id", "label_time") if c in profiles.columns]
+    return profiles.select(*keys, F.to_json(F.struct(*[c for c in profiles.columns if c not in keys])).alias("payload_json"))
 
 
 def health_payload(panels: DataFrame) -> DataFrame:
@@ -126,19 +198,24 @@ def health_payload(panels: DataFrame) -> DataFrame:
             t["confidence_label"].alias("confidence"), t["reliability"].alias("model_reliability"),
         ),
     )
-    extra = [c for c in ("demographics", "snapshot") if c in panels.columns]
+    given = lambda column, name: [F.col(column).alias(name)] if column in panels.columns else []
     payload = F.struct(
-        *extra, forward.alias("forward_risks"), expected.alias("expected_outcomes"), chronic.alias("chronic_profile"),
-        F.lit(PAYLOAD_NOTE).alias("note"),
+        *given("demographics", "demographics"), forward.alias("forward_risks"), expected.alias("expected_outcomes"),
+        chronic.alias("chronic_profile"), *given("snapshot", "recent_snapshot"), F.lit(PAYLOAD_NOTE).alias("note"),
     )
-    return panels.select("patient_id", payload.alias("payload"), F.to_json(payload).alias("payload_json"))
+    keys = [c for c in ("patient_id", "stay") if c in panels.columns]
+    return panels.select(*keys, payload.alias("payload")).withColumn("payload_json", F.to_json("payload"))
 
 
 def response_records(
     responses: DataFrame, *, sections=("s1", "s2", "s3", "s4", "s5"), predictions: str | None = None,
     inputs: str | None = None, model: str | None = None, backend: str = "backend", mode: str = "template", generated_at: Column | None = None,
 ) -> DataFrame:
-    """Nested record per response: metadata, report, predictions, input. The text comes with the table."""
+    """Nested record per response: metadata, report, predictions, input. The text comes with the table.
+
+    `predictions` and `inputs` name columns of any kind (see `prediction_block`). Without predictions the record says
+    that the text was made from the raw record alone.
+    """
     when = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX") if generated_at is None else generated_at
     names = [F.struct(F.lit(n).alias("key"), tx.text_or_empty(F.col(c)).alias("value")) for n, c in zip(tx.SECTIONS, sections)]
     json_of = lambda c: F.lit("{}") if c is None else F.to_json(F.col(c))
@@ -150,7 +227,7 @@ def response_records(
             json_of(model).alias("model"),
         ).alias("metadata"),
         F.struct(F.map_from_entries(F.array(*names)).alias("sections"), F.lit(tx.DISCLAIMER).alias("disclaimer")).alias("report"),
-        json_of(predictions).alias("predictions"),
+        (F.to_json(F.struct(F.lit(BASELINE_NOTE).alias("note"))) if predictions is None else json_of(predictions)).alias("predictions"),
         json_of(inputs).alias("input"),
     )
 

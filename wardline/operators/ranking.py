@@ -68,20 +68,54 @@ def running_totals(
     )
 
 
-def exact_median(long: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Median per group, nulls and NaN skipped, for groups that may hold the whole table.
+#: Rows of a group from which on its median is narrowed down by counts, and bins of such a count.
+FEW_ROWS, SELECTION_BINS = 100_000, 65_536
 
-    Rows are folded to counts per distinct value, map-side combined; ranks are the running totals of those.
+
+def exact_median(
+    long: DataFrame, by: list[str], value: str, *, few: int = FEW_ROWS, bins: int = SELECTION_BINS
+) -> DataFrame:
+    """Median per group, nulls and NaN skipped, for groups that may hold the whole table. No group is sorted.
+
+    A round counts a group's rows in even bins between its bounds, combined before the shuffle, and goes on with the bin
+    that the middle rank falls in. Bins are even in the logarithm of the value, so a few far values cost no more
+    rounds. When a group's bounds hold `few` rows or a single place, the value of the rank is read off them.
     """
-    present = long.filter(F.col(value).isNotNull() & ~F.isnan(value))
-    counts = materialize(present.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")), "counts")
-    totals = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
-    ranked = running_totals(counts, by, value, {"_n": "_before"}).join(totals, by)
-    lower, upper = F.floor((F.col("_total") + 1) / 2), F.floor((F.col("_total") + 2) / 2)
-    first, last = F.col("_before") + 1, F.col("_before") + F.col("_n")
-    hit = lambda rank: F.max(F.when(rank.between(first, last), F.col(value)))
-    return (
-        ranked.groupBy(*by)
-        .agg(hit(lower).alias("_a"), hit(upper).alias("_b"))
-        .select(*by, ((F.col("_a") + F.col("_b")) / 2.0).alias("median"))
+    x = F.col(value).cast("double")
+    place = F.greatest(F.lit(-800.0), F.least(F.lit(800.0), F.signum("_x") * F.log1p(F.abs("_x"))))  # infinity is at the end
+    present = long.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(*by, x.alias("_x"))
+    cells = materialize(present.withColumn("_at", place), "cells")
+    count = F.count(F.lit(1))
+    ranges = cells.groupBy(*by).agg(count.alias("_n"), F.min("_at").alias("_low"), F.max("_at").alias("_high"))
+    rank = F.floor((F.col("_n") + 1) / 2)
+    state = materialize(ranges.withColumns({"_rank": rank, "_even": (F.col("_n") % 2 == 0).cast("int")}), "ranges")
+    wide_open = (F.col("_n") > few) & (F.col("_low") < F.col("_high"))
+    inside = F.col("_at").between(F.col("_low"), F.col("_high"))
+    meet = lambda groups: _beside(cells, groups, by)
+    while state.where(wide_open).limit(1).count():
+        spot = F.floor((F.col("_at") - F.col("_low")) / (F.col("_high") - F.col("_low")) * bins)
+        counted = meet(state.where(wide_open)).where(inside).groupBy(*by, "_rank", "_even", F.least(spot, F.lit(bins - 1)).alias("_bin")).agg(
+            count.alias("_n"), F.min("_at").alias("_low"), F.max("_at").alias("_high")
+        )
+        upto = F.sum("_n").over(Window.partitionBy(*by).orderBy("_bin"))  # as many rows as there are bins
+        before = F.col("_upto") - F.col("_n")
+        hit = counted.withColumn("_upto", upto).where((before < F.col("_rank")) & (F.col("_rank") <= F.col("_upto")))
+        narrowed = hit.select(*by, "_n", "_low", "_high", (F.col("_rank") - before).alias("_rank"), "_even")
+        state = materialize(state.where(~wide_open).unionByName(narrowed), "ranges")
+    met = meet(state)
+    folded = met.where(inside).groupBy(*by, "_rank", "_even", "_x").agg(count.alias("_k"))
+    upto = F.sum("_k").over(Window.partitionBy(*by).orderBy("_x"))
+    at_rank = lambda r: F.min(F.when(F.col("_upto") >= r, F.col("_x")))
+    picked = folded.withColumn("_upto", upto).groupBy(*by).agg(
+        at_rank(F.col("_rank")).alias("_a"), at_rank(F.col("_rank") + F.col("_even")).alias("_b")
     )
+    above = met.where(F.col("_at") > F.col("_high")).groupBy(*by).agg(F.min("_x").alias("_next"))
+    middle = ((F.col("_a") + F.coalesce("_b", "_next")) / 2.0).alias("median")
+    return _beside(picked, above, by, "left").select(*by, middle)
+
+
+def _beside(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """Join on groups of which one may be null; columns of `left` first."""
+    other = right.select(*[F.col(c).alias(f"_g_{c}") for c in by], *[c for c in right.columns if c not in by])
+    same = [left[c].eqNullSafe(other[f"_g_{c}"]) for c in by]
+    return left.join(other, same, how).drop(*[f"_g_{c}" for c in by])

@@ -1,19 +1,26 @@
-"""Train the panel of task models on shared matrices, score every patient, assemble the profiles."""
+"""Train the panel of task models on shared matrices, score every stay, assemble the profiles."""
 
 from __future__ import annotations
 
 import json
+import warnings
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark.ml.feature import VectorSlicer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardline.operators import events as ev
 from wardline.operators import explain, matrix as mx, metrics, profiles
-from wardline.operators.concepts import ALL_TASKS, concept_dim, task_dim, windows_used
-from wardline.operators.models import RiskModel, fit_model
+from wardline.operators import models as md
+from wardline.operators.concepts import ALL_TASKS, concept_dim, task_dim, window_tag, windows_used
+from wardline.operators.models import RiskModel, fit_vectors, imputation, score_side_by_side, vector_names
 from wardline.operators.split import assign_split
-from wardline.session import inline_table, materialize
+from wardline.operators.tree_paths import has_trees, with_tree_impacts
+from wardline.session import finished, inline_table, materialize, scratch_path
+
+RECORD = ["patient_id", "label_time"]
 
 
 def window_matrices(
@@ -26,19 +33,26 @@ def window_matrices(
     """
     wide, vocab = {}, {}
     for hours in windows_used(tasks):
-        anchor = next(t for t in tasks if t.window == hours)
-        ev = events.filter(F.col("obs_window") == anchor.tag).drop("obs_window")
-        lb = labels.filter(F.col("task") == anchor.name).drop("task")
-        folded = materialize(mx.fold(ev, lb, lookback_days=lookback_days), f"folded-{anchor.tag}")
+        ev_, lb = window_tables(events, labels, hours, tasks)
+        folded = materialize(mx.fold(ev_, lb, lookback_days=lookback_days), f"folded-{window_tag(hours)}")
         learn, seen = lb, folded
         if fit_on == "train":
             train = assign_split(lb, seed=seed).filter(F.col("split") == "train").select("patient_id")
             learn, seen = (df.join(train, "patient_id", "left_semi") for df in (lb, folded))
-        vocab[hours] = mx.fit_vocab(ev, learn, max_features=max_features, numeric=numeric, folded=seen)
-        wide[hours] = materialize(mx.matrix(ev, lb, vocab[hours], folded=folded), f"matrix-{anchor.tag}")
+        vocab[hours] = mx.fit_vocab(ev_, learn, max_features=max_features, numeric=numeric, folded=seen)
+        wide[hours] = materialize(mx.matrix(ev_, lb, vocab[hours], folded=folded), f"matrix-{window_tag(hours)}")
     return wide, vocab
 
 
+def window_tables(events: DataFrame, labels: DataFrame, hours: int | None, tasks=ALL_TASKS) -> tuple[DataFrame, DataFrame]:
+    """Events of one observation window and the label rows, one per record, of a task that uses it."""
+    anchor = next(t for t in tasks if t.window == hours)
+    return (
+        events.filter(F.col("obs_window") == anchor.tag).drop("obs_window"),
+        labels.filter(F.col("task") == anchor.name).drop("task"),
+    )
+
+
 def train_panel(
     wide: dict[int | None, DataFrame],
     vocab: dict[int | None, mx.Vocabulary],
@@ -49,32 +63,57 @@ def train_panel(
     calibration: str | None = "isotonic",
     seed: int = 42,
     parallel: int = 3,
+    run: str | None = None,
 ) -> tuple[dict[str, RiskModel], DataFrame, DataFrame]:
-    """(models, metrics, manifest). One split for all windows; each task sees only the columns its
-    exclusion list leaves. Tasks are independent jobs, a few of them at a time."""
+    """(models, metrics, manifest). One split for all windows; each task sees only the columns its exclusion list leaves.
+
+    A window's training table holds its features as one vector, assembled once, and a column per label; a task takes
+    the slots it may see. Tables, split, and every task's model and metrics are kept below `run` as soon as they are
+    complete; a second call with the same folder and settings goes on where the first one ended. Tasks are
+    independent jobs, `parallel` of them at a time.
+    """
     first = next(iter(wide.values()))
     spark = first.sparkSession
-    splits = materialize(assign_split(first, seed=seed), "splits")
-
-    tables = {
-        hours: materialize(mx.align_tasks(df, labels, splits, [t for t in tasks if t.window == hours]), "training")
-        for hours, df in wide.items()
+    run = run or scratch_path(spark, "panel")
+    settings = {
+        "params": params, "calibration": calibration, "seed": seed, "tasks": [t.name for t in tasks],
+        "columns": {window_tag(h): v.feature_names for h, v in vocab.items()},
     }
+    if _kept_text(spark, f"{run}/settings", lambda: settings) != json.loads(json.dumps(settings)):
+        raise ValueError(f"{run} holds a run with other settings")
+    splits = _kept(spark, f"{run}/splits", lambda: assign_split(first, seed=seed))
+    tables, fills = {}, {}
+    for hours, df in wide.items():
+        tag, names, own = window_tag(hours), vocab[hours].feature_names, [t for t in tasks if t.window == hours]
+        aligned = mx.align_tasks(df, labels, splits, own)
+        fills[hours] = _kept_text(
+            spark, f"{run}/fill-{tag}", lambda: imputation(aligned.filter(F.col("split") == "train"), names)
+        )
+        slots = md.feature_vector(names, fills[hours])
+        tables[hours] = _kept(spark, f"{run}/training-{tag}", lambda: aligned.select(
+            *[c for c in RECORD if c in df.columns], "split", *[mx.quoted(f"label__{t.name}") for t in own], slots.alias("slots")
+        ))
 
     def one(task):
-        columns = mx.allowed_features(vocab[task.window].feature_names, task.exclude_prefixes)
-        rows = tables[task.window].select(
-            "patient_id", "split", mx.quoted(f"label__{task.name}").alias("label"), *[mx.quoted(c) for c in columns]
-        )
-        part = lambda name: rows.filter(F.col("split") == name)
-        model = fit_model(part("train"), part("val"), columns, task.kind, params=params, calibration=calibration)
-        # the metrics read the scores several times: keep them, not the forest's work
-        test = materialize(model.score(part("test"), ["patient_id", "label"], spread_scope="row"), f"test-{task.name}")
-        if task.kind == "regression":
-            row = metrics.regression_metrics(test, label="label", prediction="point_estimate").first()
-        else:
-            row = metrics.binary_metrics(test, label="label", score="probability").first()
-        return task, columns, model, row.asDict()
+        names = vocab[task.window].feature_names
+        columns = mx.allowed_features(names, task.exclude_prefixes)
+        place, at = f"{run}/tasks/{task.name}", {n: i for i, n in enumerate(vector_names(names))}
+
+        def fit():
+            mask = VectorSlicer(inputCol="slots", outputCol="features", indices=[at[n] for n in vector_names(columns)])
+            rows = tables[task.window].withColumn("label", mx.quoted(f"label__{task.name}"))
+            part = lambda name: mask.transform(rows.filter(F.col("split") == name)).select("label", "features")
+            fill = {c: fills[task.window][c] for c in columns}
+            model = fit_vectors(part("train"), part("val"), columns, fill, task.kind, params=params, calibration=calibration)
+            model.save(f"{place}/model")
+            # the metrics read the scores several times: keep them, not the forest's work
+            test = materialize(model.score_vectors(part("test"), ["label"], spread_scope="row"), f"test-{task.name}")
+            if task.kind == "regression":
+                return metrics.regression_metrics(test, label="label", prediction="point_estimate").first().asDict()
+            return metrics.binary_metrics(test, label="label", score="probability").first().asDict()
+
+        row = _kept_text(spark, f"{place}/metrics", fit)  # written last: a task with metrics has its model
+        return task, columns, RiskModel.load(spark, f"{place}/model"), row
 
     with ThreadPoolExecutor(parallel) as pool:
         done = list(pool.map(one, tasks))
@@ -94,6 +133,20 @@ def train_panel(
     return {t.name: m for t, _, m, _ in done}, table, manifest
 
 
+def _kept(spark: SparkSession, path: str, make) -> DataFrame:
+    """What `make` gives, written to `path` unless a finished write stands there, read back."""
+    if not finished(spark, path):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def _kept_text(spark: SparkSession, path: str, make):
+    """The same for a small value, as JSON."""
+    if not finished(spark, path):
+        inline_table(spark, [(json.dumps(make()),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return json.loads(spark.read.text(path).first()["value"])
+
+
 def store_panel(
     path: str, models: dict[str, RiskModel], vocab: dict[int | None, mx.Vocabulary], panel_metrics: DataFrame, manifest: DataFrame
 ) -> None:
@@ -121,44 +174,100 @@ def load_panel(
     return models, vocab, spark.read.parquet(f"{path}/metrics"), spark.read.parquet(f"{path}/manifest")
 
 
+def attribution_method(models: dict[str, RiskModel], method: str = "auto") -> str:
+    """The method all tasks share: `auto` takes exact tree contributions where every model is a forest, else the
+    approximate ones; `tree` falls back with a warning; `approx` is always possible."""
+    if method not in ("auto", "tree", "approx"):
+        raise ValueError(f"the method is 'auto', 'tree' or 'approx', not {method!r}")
+    if method == "approx" or all(map(has_trees, models.values())):
+        return "approx" if method == "approx" else "tree"
+    if method == "tree":
+        warnings.warn("tree contributions need forests: approximate ones instead", stacklevel=2)
+    return "approx"
+
+
+def stay_numbers(wide: dict[int | None, DataFrame]) -> DataFrame:
+    """(patient_id, label_time, obs_window, stay): a patient's records of each window, numbered by label time.
+
+    A stay's label times differ between the windows, the order of the stays does not, so equal numbers are one stay.
+    Only the keys of the matrices are read.
+    """
+    parts = [
+        df.select(*RECORD, F.lit(window_tag(hours)).alias("obs_window"), mx.stay().alias("stay")) for hours, df in wide.items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def score_panel(
-    models: dict[str, RiskModel], wide: dict[int | None, DataFrame], *, tasks=ALL_TASKS, top_k: int = 5, seed: int = 42,
-    use_directions: bool = True, parallel: int = 3,
+    models: dict[str, RiskModel], wide: dict[int | None, DataFrame], *, tasks=ALL_TASKS, top_k: int = 5,
+    method: str = "auto", use_directions: bool = True,
 ) -> DataFrame:
-    """Scores and contributor views of all patients and tasks, long: one row per patient and task.
+    """Scores and contributor views of all records and tasks, long: one row per record and task, with its window.
 
-    The strongest k contributions and their words are made inside the row that is scored.
+    A window's matrix is read once: all its models score the row side by side, and the strongest k contributions and
+    their words are made inside it.
     """
     spark = next(iter(wide.values())).sparkSession
+    method = attribution_method(models, method)
     dim = concept_dim(spark)
-    record = ["patient_id", "label_time"]
-    medians, signs, words = {}, {}, {}
+    parts = []
     for hours, df in wide.items():
-        names = [c for c in df.columns if c not in record]
-        medians[hours] = {r["feature"]: r["median"] for r in mx.feature_medians(df, names).collect()}
-        table = inline_table(spark, [(n,) for n in names], "feature string")
-        rows = explain.directions(table, dim).collect() if use_directions else []
-        signs[hours] = {r["feature"]: r["direction"] for r in rows}
-        words[hours] = explain.words_of(names, dim)
-
-    def one(task):
-        model, hours = models[task.name], task.window
-        weight = {r["feature"]: r["importance"] for r in model.importance(spark).collect()}  # one row per column
-        every = explain.contribution_array(model.features, weight, medians[hours], signs[hours])
-        up, down = explain.views_in_row(explain.top_k_array(every, top_k), words[hours])
-        viewed = wide[hours].withColumns({"contributors": up, "protective_factors": down})
-        scored = model.score(viewed, [*record, "contributors", "protective_factors"])
-        return scored.withColumn("task", F.lit(task.name))
-
-    with ThreadPoolExecutor(parallel) as pool:
-        return reduce(lambda a, b: a.unionByName(b), pool.map(one, tasks))
+        own = {t.name: models[t.name] for t in tasks if t.window == hours}
+        names = [c for c in df.columns if c not in RECORD]
+        words = explain.words_of(names, dim)
+        if method == "tree":
+            rows = with_tree_impacts({f"__tree_{n}": m for n, m in own.items()}, df)
+            every = {n: explain.impact_array(m.features, F.col(f"__tree_{n}")["impacts"]) for n, m in own.items()}
+        else:
+            rows = df
+            medians = {r["feature"]: r["median"] for r in mx.feature_medians(df, names).collect()}  # one row per column
+            table = inline_table(spark, [(n,) for n in names], "feature string")
+            signs = {r["feature"]: r["direction"] for r in (explain.directions(table, dim).collect() if use_directions else [])}
+            weights = {n: {r["feature"]: r["importance"] for r in m.importance(spark).collect()} for n, m in own.items()}
+            every = {n: explain.contribution_array(m.features, weights[n], medians, signs) for n, m in own.items()}
+        views = {}
+        for name in own:
+            up, down = explain.views_in_row(explain.top_k_array(every[name], top_k), words, method=method)
+            views[name] = F.struct(up.alias("contributors"), down.alias("protective_factors"))
+        scored = score_side_by_side(own, rows, RECORD, extra=views)
+        parts.append(scored.select(*RECORD, "task", *[c for c in scored.columns if c not in (*RECORD, "task", "extra")],
+                                   "extra.contributors", "extra.protective_factors", F.lit(window_tag(hours)).alias("obs_window")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def panel_profiles(
-    models: dict[str, RiskModel], wide: dict[int | None, DataFrame], panel_metrics: DataFrame, *, tasks=ALL_TASKS,
-    top_k: int = 5, seed: int = 42,
+    models: dict[str, RiskModel], wide: dict[int | None, DataFrame], panel_metrics: DataFrame, *, events: DataFrame | None = None,
+    labels: DataFrame | None = None, tasks=ALL_TASKS, top_k: int = 5, method: str = "auto", lookback_days: int = 3650,
+    snapshot_window: int | None = None,
 ) -> DataFrame:
-    """Nested panel per patient: arrays `forward` and `chronic`, each sorted by probability."""
+    """Nested panel per stay: arrays `forward` and `chronic`, each sorted by probability, the method and notes; with
+    `events` and `labels` also the snapshot and demographics at the end of `snapshot_window`.
+
+    Records of several windows meet by patient and stay (see `stay_numbers`), whatever their label times.
+    """
     spark = next(iter(wide.values())).sparkSession
-    scores = score_panel(models, wide, tasks=tasks, top_k=top_k, seed=seed)
-    return profiles.panel(scores, task_dim(spark, tasks), panel_metrics)
+    method = attribution_method(models, method)
+    numbers = materialize(stay_numbers(wide), "stays")
+    scores = score_panel(models, wide, tasks=tasks, top_k=top_k, method=method).join(numbers, [*RECORD, "obs_window"])
+    snapshots = None
+    if events is not None and labels is not None:
+        own = numbers.where(F.col("obs_window") == window_tag(snapshot_window)).drop("obs_window")
+        shots = ev.snapshot(*window_tables(events, labels, snapshot_window, tasks), lookback_days=lookback_days)
+        snapshots = shots.join(own, RECORD)
+    return profiles.panel(scores, task_dim(spark, tasks), panel_metrics, snapshots=snapshots, method=method)
+
+
+def record_inputs(
+    wide: dict[int | None, DataFrame], vocab: dict[int | None, mx.Vocabulary]
+) -> DataFrame:
+    """(patient_id, stay, features): the model inputs of all windows, one map per window tag, as a response record keeps
+    them."""
+    numbers = stay_numbers(wide)
+    parts = []
+    for hours, df in wide.items():
+        tag = window_tag(hours)
+        keyed = mx.feature_map(df, vocab[hours].feature_names).join(numbers.where(F.col("obs_window") == tag), RECORD)
+        parts.append(keyed.select("patient_id", "stay", F.struct(F.lit(tag).alias("key"), F.col("features").alias("value")).alias("one")))
+    every = reduce(lambda a, b: a.unionByName(b), parts)
+    # as many rows per stay as there are windows
+    return every.groupBy("patient_id", "stay").agg(F.map_from_entries(F.collect_list("one")).alias("features"))

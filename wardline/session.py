@@ -71,6 +71,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a write to `path` has ended well: Spark sets its mark when all tasks have committed."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 def _literal(value) -> str:
     if value is None:
         return "NULL"

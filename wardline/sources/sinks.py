@@ -1,8 +1,8 @@
-"""Where results go: partitioned Parquet, CSV, JSON and Markdown records."""
+"""Where results go: partitioned Parquet, CSV, JSON, Markdown and text records."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.operators.profiles import render_markdown, render_text
@@ -40,14 +40,30 @@ def export_csv(events: DataFrame, labels: DataFrame, path: str) -> None:
         csv_view(df).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(f"{path}/{name}.csv")
 
 
+#: Stands between two records of a text file: a line of its own that no record holds.
+RECORD_END = "\n\x1e\n"
+
+
 def write_records(records: DataFrame, path: str, fmt: str, *, dataset: str, provider: str, variant: str | None = None) -> str:
-    """`<path>/<fmt>/dataset=<dataset>/provider=<provider>[-<variant>]`, one record per line (JSON) or
-    per row (Markdown and text, keyed by patient). A second run replaces the records of its provider."""
+    """`<path>/<fmt>/dataset=<dataset>/provider=<provider>[-<variant>]`: JSON records one per line, Markdown and plain
+    text as they are, each ended by `RECORD_END`. A second run replaces the records of its provider."""
     label = f"{provider}-{variant}" if variant else provider
-    views = {"json": lambda: records, "md": lambda: render_markdown(records), "txt": lambda: render_text(records)}
+    views = {
+        "json": lambda: records, "md": lambda: render_markdown(records).select("markdown"),
+        "txt": lambda: render_text(records).select("text"),
+    }
     if fmt not in views:
         raise ValueError(f"format is one of {sorted(views)}, not {fmt!r}")
     out = f"{path}/{fmt}"
     keyed = views[fmt]().withColumns({"dataset": F.lit(dataset), "provider": F.lit(label)})
-    keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset", "provider").json(out)
+    writer = keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset", "provider")
+    if fmt == "json":
+        writer.json(out)
+    else:
+        writer.option("lineSep", RECORD_END).text(out)
     return out
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(value, dataset, provider): the records that `write_records` wrote as Markdown or plain text, whole."""
+    return spark.read.option("lineSep", RECORD_END).text(path)
