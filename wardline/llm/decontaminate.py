@@ -140,9 +140,9 @@ def benchmark_hits(
     keyed = docs.select(F.xxhash64(text).alias("key"), F.col(text).alias("text"))
     shared = (
         keyed.mapInArrow(hashes, "key bigint, hash bigint").distinct().join(windows, "hash")
-        .groupBy("key").agg(F.collect_list(F.struct("hash", "n", "words", "items")).alias("__windows"))
+        .groupBy(F.col("key").alias("__key")).agg(F.collect_list(F.struct("hash", "n", "words", "items")).alias("__windows"))
     )
-    near = rows.withColumn("__key", F.xxhash64(text)).join(shared, F.col("__key") == shared["key"], "left")
+    near = rows.withColumn("__key", F.xxhash64(text)).join(shared, "__key", "left")
 
     def own(batch, row):
         return _Windows(batch.column(len(names))[row].as_py() or [])

@@ -8,6 +8,7 @@ sums of the texts' own posteriors; a host's prior is smoothed towards its domain
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,11 @@ def _counting(batches):
 
 
 def train_texts(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages in order and the log probability of every bucket in each, from all rows with a language."""
+    """Languages in order and the log probability of every bucket in each, from all rows with a language.
+
+    The model is one table for all languages; more than MAX_LANGUAGES distinct values are an error, as the column then
+    holds something else.
+    """
     rows = docs.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string"), F.col(text))
     found = rows.mapInArrow(_counting, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = materialize(found, "trigrams")
@@ -64,11 +69,40 @@ def train_texts(docs: DataFrame, text: str = "text", lang: str = "lang") -> tupl
     return languages, np.log(counts / counts.sum(axis=0)).astype(np.float32)
 
 
-_HIDDEN = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+_OPENS = re.compile(rb"(?i)<(?:(script|style)\b|(!--))?")
+_CLOSES = re.compile(rb"(?i)</(script|style)\s*>")
 _DECLARED = re.compile(rb"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-z]{2,8})")
 _CONTENT = re.compile(rb"(?is)<meta\b[^>]*content-language[^>]*?content\s*=\s*[\"']?\s*([a-z]{2,8})")
 
 
+def visible(raw: bytes) -> bytes:
+    """Markup with a blank in place of each script, style, comment and tag; one that is never closed ends as a tag.
+
+    Closing marks are looked up once, in order, so the time follows the length whatever stays open.
+    """
+    ends: dict[bytes, list[tuple[int, int]]] = {b"script": [], b"style": []}
+    for found in _CLOSES.finditer(raw):
+        ends[found[1].lower()].append(found.span())
+    parts, at, comments = [], 0, True
+    while found := _OPENS.search(raw, at):
+        stop = -1
+        if kind := found[1]:
+            own = ends[kind.lower()]
+            nearest = bisect_left(own, (found.end(), 0))
+            stop = own[nearest][1] if nearest < len(own) else -1
+        elif found[2] and comments:
+            stop = raw.find(b"-->", found.end()) + 3
+            if stop == 2:
+                stop, comments = -1, False
+        if stop < 0:
+            stop = raw.find(b">", found.start() + 1) + 1
+            if not stop:
+                break
+        parts += [raw[at : found.start()], b" "]
+        at = stop
+    return b"".join([*parts, raw[at:]])
+
+
 def _evidence(model: np.ndarray, markup: bool):
     """Adds `likelihood` (per language) and `declared`, for rows (…, text)."""
 
@@ -80,7 +114,7 @@ def _evidence(model: np.ndarray, markup: bool):
                 if markup:
                     if found := _DECLARED.search(raw) or _CONTENT.search(raw):
                         said = found[1].lower().decode()
-                    raw = _HIDDEN.sub(b" ", raw)
+                    raw = visible(raw)
                 grams = trigrams(raw) if raw.strip() else np.empty(0, np.int64)
                 total = model[grams].sum(axis=0, dtype=np.float64) * (min(1.0, WEIGHT / len(grams)) if len(grams) else 0)
                 logs.append(total - total.max() if len(total) else total), declared.append(said)

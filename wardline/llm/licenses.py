@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,13 +40,20 @@ class Scanner:
             return []
         starts = np.cumsum([0] + [len(w) + 1 for w in words])
         kept: list[tuple[str, int, int, int]] = []
+        covers: list[tuple[int, int]] = []  # kept places that no other one holds: their starts and their ends rise
         for priority in sorted(let):
             rule = let[priority]
             for found in rule.pattern.finditer(line):
                 first = int(np.searchsorted(starts, found.start(), "right")) - 1
                 end = int(np.searchsorted(starts, found.end(), "left"))
-                if not any(s <= first and end <= e for _, _, s, e in kept):
-                    kept.append((rule.label, priority, first, end))
+                at = bisect_right(covers, (first, len(line)))
+                if at and end <= covers[at - 1][1]:
+                    continue
+                kept.append((rule.label, priority, first, end))
+                low, high = bisect_left(covers, (first, 0)), at
+                while high < len(covers) and covers[high][1] <= end:
+                    high += 1
+                covers[low:high] = [(first, end)]
         return sorted(kept, key=lambda x: (x[2], x[3], x[1]))
 
 

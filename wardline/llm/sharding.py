@@ -56,15 +56,15 @@ class _Search:
 def _ordered(column: str, kind: str) -> Column:
     """A number in the order of the values; text by its first six bytes."""
     if kind == "string":
-        return F.conv(F.rpad(F.hex(F.substring(F.col(column).cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
-    return F.col(column).cast("double")
+        return F.conv(F.rpad(F.hex(F.substring(F.col(f"`{column}`").cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    return F.col(f"`{column}`").cast("double")
 
 
 def _split(rows: DataFrame, leaves: dict[int, int], weight: str, dimensions: int) -> tuple[DataFrame, dict[int, int]]:
     """Splits every node of more than one leaf once: rows with their new `__node`, and the leaves below each node."""
     spark = rows.sparkSession
     open_ = [n for n, count in leaves.items() if count > 1]
-    key = "element_at(__keys, dimension + 1)"
+    key = "element_at(__keys, __dimension + 1)"
     spread = [
         F.expr(f"max(shiftright(__keys[{i}], {_TIE_BITS})) - min(shiftright(__keys[{i}], {_TIE_BITS}))").alias(f"s{i}")
         for i in range(dimensions)
@@ -78,22 +78,22 @@ def _split(rows: DataFrame, leaves: dict[int, int], weight: str, dimensions: int
     while wide := [s for s in searches.values() if s.high - s.low > 1]:
         ranges = inline_table(
             spark, [(s.first, s.dimension, s.low, s.high, s.step) for s in wide],
-            "__node int,dimension int,low bigint,high bigint,step bigint",
+            "__node int,__dimension int,__low bigint,__high bigint,__step bigint",
         )
         bins = (
-            rows.join(F.broadcast(ranges), "__node").where(f"{key} >= low and {key} < high")
-            .groupBy("__node", F.expr(f"int(({key} - low) div step)").alias("bin")).agg(F.sum(weight).alias("w"))
+            rows.join(F.broadcast(ranges), "__node").where(f"{key} >= __low and {key} < __high")
+            .groupBy("__node", F.expr(f"int(({key} - __low) div __step)").alias("bin")).agg(F.sum(weight).alias("w"))
             .orderBy("__node", "bin").collect()
         )
         for s in wide:
             s.narrow([r for r in bins if r["__node"] == s.first])
     cuts = inline_table(
         spark, [(s.first, s.dimension, s.low, s.first + s.leaves // 2) for s in searches.values()],
-        "__node int,dimension int,cut bigint,upper int",
+        "__node int,__dimension int,__cut bigint,__upper int",
     )
     moved = rows.join(F.broadcast(cuts), "__node", "left").withColumn(
-        "__node", F.expr(f"if(cut is null or {key} < cut, __node, upper)")
-    ).drop("dimension", "cut", "upper")
+        "__node", F.expr(f"if(__cut is null or {key} < __cut, __node, __upper)")
+    ).drop("__dimension", "__cut", "__upper")
     below = {}
     for first, count in leaves.items():
         half = count // 2 if count > 1 else count
@@ -113,7 +113,14 @@ def kd_shards(
     (text by its first six bytes, null lowest); rows with one value are told apart by a hash of the whole row and its
     place, so a value, id or text that holds a third of all rows is split like any other. Nodes are split in proportion
     to the leaves on each side, to within 0.05 % of a leaf. To the driver come at most 1,024 sums per open node.
+
+    A column `shard` of `rows` is replaced; its own working columns start with two underscores.
     """
+    return _placed(rows, dimensions, weight, shards, target_bytes).drop("__tie")
+
+
+def _placed(rows: DataFrame, dimensions: list[str], weight: str, shards: int | None, target_bytes: int | None) -> DataFrame:
+    """`kd_shards` with `__tie`, a hash of the whole row and its place."""
     kinds = dict(rows.dtypes)
     values = {f"__v{i}": _ordered(d, kinds[d]) for i, d in enumerate(dimensions)}
     tie = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns], F.monotonically_increasing_id())
@@ -165,7 +172,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, doc_id: str = "doc_id", t
         (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
     )
-    placed = materialize(kd_shards(rows, [*dimensions, "doc_id"], "size", shards), "placed")
+    placed = materialize(_placed(rows, [*dimensions, "doc_id"], "size", shards, None), "placed")
     return with_slots(placed, placed.count()).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
