@@ -39,14 +39,17 @@ def plain_words(text: str | None) -> list[bytes]:
 
 
 class _Hashes(dict):
-    """Hash of each word seen; emptied when full, so a task's memory does not grow with the vocabulary."""
+    """Hash of each word seen; emptied when full and without long words, so that what stays in a worker process between
+    its tasks is some 20 MB at most."""
 
-    LIMIT = 1 << 20
+    LIMIT, LONGEST = 1 << 17, 64
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= self.LONGEST:
+            self[word] = value
         return value
 
 

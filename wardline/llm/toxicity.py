@@ -40,9 +40,10 @@ def density(times, words):
 
 
 class _Hits(dict):
-    """Per word, the chosen features it counts for (mostly none); emptied when full."""
+    """Per word, the chosen features it counts for (mostly none); emptied when full and without long words, so that
+    what stays in a worker process is some 20 MB at most."""
 
-    LIMIT = 1 << 20
+    LIMIT, LONGEST = 1 << 17, 64
 
     def __init__(self, chosen: dict[bytes, float]):
         super().__init__()
@@ -52,7 +53,9 @@ class _Hits(dict):
         if len(self) >= self.LIMIT:
             self.clear()
         names = [word, *(word[:size] + b"*" for size in _STEMS if len(word) > size)]
-        self[word] = hits = tuple(x for x in names if x in self.chosen)
+        hits = tuple(x for x in names if x in self.chosen)
+        if len(word) <= self.LONGEST:
+            self[word] = hits
         return hits
 
 
