@@ -485,6 +485,12 @@ def payload_json(v: Views):
     )
 
 
+step(
+    "panel_window",
+    "SELECT e.* FROM panel_events e JOIN panel_labels l ON e.patient_id = l.patient_id WHERE e.time <= l.label_time AND e.time >= l.label_time - INTERVAL 90 DAY",
+)
+
+
 @query(
     "payload_snapshot",
     """
@@ -513,17 +519,11 @@ def payload_snapshot(v: Views):
     )
 
 
-step(
-    "panel_window",
-    "SELECT e.* FROM panel_events e JOIN panel_labels l ON e.patient_id = l.patient_id WHERE e.time <= l.label_time AND e.time >= l.label_time - INTERVAL 90 DAY",
-)
-
-
 @query(
     "prediction_block",
     """
 SELECT s.patient_id, s.task, t.label, s.task_group AS grp, s.kind, CASE WHEN s.uncertainty < 0.34 THEN 'higher' WHEN s.uncertainty < 0.67 THEN 'moderate' ELSE 'lower' END AS confidence,
-       round_even(s.uncertainty, 4) AS uncertainty, round_even(s.probability, 4) AS probability, CAST(round_even(s.probability * 100, 0) AS BIGINT) AS probability_pct,
+       round_even(s.uncertainty, 4) AS uncertainty, round_even(s.probability, 4) AS probability, round_even(s.probability * 100, 0) AS probability_pct,
        CASE WHEN s.probability > 0 AND s.probability < 1 THEN round(ln(s.probability / (1 - s.probability)), 4) END AS logit,
        CASE WHEN s.probability < 0.1 THEN 'low' WHEN s.probability < 0.3 THEN 'moderate' WHEN s.probability IS NOT NULL THEN 'elevated' END AS risk_tier,
        round(s.point_estimate, 6) AS point_estimate, CASE WHEN s.kind = 'binary' THEN a.auroc END AS auroc,
@@ -537,6 +537,6 @@ def prediction_block(v: Views):
     block = profiles.prediction_block(panels(v)).select("patient_id", F.explode(F.concat("predictions.forward", "predictions.chronic")).alias("p"))
     return block.select(
         "patient_id", "p.task", "p.label", F.col("p.group").alias("grp"), "p.kind", "p.confidence", "p.uncertainty", "p.probability",
-        "p.probability_pct", "p.logit", "p.risk_tier", "p.point_estimate", "p.auroc",
+        F.col("p.probability_pct").cast("double").alias("probability_pct"), "p.logit", "p.risk_tier", "p.point_estimate", "p.auroc",
         F.array_join(F.transform("p.top_contributors", lambda c: c["phrase"]), "|").alias("top_contributors"),
     )
