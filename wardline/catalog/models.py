@@ -99,6 +99,34 @@ def calibrate_isotonic(v: Views):
     return out.select("patient_id", "raw_probability", F.col("probability").alias("isotonic"))
 
 
+def _newton(steps: int = 12) -> str:
+    """Newton's steps for intercept b and slope a of the logistic fit, the slope's square weighing 1 / (2 n)."""
+    parts = ["s0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b)"]
+    for k in range(steps):
+        parts.append(f"""s{k + 1} AS (
+  SELECT a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS a, b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS b FROM (
+    SELECT any_value(a) AS a, any_value(b) AS b, sum((n * q - s) * x) + any_value(a) AS ga, sum(n * q - s) AS gb,
+           sum(n * q * (1 - q) * x * x) + 1 AS haa, sum(n * q * (1 - q) * x) AS hab, sum(n * q * (1 - q)) AS hbb
+    FROM (SELECT x, n, s, a, b, 1 / (1 + exp(-(a * x + b))) AS q FROM folded, s{k}) z) g)""")
+    return ",\n".join(parts)
+
+
+@query(
+    "calibrate_logistic",
+    f"""
+WITH folded AS (SELECT p AS x, CAST(count(*) AS DOUBLE) AS n, CAST(sum(y) AS DOUBLE) AS s FROM scored GROUP BY p),
+{_newton()}
+SELECT patient_id, round(p, 6) AS raw_probability, round(1 / (1 + exp(-(a * p + b))), 6) AS platt FROM scored, s12""",
+)
+def calibrate_logistic(v: Views):
+    """Logistic calibration of the given scores; the check runs Newton's method."""
+    from wardline.operators.models import apply_calibrator, fit_calibrator
+
+    scored = v.scored.select("patient_id", F.col("y").cast("double").alias("label"), F.col("p").alias("raw_probability"))
+    out = apply_calibrator(scored, fit_calibrator(scored, "platt"))
+    return out.select("patient_id", "raw_probability", F.col("probability").alias("platt"))
+
+
 @query("feature_importance")
 def feature_importance(v: Views):
     model, _ = binary_model(v)

@@ -6,6 +6,7 @@ order. Every expression stays inside the row: no shuffle, no Python.
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -43,7 +44,12 @@ DISCLAIMER = (
     "your results and any decisions."
 )
 
-BLANK = " \t\r\n"
+#: Every blank of Unicode, and the four separators below the space: what splits words and does not count as text.
+BLANK = "".join(c for c in map(chr, range(0x10000)) if c.isspace())
+_BLANKS = r"[\t-\r\x1C-\x20\x85\p{Z}]"
+#: Decimal digits of all scripts: in each block ten in order, from zero on.
+_ZEROS = [c for c in range(0x110000) if unicodedata.decimal(chr(c), None) == 0]
+_DIGIT = "[" + "".join(f"\\x{{{c:X}}}-\\x{{{c + 9:X}}}" for c in _ZEROS) + "]"
 
 
 def text_or_empty(c: Column) -> Column:
@@ -83,14 +89,16 @@ def admits_doubt(blob: Column, words=("caution", "less certain")) -> Column:
 
 
 def percentages(text: Column) -> Column:
-    """Distinct numbers of one to three digits before a percent sign."""
-    found = F.regexp_extract_all(text_or_empty(text), F.lit(r"(\d{1,3})\s*%"), 1)
-    return F.array_distinct(F.transform(found, lambda x: x.cast("int")))
+    """Distinct numbers of one to three digits, of any script, before a percent sign."""
+    found = F.regexp_extract_all(text_or_empty(text), F.lit(f"({_DIGIT}{{1,3}}){_BLANKS}*%"), 1)
+    others = "".join(chr(c + i) for c in _ZEROS for i in range(10) if c > 0x30)
+    plain = lambda x: F.translate(x, others, "0123456789" * (len(others) // 10))
+    return F.array_distinct(F.transform(found, lambda x: plain(x).cast("int")))
 
 
 def words_of(phrase: Column) -> Column:
     """Lower-case words with commas, periods and brackets off both ends."""
-    parts = F.filter(F.split(text_or_empty(phrase), r"\s+"), lambda w: w != "")
+    parts = F.filter(F.split(text_or_empty(phrase), f"{_BLANKS}+"), lambda w: w != "")
     return F.transform(parts, lambda w: F.trim(F.lower(w), F.lit(",.()")))
 
 
@@ -107,7 +115,7 @@ def clarity_score(sections: list[Column]) -> Column:
     """Mean of a sentence-length score (best at 15 words) and the share of sections filled."""
     sentences = F.filter(F.split(joined(sections), r"[.!?\n]"), lambda s: F.trim(s, F.lit(BLANK)) != "")
     n_words = F.aggregate(
-        F.transform(sentences, lambda s: F.size(F.filter(F.split(s, r"\s+"), lambda w: w != ""))),
+        F.transform(sentences, lambda s: F.size(F.filter(F.split(s, f"{_BLANKS}+"), lambda w: w != ""))),
         F.lit(0),
         lambda acc, n: acc + n,
     )

@@ -65,16 +65,22 @@ def _stays(cohort: DataFrame, windows) -> DataFrame:
     return cohort.select("hadm_id", "admittime", *ends)
 
 
-def _joined(coded: DataFrame, stays: DataFrame, windows, hot: DataFrame) -> tuple[DataFrame, dict]:
+def _joined(coded: DataFrame, stays: DataFrame, windows, hot: DataFrame | None) -> tuple[DataFrame, dict]:
+    """`hot` as it was counted before (see `bucket_star`), or None to count it now. Where no stay is hot the join is a
+    plain one, which tables in equal buckets need no shuffle for; else the rows of hot stays go apart."""
     inside = {w: F.col("charttime") <= F.col(f"`end@{window_tag(w)}`") for w in windows}
-    return salted_join(coded, stays, "hadm_id", hot=hot), inside
+    if hot is None:
+        return salted_join(coded, stays, "hadm_id", hot=hot_keys(coded, "hadm_id")), inside
+    if hot.isEmpty():
+        return coded.join(stays, "hadm_id"), inside
+    spread = salted_join(coded.join(hot, "hadm_id", "left_semi"), stays.join(hot, "hadm_id", "left_semi"), "hadm_id", hot=hot)
+    return coded.join(hot, "hadm_id", "left_anti").join(stays, "hadm_id").unionByName(spread), inside
 
 
 def vital_summary(
     chart: DataFrame, cohort: DataFrame, *, items=VITAL_ITEMS, windows=(None,), hot: DataFrame | None = None
 ) -> DataFrame:
     """mean, min, max, last and sample std per (stay, window, vital) over [admission, cutoff]."""
-    hot = hot_keys(measured(chart, items), "hadm_id") if hot is None else hot
     joined, inside = _joined(coded_vitals(chart, items), _stays(cohort, windows), windows, hot)
     joined = joined.filter(F.col("charttime") >= F.col("admittime"))
     value, time = F.col("value"), F.col("charttime")
@@ -113,7 +119,6 @@ def lab_latest(
     lab: DataFrame, cohort: DataFrame, *, items=LAB_ITEMS, windows=(None,), hot: DataFrame | None = None
 ) -> DataFrame:
     """Latest value per (stay, window, lab) up to the cutoff; no lower bound in time."""
-    hot = hot_keys(measured(lab, items), "hadm_id") if hot is None else hot
     joined, inside = _joined(coded_labs(lab, items), _stays(cohort, windows).drop("admittime"), windows, hot)
     aggs = []
     for w, cond in inside.items():

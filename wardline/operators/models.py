@@ -86,7 +86,7 @@ def fit_calibrator(scored: DataFrame, method: str = "isotonic", *, label: str =
         return IsotonicRegression(featuresCol="x", labelCol="label", weightCol="w", predictionCol="calibrated").fit(folded)
     platt = LogisticRegression(
         featuresCol="v", labelCol="label", probabilityCol="platt", rawPredictionCol="platt_raw",
-        predictionCol="platt_class", regParam=1.0 / seen["n"], standardization=False,
+        predictionCol="platt_class", regParam=1.0 / seen["n"], standardization=False, tol=1e-12, maxIter=200,
     )
     return platt.fit(data.withColumn("v", array_to_vector(F.array("x"))))
 
