@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions import clinical as fn
+from wardline.functions.ordered import latest_key
 from wardline.operators.skew import salted_join
 from wardline.session import materialize
 
@@ -111,11 +112,15 @@ def _latest(time: str) -> Column:
     return F.when(F.col("value").isNotNull(), F.struct(F.col(time).alias("seen"), F.col("value").alias("last")))
 
 
+def _latest_of(df: DataFrame, time: str) -> tuple[Column, Column]:
+    """Aggregates: time and value of the latest row that has a value, of equal times the larger value."""
+    seen = F.when(F.col("value").isNotNull(), F.col(time))
+    return F.max(seen).alias("seen"), F.max_by("value", latest_key(df, time, "value")).alias("last")
+
+
 def _joined_totals(events: DataFrame, records: DataFrame, days: int | None, by: dict[str, Column]) -> DataFrame:
     window = in_lookback(events, records.withColumn("value", F.lit(None).cast("double")), days).withColumns(by)
-    return window.groupBy(*RECORD, *by).agg(F.count(F.lit(1)).alias("n"), F.max(_latest("time")).alias("_l")).select(
-        *RECORD, *by, "n", "_l.seen", "_l.last"
-    )
+    return window.groupBy(*RECORD, *by).agg(F.count(F.lit(1)).alias("n"), *_latest_of(window, "time"))
 
 
 def _sliced_totals(events: DataFrame, records: DataFrame, days: int | None, by: dict[str, Column], slice_days: int) -> DataFrame:
@@ -139,7 +144,9 @@ def _sliced_totals(events: DataFrame, records: DataFrame, days: int | None, by:
         "slice", F.floor(F.datediff(F.to_date("at"), F.lit("1970-01-01")) / slice_days)
     )
     event = (F.col("end") == 0).cast("bigint")
-    whole = rows.groupBy(*keys, "slice").agg(F.sum(event).alias("_n"), F.max(_latest("at")).alias("_l"))
+    whole = rows.groupBy(*keys, "slice").agg(F.sum(event).alias("_n"), *_latest_of(rows, "at")).select(
+        *keys, "slice", "_n", F.when(F.col("seen").isNotNull(), F.struct("seen", "last")).alias("_l")
+    )
     earlier = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     before = whole.select(
         *keys, "slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.max("_l").over(earlier).alias("_l_before")
@@ -151,11 +158,12 @@ def _sliced_totals(events: DataFrame, records: DataFrame, days: int | None, by:
     ).where("end <> 0")
     read = inside.join(before, [*keys, "slice"])
     upto = F.when(F.col("end") == 1, F.coalesce("_l_inside", "_l_before"))
-    out = read.groupBy(*RECORD, *by).agg(
-        F.sum(F.col("end") * (F.col("_before") + F.col("_inside"))).alias("n"), F.max(upto).alias("_l")
+    # a record has one end row, so both maxima are of that row
+    out = read.withColumn("_l", upto).groupBy(*RECORD, *by).agg(
+        F.sum(F.col("end") * (F.col("_before") + F.col("_inside"))).alias("n"), F.max("_l.seen").alias("_seen"), F.max("_l.last").alias("_last")
     ).where("n > 0")
-    within = F.lit(True) if days is None else F.col("_l.seen") >= F.col("label_time") - F.expr(f"INTERVAL {int(days)} DAYS")
-    return out.select(*RECORD, *by, "n", *[F.when(within, F.col(f"_l.{c}")).alias(c) for c in ("seen", "last")])
+    within = F.lit(True) if days is None else F.col("_seen") >= F.col("label_time") - F.expr(f"INTERVAL {int(days)} DAYS")
+    return out.select(*RECORD, *by, "n", *[F.when(within, F.col(f"_{c}")).alias(c) for c in ("seen", "last")])
 
 
 def labelled_events(events: DataFrame, labels: DataFrame) -> DataFrame:
@@ -185,7 +193,7 @@ def snapshot(events: DataFrame, labels: DataFrame, *, lookback_days: int) -> Dat
     # one name may come from ICD and other codes alike: the later reading wins over both
     observed = per_label.groupBy(*RECORD, "name").agg(
         F.max("is_icd").alias("is_icd"),
-        F.max(F.when(F.col("last").isNotNull(), F.struct("seen", "last")))["last"].alias("latest"),
+        F.max_by("last", latest_key(per_label, "seen", "last")).alias("latest"),
         F.sum(F.when(F.col("is_enc"), F.col("n")).otherwise(0)).alias("n_enc"),
     )
     entry = F.when(F.col("latest").isNotNull(), F.struct("name", F.bround("latest", 1).alias("value")))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions import clinical as fn
+from wardline.functions.ordered import latest_key
 from wardline.operators.concepts import LAB_ITEMS, LAB_NAMES, VITAL_ITEMS, VITAL_NAMES, VITAL_STATS, window_tag
 from wardline.operators.skew import hot_keys, salted_join
 from wardline.session import inline_table
@@ -36,9 +37,9 @@ def coded_labs(lab: DataFrame, items=LAB_ITEMS) -> DataFrame:
     return measured(lab, items).join(dim, "itemid").select("hadm_id", "lab", value, "charttime")
 
 
-def _latest(value: Column, time: Column, condition: Column) -> Column:
-    """Value at the latest time; on equal times the larger value."""
-    return F.max(F.when(condition, F.struct(time.alias("t"), value.alias("v"))))["v"]
+def _latest(condition: Column) -> Column:
+    """Value at the latest time; on equal times the larger value. A hash aggregate, as key and value have fixed widths."""
+    return F.max_by("value", F.when(condition, F.col("latest_key")))
 
 
 def _per_window(aggregated: DataFrame, keys: list[str], windows, fields: list[str]) -> DataFrame:
@@ -83,7 +84,8 @@ def vital_summary(
     """mean, min, max, last and sample std per (stay, window, vital) over [admission, cutoff]."""
     joined, inside = _joined(coded_vitals(chart, items), _stays(cohort, windows), windows, hot)
     joined = joined.filter(F.col("charttime") >= F.col("admittime"))
-    value, time = F.col("value"), F.col("charttime")
+    joined = joined.withColumn("latest_key", latest_key(joined, "charttime", "value"))
+    value = F.col("value")
     aggs = []
     for w, cond in inside.items():
         tag, kept = window_tag(w), F.when(cond, value)
@@ -92,7 +94,7 @@ def vital_summary(
             F.avg(kept).alias(f"mean@{tag}"),
             F.min(kept).alias(f"min@{tag}"),
             F.max(kept).alias(f"max@{tag}"),
-            _latest(value, time, cond).alias(f"last@{tag}"),
+            _latest(cond).alias(f"last@{tag}"),
             F.stddev_samp(kept).alias(f"std@{tag}"),
         ]
     return _per_window(joined.groupBy("hadm_id", "vital").agg(*aggs), ["hadm_id", "vital"], windows, list(VITAL_STATS))
@@ -120,12 +122,13 @@ def lab_latest(
 ) -> DataFrame:
     """Latest value per (stay, window, lab) up to the cutoff; no lower bound in time."""
     joined, inside = _joined(coded_labs(lab, items), _stays(cohort, windows).drop("admittime"), windows, hot)
+    joined = joined.withColumn("latest_key", latest_key(joined, "charttime", "value"))
     aggs = []
     for w, cond in inside.items():
         tag = window_tag(w)
         aggs += [
             F.count(F.when(cond, F.col("value"))).alias(f"n@{tag}"),
-            _latest(F.col("value"), F.col("charttime"), cond).alias(f"last@{tag}"),
+            _latest(cond).alias(f"last@{tag}"),
         ]
     return _per_window(joined.groupBy("hadm_id", "lab").agg(*aggs), ["hadm_id", "lab"], windows, ["last"])
 
