@@ -13,7 +13,7 @@ from wardline.functions import clinical as fn
 from wardline.functions.ordered import latest_key
 from wardline.operators.concepts import LAB_ITEMS, LAB_NAMES, VITAL_ITEMS, VITAL_NAMES, VITAL_STATS, window_tag
 from wardline.operators.skew import hot_keys, salted_join
-from wardline.session import inline_table
+from wardline.session import inline_table, materialize
 
 FACT_COLUMNS = ["hadm_id", "itemid", "valuenum", "charttime"]
 
@@ -67,11 +67,13 @@ def _stays(cohort: DataFrame, windows) -> DataFrame:
 
 
 def _joined(coded: DataFrame, stays: DataFrame, windows, hot: DataFrame | None) -> tuple[DataFrame, dict]:
-    """`hot` as it was counted before (see `bucket_star`), or None to count it now. Where no stay is hot the join is a
-    plain one, which tables in equal buckets need no shuffle for; else the rows of hot stays go apart."""
+    """`hot` as it was counted before (see `bucket_star`), or None to count it now, among the rows of the cohort's stays.
+    Where no stay is hot the join is a plain one: rows that lie by stay already are not shuffled for it, nor for the
+    aggregate above; else the rows of hot stays go apart."""
     inside = {w: F.col("charttime") <= F.col(f"`end@{window_tag(w)}`") for w in windows}
     if hot is None:
-        return salted_join(coded, stays, "hadm_id", hot=hot_keys(coded, "hadm_id")), inside
+        coded = coded.join(stays.select("hadm_id"), "hadm_id", "left_semi")
+        hot = materialize(hot_keys(coded, "hadm_id"), "hot-stays")
     if hot.isEmpty():
         return coded.join(stays, "hadm_id"), inside
     spread = salted_join(coded.join(hot, "hadm_id", "left_semi"), stays.join(hot, "hadm_id", "left_semi"), "hadm_id", hot=hot)

@@ -59,10 +59,10 @@ def build_all(
 
 
 def store(parts: dict[str, DataFrame], path: str) -> dict[str, DataFrame]:
-    """Write events and labels and read them back: what trains and scores reads files, partitioned by
-    window and task, and never runs the build again."""
-    spark = parts["events"].sparkSession
-    write_events(parts["events"], f"{path}/events")
-    write_labels(parts["labels"], f"{path}/labels")
-    read = lambda name: spark.read.schema(parts[name].schema).parquet(f"{path}/{name}")
-    return {**parts, "events": read("events"), "labels": read("labels")}
+    """Write events and labels, or the one of them that `parts` holds, and read them back: what trains and scores reads
+    files, partitioned by window and task, and never runs the build again."""
+    writers = {name: write for name, write in (("events", write_events), ("labels", write_labels)) if name in parts}
+    for name, write in writers.items():
+        write(parts[name], f"{path}/{name}")
+    read = lambda name: parts[name].sparkSession.read.schema(parts[name].schema).parquet(f"{path}/{name}")
+    return {**parts, **{name: read(name) for name in writers}}
