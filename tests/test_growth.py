@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 
 
 from wardline.operators import measurements as ms
+from wardline.plans import panel as pl
 from wardline.plans.build import store
 
 T0 = datetime(2024, 3, 1)
@@ -13,6 +14,19 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+class Columns:
+    feature_names = ["age"]
+
+
+def test_record_inputs_joins_nothing(spark):
+    rows = [(f"p{p}", T0 + timedelta(days=s), float(p)) for p in range(5) for s in range(2)]
+    wide = {h: spark.createDataFrame(rows, "patient_id string, label_time timestamp_ntz, age double") for h in (None, 24)}
+    got = pl.record_inputs(wide, dict.fromkeys(wide, Columns))
+    assert "Join" not in plan_of(got)
+    found = {(r["patient_id"], r["stay"]): r["features"] for r in got.collect()}
+    assert len(found) == 10 and found[("p3", 2)] == {"discharge": {"age": 3.0}, "24h": {"age": 3.0}}
+
+
 def test_labels_are_stored_without_events(spark, tmp_path):
     labels = spark.createDataFrame([("t", "p", 1.0)], "task string, patient_id string, value double")
     assert [r["value"] for r in store({"labels": labels}, str(tmp_path))["labels"].collect()] == [1.0]

@@ -209,10 +209,10 @@ def stay() -> Column:
     return F.row_number().over(Window.partitionBy("patient_id").orderBy("label_time"))
 
 
-def feature_map(wide: DataFrame, features: list[str]) -> DataFrame:
-    """Feature vector as a map, rounded to 4 digits, missing values kept as null."""
+def feature_map(wide: DataFrame, features: list[str], *, beside: list[str] | None = None) -> DataFrame:
+    """Feature vector as a map, rounded to 4 digits, missing values kept as null; columns of `beside` are kept too."""
     cells = [F.struct(F.lit(f).alias("key"), F.round(quoted(f).cast("double"), 4).alias("value")) for f in features]
-    return wide.select(*RECORD, F.map_from_entries(F.array(*cells)).alias("features"))
+    return wide.select(*RECORD, *(beside or []), F.map_from_entries(F.array(*cells)).alias("features"))
 
 
 def stride_sample(ids: DataFrame, id_col: str, *, target: int = 4000, seed: int = 42) -> DataFrame:

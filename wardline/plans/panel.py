@@ -262,12 +262,12 @@ def record_inputs(
 ) -> DataFrame:
     """(patient_id, stay, features): the model inputs of all windows, one map per window tag, as a response record keeps
     them."""
-    numbers = stay_numbers(wide)
     parts = []
     for hours, df in wide.items():
-        tag = window_tag(hours)
-        keyed = mx.feature_map(df, vocab[hours].feature_names).join(numbers.where(F.col("obs_window") == tag), RECORD)
-        parts.append(keyed.select("patient_id", "stay", F.struct(F.lit(tag).alias("key"), F.col("features").alias("value")).alias("one")))
+        # the number is made beside the features: a table of all stays, joined to them, would be sent through the driver
+        keyed = mx.feature_map(df.withColumn("stay", mx.stay()), vocab[hours].feature_names, beside=["stay"])
+        one = F.struct(F.lit(window_tag(hours)).alias("key"), F.col("features").alias("value"))
+        parts.append(keyed.select("patient_id", "stay", one.alias("one")))
     every = reduce(lambda a, b: a.unionByName(b), parts)
     # as many rows per stay as there are windows
     return every.groupBy("patient_id", "stay").agg(F.map_from_entries(F.collect_list("one")).alias("features"))
