@@ -2,8 +2,13 @@
 
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
 
+from wardline.catalog.registry import Views
+from wardline.catalog.scoring import panels
+from wardline.operators import explain
 from wardline.operators import measurements as ms
+from wardline.operators import profiles
 from wardline.plans import panel as pl
 from wardline.plans.build import store
 
@@ -27,6 +32,26 @@ def test_record_inputs_joins_nothing(spark):
     assert len(found) == 10 and found[("p3", 2)] == {"discharge": {"age": 3.0}, "24h": {"age": 3.0}}
 
 
+def test_the_pick_stands_once_in_the_views(spark):
+    cells = spark.sql("SELECT array(struct(0 AS pos, 'a' AS feature, 1.0D AS value, 0.5D AS impact), struct(1 AS pos, 'b' AS feature, 2.0D AS value, -1D AS impact)) AS c")
+    up, down = explain.views_in_row(explain.top_k_array(F.col("c"), 5), {"a": ("A", "your a"), "b": ("B", "your b")})
+    one = cells.select(up.alias("up"))
+    assert one._jdf.queryExecution().analyzed().toString().count("array_sort(") == 1
+    row = cells.select(up.alias("up"), down.alias("down")).first()
+    assert [(x["rank"], x["phrase"], x["magnitude"]) for x in row["up"]] == [(2, "your a", 0.5)]
+    assert [(x["rank"], x["phrase"], x["magnitude"]) for x in row["down"]] == [(1, "your b", 1.0)]
+
+
+def test_panels_are_shuffled_before_their_views_are_made(spark, sf_dir):
+    plan = plan_of(panels(Views(spark, sf_dir)))
+    assert plan.index("array_sort(") < plan.index("RepartitionByExpression [patient_id")  # the plan's top comes first
+
+
+def test_a_payload_keeps_the_method_beside_it(spark, sf_dir):
+    text = profiles.health_payload(panels(Views(spark, sf_dir)), keep=("attribution_method",))
+    assert {r[0] for r in text.select("attribution_method").distinct().collect()} == {"approx"}
+
+
 def test_labels_are_stored_without_events(spark, tmp_path):
     labels = spark.createDataFrame([("t", "p", 1.0)], "task string, patient_id string, value double")
     assert [r["value"] for r in store({"labels": labels}, str(tmp_path))["labels"].collect()] == [1.0]
