@@ -11,6 +11,7 @@ from wardline.operators import events as ev
 from wardline.operators import matrix as mx
 from wardline.operators import models as md
 from wardline.operators import profiles
+from wardline.operators import tree_paths as tp
 from wardline.operators.concepts import Task, task_dim
 from wardline.plans import panel as pl
 from wardline.session import finished, scratch_path
@@ -194,3 +195,21 @@ def test_panel_of_records_without_stays_is_one_per_patient(spark):
     assert len(got) == 1 and [t["reliability"] for t in got[0]["forward"]] == ["unknown"]
     with_stay = scores.withColumn("stay", F.when(F.col("task") == "bad", 1).otherwise(2))
     assert profiles.panel(with_stay, task_dim(spark, TASKS), metrics).count() == 2
+
+
+def test_strongest_impacts_come_from_the_batch_and_a_row_is_scored_once(spark, trained, matrices, monkeypatch):
+    _, (models, _, _) = trained
+    own = {n: models[n] for n in ("bad", "dx")}
+    whole, picked = (tp.with_tree_impacts(own, matrices[0][None], **options) for options in ({}, {"top_k": 2}))
+    key = lambda r: (r["patient_id"], r["label_time"])
+    some = {key(r): r for r in picked.collect()}
+    for r in whole.collect():
+        for n, m in own.items():
+            impacts = r[n]["impacts"]
+            want = sorted(range(len(impacts)), key=lambda i: (-abs(impacts[i]), i))[:2]
+            assert [(c["pos"], c["value"] or 0.0, c["impact"]) for c in some[key(r)][n]] == [(i, r[m.features[i]] or 0.0, impacts[i]) for i in want]
+    plans = []
+    keep = md.materialize
+    monkeypatch.setattr(md, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df, name))
+    assert pl.score_panel(models, matrices[0], tasks=TASKS).count() == 180 * len(TASKS)
+    assert len(plans) == 2 and not any("Filter" in p for p in plans)
