@@ -64,3 +64,13 @@ def test_facts_without_hot_stays_are_joined_as_they_lie(spark):
     got = ms.lab_latest(chart, cohort, items=((1, "X"),), windows=(None, 24))
     assert "_salt" not in plan_of(got)
     assert {(r["hadm_id"], r["obs_window"]): r["last"] for r in got.collect()} == {(h, w): float(h) for h in range(10) for w in ("discharge", "24h")}
+
+
+def test_a_raw_payload_takes_no_row_apart(spark):
+    rows = [("p1", T0, 50.0, 2.5, None, 1.0), ("p2", T0, None, None, None, 0.0)]
+    wide = spark.createDataFrame(rows, "patient_id string, label_time timestamp_ntz, age double, `value__VITAL/B` double, `value__VITAL/A` double, `count__DX/D` double")
+    concepts = spark.createDataFrame([("VITAL/B", "Bee"), ("DX/D", "Dee")], "code string, name string")
+    got = pl.mx.raw_payload(wide, [c for c in wide.columns if c not in ("patient_id", "label_time")], concepts)
+    assert "Generate" not in plan_of(got)
+    found = {r["patient_id"]: (r["age"], r["vital_signs"], r["lab_results"], r["past_conditions"], r["prior_admissions"]) for r in got.collect()}
+    assert found == {"p1": (50.0, {"Bee": 2.5}, {}, ["Dee"], None), "p2": (None, {}, {}, [], None)}

@@ -238,27 +238,33 @@ def raw_payload(wide: DataFrame, features: list[str], concepts: DataFrame, label
     `labels` (patient_id, label_time, sex) tells the sex as it was recorded; without it there is none, as the matrix
     only knows female from other.
     """
-    long = matrix_long(wide, features).filter(F.col("value").isNotNull())
-    named = (
-        long.withColumn("code", fn.strip_prefix(F.col("feature")))
-        .join(concepts.select("code", F.col("name").alias("concept")), "code", "left")
-        .withColumn("concept", F.coalesce("concept", "code"))
-        .withColumn("family", fn.code_family(F.col("code")))
-        .withColumn("is_value", F.col("feature").startswith("value__"))
+    # one row per matrix column and name comes to the driver: the entries are picked and put in order inside the row
+    columns = inline_table(wide.sparkSession, enumerate(features), "pos int,feature string").withColumn("code", fn.strip_prefix(F.col("feature")))
+    known = columns.join(concepts.select("code", F.col("name").alias("concept")), "code", "left").select(
+        "pos", "feature", F.coalesce("concept", "code").alias("concept"), fn.code_family(F.col("code")).alias("family"),
+    ).collect()
+    known.sort(key=lambda r: (r["concept"].encode("utf-8"), r["pos"]))
+    value = lambda r: quoted(r["feature"]).cast("double")
+    of = lambda family, prefix: [r for r in known if r["family"] == family and r["feature"].startswith(prefix)]
+
+    def measured(family: str) -> Column:
+        entry = lambda r: F.struct(F.lit(r["concept"]).alias("concept"), F.lit(r["pos"]).alias("pos"), F.bround(value(r), 2).alias("value"))
+        cells = [F.when(value(r).isNotNull(), entry(r)) for r in of(family, "value__")]
+        return F.array_compact(F.array(*cells).cast("array<struct<concept:string,pos:int,value:double>>")).alias(family)
+
+    past = [F.when(value(r) >= 1, F.lit(r["concept"])) for r in of("DX", "")]
+    admissions = [F.bround(value(r), 1) for r in of("UTIL", "value__")]
+    rows = wide.where(F.exists(F.array(*[quoted(f).cast("double") for f in features]), lambda x: x.isNotNull())).select(
+        *RECORD, measured("VITAL"), measured("LAB"), F.array_compact(F.array(*past).cast("array<string>")).alias("past"),
+        F.array_max(F.array(*admissions).cast("array<double>")).alias("admissions"),
+        (F.col("age").cast("double") if "age" in features else F.lit(None).cast("double")).alias("age"),
     )
-    entry = F.struct(F.col("concept"), F.col("pos"), F.bround("value", 2).alias("value"))
-    measured = lambda family: F.array_sort(
-        F.collect_list(F.when((F.col("family") == family) & F.col("is_value"), entry))
-    ).alias(family)
-    past = F.when((F.col("family") == "DX") & (F.col("value") >= 1), F.col("concept"))
-    admissions = F.when((F.col("family") == "UTIL") & F.col("is_value"), F.bround("value", 1))
-    # every group is one matrix row: as many cells as there are features
-    grouped = named.groupBy(*RECORD).agg(
-        measured("VITAL"),
-        measured("LAB"),
-        F.array_sort(F.collect_set(past)).alias("past_conditions"),
-        F.max(admissions).alias("prior_admissions"),
-        F.max(F.when(F.col("feature") == "age", F.col("value"))).alias("age"),
+    # every group is one matrix row, or as many as repeat it
+    joined = lambda name: F.flatten(F.collect_list(name))
+    grouped = rows.groupBy(*RECORD).agg(
+        F.sort_array(joined("VITAL")).alias("VITAL"), F.sort_array(joined("LAB")).alias("LAB"),
+        F.sort_array(F.array_distinct(joined("past"))).alias("past_conditions"),
+        F.max("admissions").alias("prior_admissions"), F.max("age").alias("age"),
     )
 
     def as_map(name: str) -> Column:
