@@ -139,3 +139,13 @@ def test_solve_intercept_hits_the_rate(spark, rate):
 def test_shared_dir_is_the_clusters(spark):
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     assert shared_dir(spark) == (named or shared_dir(spark))
+
+
+def test_median_rounds_read_a_row_per_distinct_value(spark, monkeypatch):
+    from wardline.operators import ranking
+
+    kept, own = {}, ranking.materialize
+    monkeypatch.setattr(ranking, "materialize", lambda df, name: kept.setdefault(name, own(df, name)) if name == "cells" else own(df, name))
+    df = spark.range(20_000).selectExpr("if(id % 2 = 0, 'a', null) as f", "double(id % 7) as v")
+    got = {r["f"]: r["median"] for r in exact_median(df, ["f"], "v", few=100).collect()}
+    assert got == {"a": 3.0, None: 3.0} and kept["cells"].count() == 14
