@@ -149,3 +149,32 @@ def test_median_rounds_read_a_row_per_distinct_value(spark, monkeypatch):
     df = spark.range(20_000).selectExpr("if(id % 2 = 0, 'a', null) as f", "double(id % 7) as v")
     got = {r["f"]: r["median"] for r in exact_median(df, ["f"], "v", few=100).collect()}
     assert got == {"a": 3.0, None: 3.0} and kept["cells"].count() == 14
+
+
+def test_facts_in_many_files_are_converted_without_a_shuffle(spark, tmp_path, monkeypatch):
+    from wardline.sources import star
+
+    spread, own = [], star.read_star
+
+    def watched(spark, root):
+        tables = own(spark, root)
+        for name in ("chartevents", "labevents"):
+            before = tables[name].repartition
+            monkeypatch.setattr(tables[name], "repartition", lambda *a, name=name, before=before: spread.append(name) or before(*a))
+        return tables
+
+    monkeypatch.setattr(star, "read_star", watched)
+    rows = spark.range(200).selectExpr(
+        "id % 40 as hadm_id", "id as itemid", "double(id) as valuenum", "timestamp_ntz'2024-01-01 00:00:00' as charttime",
+        "id as subject_id", "'F' as gender", "50 as anchor_age", "2000 as anchor_year", "date'2024-01-01' as dod",
+        "timestamp_ntz'2024-01-01 00:00:00' as admittime", "timestamp_ntz'2024-01-02 00:00:00' as dischtime",
+        "0 as hospital_expire_flag", "'I10' as icd_code", "'10' as icd_version",
+    )
+    for table in star.STAR_SCHEMAS:
+        files = 1 if table == "hosp/labevents" else spark.sparkContext.defaultParallelism
+        rows.repartition(files).write.option("header", True).option("compression", "gzip").csv(f"{tmp_path}/in/{table}.csv.gz")
+    star.convert_star(spark, f"{tmp_path}/in", f"{tmp_path}/out")
+    assert spread == ["labevents"]
+    for name in ("chartevents", "labevents"):
+        back = spark.read.parquet(f"{tmp_path}/out/{name}")
+        assert back.exceptAll(rows.select(back.columns)).count() == 0 and back.count() == 200

@@ -63,11 +63,14 @@ def read_star(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 
 
 def convert_star(spark: SparkSession, root: str, out: str, *, fact_partitions: int | None = None) -> None:
-    """One-off conversion to Parquet. A gz file is one task to read; the facts are spread out before
-    they are written, so every later scan splits, prunes columns and skips row groups by item."""
+    """One-off conversion to Parquet. A gz file is one task to read; facts in fewer files than there are cores, or than
+    `fact_partitions`, are spread out before they are written, so every later scan splits, prunes columns and skips row
+    groups by item. Facts in more files are written as they are read, without a shuffle."""
+    enough = fact_partitions or spark.sparkContext.defaultParallelism
     for name, df in read_star(spark, root).items():
         if name in ("chartevents", "labevents"):
-            df = df.repartition(*([fact_partitions] if fact_partitions else []), "hadm_id", "itemid", "charttime")
+            if len(df.inputFiles()) < enough:
+                df = df.repartition(*([fact_partitions] if fact_partitions else []), "hadm_id", "itemid", "charttime")
             df = df.sortWithinPartitions("itemid")
         df.write.mode("overwrite").parquet(f"{out}/{name}")
 
