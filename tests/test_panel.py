@@ -213,3 +213,17 @@ def test_strongest_impacts_come_from_the_batch_and_a_row_is_scored_once(spark, t
     monkeypatch.setattr(md, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df, name))
     assert pl.score_panel(models, matrices[0], tasks=TASKS).count() == 180 * len(TASKS)
     assert len(plans) == 2 and not any("Filter" in p for p in plans)
+
+
+def test_the_registered_panel_is_trained_with_the_librarys_own_parameters(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from wardline.catalog import models
+
+    asked = []
+    monkeypatch.setattr(models, "stored", lambda v: {"events": None, "labels": None})
+    monkeypatch.setattr(models, "window_matrices", lambda *a: ({}, {}))
+    monkeypatch.setattr(models, "train_panel", lambda *a, params, run: asked.append(params) or ({}, None, None))
+    models.trained(SimpleNamespace(spark=spark, sf_dir="x"))
+    used = md.get_estimator("gbt", "binary", asked[0])
+    assert len(asked) == 1 and (used.getMaxIter(), used.getMaxDepth()) == (300, 5)
