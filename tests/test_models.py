@@ -197,3 +197,85 @@ def test_registry():
     assert "mine" in available_models() and get_estimator("mine", "binary") == ("binary", {})
     with pytest.raises(KeyError, match="there are: gbt"):
         get_estimator("none", "binary")
+
+
+@pytest.mark.parametrize("kind", ["binary", "regression"])
+def test_boosting_in_one_task_is_mllibs_where_nothing_is_drawn(spark, data, kind):
+    from wardline.operators import boosting
+    from wardline.operators.models import feature_vector, vector_names
+
+    fill = dict.fromkeys(FEATURES, 0.5)
+    label = F.col("label") if kind == "binary" else F.col("age") * 2 + F.col("count__A")
+    rows = data.select("patient_id", label.alias("label"), feature_vector(FEATURES, fill).alias("features"))
+    estimator = get_estimator("gbt", kind, {"maxIter": 5, "subsamplingRate": 1.0, "featureSubsetStrategy": "all", "stepSize": 0.3})
+    slots = len(vector_names(FEATURES))
+    theirs, ours = estimator.fit(rows), boosting.fit(estimator, rows, slots)
+    margin = "rawPrediction" if kind == "binary" else "prediction"
+    read = lambda m: {r["patient_id"]: r[margin] for r in m.transform(rows).collect()}
+    a, b = read(theirs), read(ours)
+    worst = max(np.abs(np.array(a[k]) - np.array(b[k])).max() for k in a)
+    assert worst < 1e-9 and type(ours) is type(theirs)
+    assert ours.treeWeights == theirs.treeWeights and ours.totalNumNodes == theirs.totalNumNodes
+    # of two slots that split alike either may be taken
+    assert ours.featureImportances.toArray() == pytest.approx(theirs.featureImportances.toArray(), abs=1e-3)
+    assert {p.name: v for p, v in ours.extractParamMap().items()} == {p.name: v for p, v in theirs.extractParamMap().items()}
+
+
+def test_rounds_of_a_small_table_are_no_jobs_of_their_own(spark, data, monkeypatch):
+    from pyspark.ml.classification import GBTClassifier
+
+    rounds, fit = [], GBTClassifier.fit
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, *a: rounds.append(self.getMaxIter()) or fit(self, *a))
+    few = data.filter("patient_id < 300")
+    made = fit_binary(few, None, FEATURES, params={"maxIter": 40}).booster
+    assert made.getNumTrees == 40 and made.getMaxIter() == 40 and sum(rounds) <= 1
+    again = fit_binary(few.repartition(5), None, FEATURES, params={"maxIter": 40}).booster
+    read = lambda m: RiskModel("binary", FEATURES, dict.fromkeys(FEATURES, 0.5), m).score(data, ["patient_id"], spread_scope="row")
+    key = lambda m: sorted((r["patient_id"], r["raw_probability"]) for r in read(m).collect())
+    assert key(made) == key(again)  # however the rows are dealt
+
+
+def test_tables_beyond_the_bound_go_to_mllib(spark, data, monkeypatch):
+    from wardline.operators import boosting
+
+    monkeypatch.setattr(boosting, "grown", None)
+    rows = data.select("label", F.expr("count__A").alias("x"))
+    from pyspark.ml.functions import array_to_vector
+
+    rows = rows.select("label", array_to_vector(F.array("x")).alias("features"))
+    assert boosting.fit(get_estimator("gbt", "binary", {"maxIter": 2}), rows, 1, cells=1199).getNumTrees == 2
+
+
+def test_split_candidates_are_those_of_equal_shares():
+    from wardline.operators.boosting import cuts_between
+
+    assert cuts_between(np.array([1.0, 2.0, 2.0, 4.0, np.nan]), 32).tolist() == [1.5, 3.0]
+    assert cuts_between(np.arange(100.0), 4).tolist() == [24.5, 49.5, 74.5]
+    assert cuts_between(np.full(9, 2.0), 4).tolist() == []
+
+
+def test_spread_reads_the_leaves_once(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    from wardline.operators.models import leaf_spread
+
+    leaves = np.random.Generator(np.random.PCG64(1)).integers(0, 32, 300).astype(float)
+    df = spark.range(1).select(array_to_vector(F.array(*[F.lit(float(x)) for x in leaves])).alias("leaf"))
+    df = df.select(leaf_spread(F.col("leaf")).alias("s"))
+    assert df._jdf.queryExecution().analyzed().toString().count("UDF(leaf") == 1
+    assert df.first()["s"] == pytest.approx(leaves.std(), abs=1e-12)
+
+
+def test_contributions_of_short_paths_do_not_cost_by_row(monkeypatch):
+    from wardline.operators import tree_paths as tp
+
+    rng = np.random.Generator(np.random.PCG64(5))
+    forest, rows = arrays_of([grown(rng, 5, 8) for _ in range(20)]), []
+    own = tp.path_contributions
+    monkeypatch.setattr(tp, "path_contributions", lambda agrees, *a: rows.append(agrees.shape[0]) or own(agrees, *a))
+    x = rng.random((5000, 8))
+    got = tp.impacts(forest, x, np.arange(8), 8)
+    assert max(rows) <= 32 and len(rows) <= 5
+    monkeypatch.setattr(tp, "_TABLED", 0)
+    forest.__dict__.pop("tables")
+    assert np.abs(tp.impacts(forest, x[:50], np.arange(8), 8) - got[:50]).max() < 1e-12
